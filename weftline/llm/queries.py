@@ -16,6 +16,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.fingerprints import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.transcripts import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.html_text import html_text
+
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from weftline.llm.token_counts import token_counts
 
@@ -34,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_token_counts, op9_sentencepieces, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
