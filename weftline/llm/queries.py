@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.phrases import repeated_phrases
+
+    return repeated_phrases(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.fingerprints import fingerprinted
 
@@ -52,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -68,4 +74,15 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM dw d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL}
+_OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS win FROM w, unnest(range(1, len(w) - 18)) AS t(s)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM wins) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, x FROM late, unnest(range(s, s + 20)) AS t(x)),
+per AS (SELECT doc_id, list(x) AS xs FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN xs IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(xs, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN per ON w.doc_id = per.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL}
