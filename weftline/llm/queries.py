@@ -28,6 +28,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.jaccard import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.transcripts import formatted
 
@@ -58,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -85,4 +91,15 @@ SELECT w.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(l
 FROM w LEFT JOIN per ON w.doc_id = per.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL}
+_OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + least(len(w), 5) - 1], ' ')) AS g FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.d)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) r ON r.d = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": _OP3_SQL, "op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL}
