@@ -34,12 +34,24 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.language_model import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.transcripts import formatted
 
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.html_text import html_text
 
@@ -64,7 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op5_transcripts, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op4_language_model, op5_transcripts, op6_quality, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
