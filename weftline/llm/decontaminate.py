@@ -189,25 +189,60 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
         yield held
 
 
+def _ordered(texts: DataFrame, benchmark: DataFrame, most: int) -> Iterator:
+    """The benchmark's blocks as broadcasts, each with its prefixes chosen by counts over all texts; one empty block if there is none."""
+    context = texts.sparkSession.sparkContext
+    empty = True
+    for items in blocks(benchmark, most):
+        empty = False
+        yield _counted(context, texts, Block(items))
+    if empty:
+        yield _counted(context, texts, Block([]))
+
+
+def _counted(context, texts: DataFrame, block: Block):
+    sent = context.broadcast(block)
+    seen = texts.mapInArrow(_counter(sent, "text"), "width int, key bigint, n bigint").groupBy("width", "key").agg(F.sum("n").alias("n")).collect() if block.words else []
+    counts = {n: np.zeros(len(k), np.int64) for n, k in block.keys.items()}
+    for width, key, n in seen:
+        counts[width][key] = n
+    block.order(counts)
+    return context.broadcast(block)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BLOCK_BYTES, keep_hits: bool = False) -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     keep_hits: instead return id, n_words, ``hits`` (flat start, length pairs in words) and ``items``.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     out = source.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     schema = f"doc_id {id_type}, text string, hits array<bigint>, items array<string>, n_words bigint"
-    for items in [*blocks(benchmark, most)] or [[]]:
-        block = Block(items)
-        sent = spark.sparkContext.broadcast(block)
-        seen = source.select("text").mapInArrow(_counter(sent, "text"), "width int, key bigint, n bigint").groupBy("width", "key").agg(F.sum("n").alias("n")).collect() if block.words else []
-        counts = {n: np.zeros(len(k), np.int64) for n, k in block.keys.items()}
-        for width, key, n in seen:
-            counts[width][key] = n
-        block.order(counts)
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(block), "text"), schema)
+    for block in _ordered(source.select("text"), benchmark, most):
+        out = out.mapInArrow(_marker(block, "text"), schema)
     if keep_hits:
         return out.select("doc_id", "n_words", "hits", "items")
     return out.drop("text").mapInArrow(_finish, f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _filter(block, at: int, names: list[str]):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = plain(batch.column(at))
+            clean_ = np.ones(len(texts), bool)
+            for lo, hi in slices(texts):
+                w = split(texts.slice(lo, hi - lo), ALNUM, lower=True)
+                start, _ = probe(w, block.value)
+                clean_[lo + np.searchsorted(w.rows, start, "right") - 1] = False
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean_)) for c in batch.columns], names)
+
+    return keep
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item window occurs."""
+    out = docs
+    for block in _ordered(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, most):
+        out = out.mapInArrow(_filter(block, out.columns.index(text_col), out.columns), docs.schema)
+    return out
