@@ -10,15 +10,15 @@ from weftline.functions import text as X
 
 def entropy(df: DataFrame, column: str, name: str = "entropy") -> DataFrame:
     """One row: base-2 entropy of the column's values (0 for no rows)."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("t"))
-    p = F.col("n") / F.col("t")
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("_t"))
+    p = F.col("_n") / F.col("_t")
     return counts.crossJoin(F.broadcast(totals)).agg(F.coalesce(-F.sum(p * F.log2(p)), F.lit(0.0)).alias(name))
 
 
 def diversity(df: DataFrame, topic_col: str, response_col: str) -> DataFrame:
     """One row: topic_entropy, topic_distribution, length_std (population), vocab_size, avg_length."""
-    topics = df.groupBy(topic_col).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(topic_col, "n")))).alias("topic_distribution"))
+    topics = df.groupBy(topic_col).agg(F.count("*").alias("_n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(topic_col, "_n")))).alias("topic_distribution"))
     n = F.length(X.text(F.col(response_col)))
     lengths = df.agg(F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias("length_std"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_length"))
     vocabulary = df.select(F.explode(X.words(F.col(response_col), lower=True)).alias("w")).agg(F.count_distinct("w").alias("vocab_size"))
@@ -42,10 +42,10 @@ def box_stats(df: DataFrame, column: str, group: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin 0.., low, n): equal widths over [min, max]; the last bin is closed; empty bins are left out."""
     c = F.col(column).cast("double")
-    ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((c - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int"))
+    ends = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    at = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.floor((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int"))
     rows = df.where(c.isNotNull()).crossJoin(F.broadcast(ends)).withColumn("bin", at)
-    return rows.groupBy("bin").agg((F.first("lo") + F.col("bin") * (F.first("hi") - F.first("lo")) / bins).alias("low"), F.count("*").alias("n"))
+    return rows.groupBy("bin").agg((F.first("_lo") + F.col("bin") * (F.first("_hi") - F.first("_lo")) / bins).alias("low"), F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
