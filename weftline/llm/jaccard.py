@@ -37,6 +37,8 @@ from weftline.llm.words import SPACED, Words, mix, ngrams, split, whole
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 3
+#: Partners of a document that one task compares with it.
+PART = 64
 _FIRST_ID = -(1 << 63)
 #: Bounds of the sketch's number of counters, and text bytes per counter between them.
 SLOTS = (1 << 14, 1 << 23)
@@ -246,11 +248,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = staged(source.mapInArrow(_pack, "o bigint, z binary").join(active, "o", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among (a, b) pairs: each head's text comes once, before its partners'."""
-        heads = pairs.select("a").distinct().select("a", F.col("a").alias("b"))
-        rows = heads.union(pairs).join(packed.withColumnRenamed("o", "b"), "b")
-        # a head with very many partners goes in parts, each with its own copy of the head
-        return rows.repartition("a").sortWithinPartitions("a", F.col("a") != F.col("b")).select("a", "b", "z").mapInArrow(_verifier(order, percent), "a bigint, b bigint")
+        """Links among (a, b) pairs. A head's partners go in parts of about PART, each with its own copy of the head's text before theirs."""
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("m"))
+        dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).alias("s"), "b")
+        heads = dealt.select("a", "s").distinct().select("a", "s", F.col("a").alias("b"))
+        rows = heads.union(dealt).join(packed.withColumnRenamed("o", "b"), "b")
+        return rows.repartition("a", "s").sortWithinPartitions("a", "s", F.col("a") != F.col("b")).select("a", "b", "z").mapInArrow(_verifier(order, percent), "a bigint, b bigint")
 
     def ordered(x: Column, y: Column) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -269,15 +272,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = Window.partitionBy("t").orderBy(F.shiftright("np", 32), F.xxhash64("o"))
     chain = far.withColumn("p", F.lag(F.struct("o", "np", "c")).over(before)).where((F.col("p.c") != F.col("c")) & may_link(F.col("p.np"), F.col("np"), percent)).select(*ordered(F.col("p.o"), F.col("o"))).distinct()
     chain = chain.join(stars, ["a", "b"], "left_anti")
-    links = links.union(staged(verified(chain), "links"))
-    roots = components(links)
+    more = staged(verified(chain), "links")
+    rest = far
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = components(links)
+        rest = staged(apart(roots), "apart")
 
-    rest = staged(apart(roots), "apart")
     x, y = rest.alias("x"), rest.alias("y")
     pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.o") < F.col("y.o")) & (F.col("x.c") != F.col("y.c")) & may_link(F.col("x.np"), F.col("y.np"), percent)).select(F.col("x.o").alias("a"), F.col("y.o").alias("b")).distinct()
     pairs = pairs.join(stars.union(chain), ["a", "b"], "left_anti")
-    links = links.union(staged(verified(pairs), "links"))
-    roots = components(links)
+    more = staged(verified(pairs), "links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     named = sets.select("o", "n").join(copies, "o", "left").withColumn("rep", F.coalesce("rep", "o")).join(roots.withColumnRenamed("v", "rep"), "rep", "left")
     value = lambda c: F.when(c != _FIRST_ID, c).cast(id_type)
