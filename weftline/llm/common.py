@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,10 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it cuts lineage and outlives any executor."""
+    """``df`` written to the shared folder and read again: it cuts lineage and outlives any executor.
+
+    The shuffle files behind ``df`` are of no more use then; a collection on the driver lets Spark's cleaner remove them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

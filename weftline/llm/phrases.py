@@ -5,16 +5,17 @@ the same document).  Steps, each linear in the text:
 
 1. Exact copies of a text but the first are known from hashes; all their windows start earlier, so they need no search.
 2. Anchors.  Of the ``ANCHOR``-word phrases in a window the one with the least hash is its anchor (about one place in
-   eight).  Equal windows have equal anchors, so only anchors that recur matter; counting is pre-aggregated.
+   six).  Equal windows have equal anchors, so only anchors matter that recur in another text or in the same one.
 3. Documents are dealt out to buckets of bounded size, and each bucket gets the recurring anchors of its own documents:
    the dictionary is sharded with the text, so no document meets a phrase that it can't hold.
 4. Each bucket compiles its phrases into Aho-Corasick automata (pyahocorasick; each word is three letters) over blocks
    of bounded size and streams its documents through, which locates every occurrence of every recurring phrase.
-5. Windows whose anchor was located are confirmed by 96-bit hashes over all documents: the earliest place of each is
-   kept, the words of the others go.
+5. Windows whose anchor was located are confirmed over all documents by 96 bits of hash: the earliest place of each is
+   kept, the words of the others go.  Windows with the same anchor place make a group of up to 11; groups are compared
+   first, as most repeats are whole, and only the earliest group of each content goes on to be compared by window.
 
-Hot phrases: counts and firsts are partial aggregates, (phrase, bucket) pairs are distinct per batch, and the joins have
-one row per phrase on one side, so large keys can be split by AQE.  Nothing is collected to the driver.
+Hot phrases: firsts are partial aggregates, (phrase, bucket) pairs are distinct per batch, and the joins have one row
+per group or window on one side, so large keys can be split by AQE.  Nothing is collected to the driver.
 
 Nulls and edge cases: a null text has no words; a null id counts as smaller than all others; rows that share an id are
 ordered by a hash of their text, and equal ones (same id and text) are the same place, so neither goes; a text of fewer
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.llm.common import plain, slices, staged
 from weftline.llm.decontaminate import bitmap, found
 from weftline.llm.words import Words, cover, mix, ngrams, split, whole
 
 WINDOW = 20
-ANCHOR = 6
+ANCHOR = 10
 #: Text bytes of a bucket, and of the block that one automaton is compiled for.
 BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 3 << 20
@@ -66,26 +68,19 @@ def anchors(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = plain(batch.column("text"))
-        for lo, hi in slices(texts):
-            w = split(texts.slice(lo, hi - lo))
-            h, n = np.unique(ngrams(w.hashes, ANCHOR)[anchors(w)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of each text: hash, bucket and hash of the text, and whether the text has it twice."""
     for batch in batches:
-        texts, bucket = plain(batch.column("text")), np.asarray(batch.column("bucket"))
+        texts, bucket, key = plain(batch.column("text")), np.asarray(batch.column("bucket")), np.asarray(batch.column("tk"))
         for lo, hi in slices(texts):
             w = split(texts.slice(lo, hi - lo))
             at = anchors(w)
-            pairs = np.stack([ngrams(w.hashes, ANCHOR)[at].view(np.int64), bucket[lo + np.searchsorted(w.rows, at, "right") - 1].astype(np.int64)])
-            pairs = pairs[:, np.lexsort(pairs)]
-            if pairs.shape[1]:
-                pairs = pairs[:, np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1], pa.int32())], ["h", "bucket"])
+            h, row = ngrams(w.hashes, ANCHOR)[at], lo + np.searchsorted(w.rows, at, "right") - 1
+            by = np.lexsort((h, row))
+            h, row = h[by].view(np.int64), row[by]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(bucket[row[first]], pa.int32()), pa.array(key[row[first]]), pa.array(n > 1)], ["h", "bucket", "tk", "twice"])
 
 
 def locate(w: Words, phrases: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
@@ -117,17 +112,24 @@ def locate(w: Words, phrases: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
     return out
 
 
-def candidates(w: Words, located: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
-    """Start words of the windows whose anchor was located."""
+def candidates(w: Words, located: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """Start words of the windows whose anchor was located, and the word places of those anchors."""
     grams = ngrams(w.hashes, anchor)
-    least, _ = _least(grams, window - anchor + 1)
+    least, at = _least(grams, window - anchor + 1)
     there, _ = _least(np.where(located[: len(grams)], grams, _TOP), window - anchor + 1)
-    return np.flatnonzero((least == there) & whole(w.rows, window))
+    start = np.flatnonzero((least == there) & whole(w.rows, window))
+    return start, start + at[start]
 
 
-def window_keys(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of hash for each window: a long and an int."""
-    return ngrams(w.hashes, window).view(np.int64), (ngrams(mix(w.hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def groups(w: Words, start: np.ndarray, place: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
+    """Windows by anchor place: first start, anchor hash and offset in the first window, 96 bits of content hash, and per window 32 bits more."""
+    one, two = ngrams(w.hashes, window)[start], ngrams(mix(w.hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), window)[start]
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))[: len(start)]
+    n = np.diff(np.append(first, len(start)))
+    turn = (np.arange(len(start)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    add = lambda x: np.add.reduceat(mix(x + turn), first) if len(first) else x
+    high = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return {"first": first, "n": n, "g1": add(one).view(np.int64), "g2": high(add(two)), "h": ngrams(w.hashes, ANCHOR)[place[first]].view(np.int64), "off": (place - start)[first].astype(np.int32), "ws": high(two)}
 
 
 def kept(w: Words, row: int, gone: np.ndarray | None = None) -> bytes:
@@ -137,7 +139,7 @@ def kept(w: Words, row: int, gone: np.ndarray | None = None) -> bytes:
 
 
 def _bucket_stream(rest: pa.DataType, schema: list[tuple[str, pa.DataType]]):
-    """Rows sorted by bucket and kind (0 phrase, 1 later copy, 2 document) to windows (kind 0), settled rows (1) and open rows (2)."""
+    """Rows sorted by bucket and kind (0 phrase, in o; 1 later copy; 2 document) to groups of windows (kind 0), settled rows (1) and open rows (2)."""
 
     def block(docs: list[pa.RecordBatch], phrases: np.ndarray, copies: set) -> Iterator[pa.RecordBatch]:
         ids, hashes = (np.concatenate([np.asarray(d.column(c)) for d in docs]) for c in ("o", "th"))
@@ -147,12 +149,15 @@ def _bucket_stream(rest: pa.DataType, schema: list[tuple[str, pa.DataType]]):
         w = split(texts)
         sizes = np.diff(w.rows)
         copy = np.array([k in copies for k in zip(ids.tolist(), hashes.tolist(), strict=True)], bool) & (sizes >= WINDOW)
-        start = candidates(w, locate(w, phrases))
+        start, place = candidates(w, locate(w, phrases))
+        fresh = ~copy[np.searchsorted(w.rows, start, "right") - 1]
+        start, place = start[fresh], place[fresh]
+        g = groups(w, start, place)
+        start = start[g["first"]]
         row = np.searchsorted(w.rows, start, "right") - 1
-        start, row = start[~copy[row]], row[~copy[row]]
-        k1, k2 = window_keys(w)
         n = len(start)
-        yield build({"kind": np.zeros(n, np.int32), "o": ids[row], "th": hashes[row], "w1": k1[start], "w2": k2[start], "start": start - w.rows[row]}, n)
+        ws = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(g["n"])), pa.int32()), pa.array(g["ws"]))
+        yield build({"kind": np.zeros(n, np.int32), "o": ids[row], "th": hashes[row], "g1": g["g1"], "g2": g["g2"], "h": g["h"], "off": g["off"], "ws": ws, "start": start - w.rows[row]}, n)
         open_ = np.zeros(len(ids), bool)
         open_[row] = True
         at = np.flatnonzero(~open_)
@@ -178,7 +183,7 @@ def _bucket_stream(rest: pa.DataType, schema: list[tuple[str, pa.DataType]]):
                     now, phrases, copies, docs, size = bucket[lo], [], set(), [], 0
                 part = batch.slice(lo, hi - lo)
                 if kind[lo] == 0:
-                    phrases.append(np.array(part.column("th")).view(np.uint64))
+                    phrases.append(np.array(part.column("o")).view(np.uint64))
                 elif kind[lo] == 1:
                     copies.update(zip(part.column("o").to_pylist(), part.column("th").to_pylist(), strict=True))
                 else:
@@ -201,7 +206,7 @@ def _sorted(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open rows with the starts of their windows that go (``starts``) to settled rows."""
+    """Open rows with what goes of them (``starts``: 32 * first start + number of windows) to settled rows."""
     for batch in batches:
         texts = plain(batch.column("text"))
         starts = batch.column("starts")
@@ -210,7 +215,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words, n_removed, digest, text = np.diff(w.rows), [], [], []
             for r in range(hi - lo):
                 begin = starts[lo + r].as_py()
-                gone = cover(np.array(begin, np.int64), WINDOW, int(n_words[r])) if begin else None
+                spans = np.array(begin or [], np.int64)
+                gone = cover(spans // 32, spans % 32 + WINDOW - 1, int(n_words[r])) if begin else None
                 n_removed.append(int(gone.sum()) if begin else 0)
                 left = kept(w, r, gone)
                 digest.append(hashlib.sha256(left).hexdigest())
@@ -224,7 +230,7 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     types = docs.schema
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     text = F.col(text_col).cast("string")
-    key = F.coalesce(F.xxhash64(text), F.lit(0).cast("bigint"))
+    key = F.coalesce(F.hash(text), F.lit(0))  # tells apart rows that share an id
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FIRST_ID).cast("bigint")).alias("o"), key.alias("th"), text.alias("text"), rest.alias("rest"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -234,25 +240,35 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = alike.groupBy("th", "c", "n").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("last > first").drop("last")
     copies = alike.join(groups, ["th", "c", "n"]).where("o > first").select("bucket", F.lit(1).alias("kind"), "o", "th")
 
-    recurring = source.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
-    placed = source.select("bucket", "text").mapInArrow(_place, "h bigint, bucket int")
-    phrases = placed.join(recurring, "h", "left_semi").select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("o"), F.col("h").alias("th"))
+    same = Window.partitionBy("h")
+    placed = source.where("text is not null").select("bucket", "text", F.xxhash64("text").alias("tk")).mapInArrow(_place, "h bigint, bucket int, tk bigint, twice boolean")
+    placed = placed.withColumn("before", F.lag("bucket").over(same.orderBy("bucket"))).withColumn("shared", F.min("tk").over(same) != F.max("tk").over(same))
+    # a phrase of several texts goes once to each of their buckets; one that a text repeats, to that text's
+    recurring = placed.where("twice or (shared and (before is null or before != bucket))")
+    phrases = recurring.select("bucket", F.lit(0).alias("kind"), F.col("h").alias("o"), F.lit(0).alias("th"))
 
     rest_type = source.schema["rest"].dataType
     nothing = [F.lit(None).cast("string").alias("text"), F.lit(None).cast(rest_type).alias("rest")]
     rows = phrases.union(copies).select("bucket", "kind", "o", "th", *nothing).union(source.select("bucket", F.lit(2), "o", "th", "text", "rest"))
-    # as many partitions as configured, but none that AQE would put together beyond a task's memory
+    # a task takes its buckets one after the other, so its memory depends on the bucket alone
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket", "kind")
-    out = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("o", T.LongType()), ("th", T.LongType()), ("w1", T.LongType()), ("w2", T.IntegerType()), ("start", T.IntegerType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("text", T.StringType()), ("rest", rest_type))])
+    out = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("o", T.LongType()), ("th", T.IntegerType()), ("g1", T.LongType()), ("g2", T.IntegerType()), ("h", T.LongType()), ("off", T.IntegerType()), ("ws", T.ArrayType(T.IntegerType())), ("start", T.IntegerType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("text", T.StringType()), ("rest", rest_type))])
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = [(f.name, to_arrow_type(f.dataType)) for f in out.fields]
     seen = staged(dealt.mapInArrow(_bucket_stream(schema[-1][1], schema), out), "phrases")
 
-    windows = seen.where("kind = 0").select("w1", "w2", "o", "th", "start")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("o", "th", "start")).alias("f"), F.max(F.struct("o", "th", "start")).alias("l")).where("l > f").select("w1", "w2", "f")
-    later = windows.join(firsts, ["w1", "w2"]).where(F.struct("o", "th", "start") > F.col("f")).groupBy("o", "th").agg(F.collect_set("start").alias("starts"))
+    place = F.struct("o", "th", "start")
+    blocks = seen.where("kind = 0").select("g1", "g2", "h", "off", "o", "th", "start", "ws")
+    firsts = blocks.groupBy("g1", "g2").agg(F.min(place).alias("f"))
+    blocks = blocks.join(firsts, ["g1", "g2"]).select("h", "off", "o", "th", "start", F.size("ws").alias("n"), F.when(place == F.col("f"), F.col("ws")).alias("ws"))
+    blocks = staged(blocks, "blocks")
+    windows = blocks.where("ws is not null").select("h", "off", "o", "th", "start", F.posexplode("ws").alias("i", "w")).select("h", (F.col("off") - F.col("i")).alias("off"), "w", "o", "th", (F.col("start") + F.col("i")).alias("start"))
+    firsts = windows.groupBy("h", "off", "w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    late = windows.join(firsts, ["h", "off", "w"]).where(place > F.col("f")).select("o", "th", (F.col("start") * 32 + 1).alias("s"))
+    late = late.union(blocks.where("ws is null").select("o", "th", F.col("start") * 32 + F.col("n")))
+    later = staged(late.groupBy("o", "th").agg(F.collect_set("s").alias("starts")), "later")
     opened = seen.where("kind = 2").select("o", "th", "text", "rest").join(later, ["o", "th"], "left")
     result = T.StructType([out[n] for n in ("o", "n_words", "n_removed", "kept_sha256", "text", "rest")])
     settled = seen.where("kind = 1").select(*result.fieldNames()).union(opened.mapInArrow(_settle, result))
