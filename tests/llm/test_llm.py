@@ -100,6 +100,17 @@ def test_phrases_of_one_word_and_of_equal_rows(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (1, 50, 49), (2, 50, 50), (2, 50, 50), (3, 19, 0)]
 
 
+def test_phrases_that_agree_in_a_short_hash(spark):
+    """Two windows with one anchor at one offset, whose second hashes agree in their upper 32 bits, aren't the same words."""
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{head} v385131"), (2, f"{head} v396242"), (3, f"x {head} v385131")]
+    w = words.split(pa.array([t for _, t in rows[:2]]))
+    two = words.ngrams(words.mix(w.hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), 20)[::20] >> np.uint64(32)
+    assert two[0] == two[1] and (phrases.anchors(w) % 20).tolist() == [5, 5]
+    got = by_id(phrases.repeated_phrases(make(spark, rows)))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_phrases(rows)
+
+
 # 2 fingerprints
 
 

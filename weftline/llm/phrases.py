@@ -10,7 +10,7 @@ the same document).  Steps, each linear in the text:
    the dictionary is sharded with the text, so no document meets a phrase that it can't hold.
 4. Each bucket compiles its phrases into Aho-Corasick automata (pyahocorasick; each word is three letters) over blocks
    of bounded size and streams its documents through, which locates every occurrence of every recurring phrase.
-5. Windows whose anchor was located are confirmed over all documents by 96 bits of hash: the earliest place of each is
+5. Windows whose anchor was located are confirmed over all documents by 96 bits of hash of their words: the earliest place of each is
    kept, the words of the others go.  Windows with the same anchor place make a group of up to 11; groups are compared
    first, as most repeats are whole, and only the earliest group of each content goes on to be compared by window.
 
@@ -122,14 +122,14 @@ def candidates(w: Words, located: np.ndarray, window: int = WINDOW, anchor: int
 
 
 def groups(w: Words, start: np.ndarray, place: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """Windows by anchor place: first start, anchor hash and offset in the first window, 96 bits of content hash, and per window 32 bits more."""
+    """Windows by anchor place: first start, number, 96 bits of hash of the group, and 96 bits (a long and an int) of each window."""
     one, two = ngrams(w.hashes, window)[start], ngrams(mix(w.hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), window)[start]
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))[: len(start)]
     n = np.diff(np.append(first, len(start)))
     turn = (np.arange(len(start)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     add = lambda x: np.add.reduceat(mix(x + turn), first) if len(first) else x
     high = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return {"first": first, "n": n, "g1": add(one).view(np.int64), "g2": high(add(two)), "h": ngrams(w.hashes, ANCHOR)[place[first]].view(np.int64), "off": (place - start)[first].astype(np.int32), "ws": high(two)}
+    return {"first": first, "n": n, "g1": add(one).view(np.int64), "g2": high(add(two)), "w1": one.view(np.int64), "w2": high(two)}
 
 
 def kept(w: Words, row: int, gone: np.ndarray | None = None) -> bytes:
@@ -156,8 +156,9 @@ def _bucket_stream(rest: pa.DataType, schema: list[tuple[str, pa.DataType]]):
         start = start[g["first"]]
         row = np.searchsorted(w.rows, start, "right") - 1
         n = len(start)
-        ws = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(g["n"])), pa.int32()), pa.array(g["ws"]))
-        yield build({"kind": np.zeros(n, np.int32), "o": ids[row], "th": hashes[row], "g1": g["g1"], "g2": g["g2"], "h": g["h"], "off": g["off"], "ws": ws, "start": start - w.rows[row]}, n)
+        ends = pa.array(np.append(0, np.cumsum(g["n"])), pa.int32())
+        w1, w2 = (pa.ListArray.from_arrays(ends, pa.array(g[c])) for c in ("w1", "w2"))
+        yield build({"kind": np.zeros(n, np.int32), "o": ids[row], "th": hashes[row], "g1": g["g1"], "g2": g["g2"], "w1": w1, "w2": w2, "start": start - w.rows[row]}, n)
         open_ = np.zeros(len(ids), bool)
         open_[row] = True
         at = np.flatnonzero(~open_)
@@ -253,21 +254,22 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a task takes its buckets one after the other, so its memory depends on the bucket alone
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket", "kind")
-    out = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("o", T.LongType()), ("th", T.IntegerType()), ("g1", T.LongType()), ("g2", T.IntegerType()), ("h", T.LongType()), ("off", T.IntegerType()), ("ws", T.ArrayType(T.IntegerType())), ("start", T.IntegerType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("text", T.StringType()), ("rest", rest_type))])
+    out = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("o", T.LongType()), ("th", T.IntegerType()), ("g1", T.LongType()), ("g2", T.IntegerType()), ("w1", T.ArrayType(T.LongType())), ("w2", T.ArrayType(T.IntegerType())), ("start", T.IntegerType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("text", T.StringType()), ("rest", rest_type))])
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = [(f.name, to_arrow_type(f.dataType)) for f in out.fields]
     seen = staged(dealt.mapInArrow(_bucket_stream(schema[-1][1], schema), out), "phrases")
 
     place = F.struct("o", "th", "start")
-    blocks = seen.where("kind = 0").select("g1", "g2", "h", "off", "o", "th", "start", "ws")
+    blocks = seen.where("kind = 0").select("g1", "g2", "o", "th", "start", "w1", "w2")
     firsts = blocks.groupBy("g1", "g2").agg(F.min(place).alias("f"))
-    blocks = blocks.join(firsts, ["g1", "g2"]).select("h", "off", "o", "th", "start", F.size("ws").alias("n"), F.when(place == F.col("f"), F.col("ws")).alias("ws"))
+    own = lambda c: F.when(place == F.col("f"), F.col(c)).alias(c)
+    blocks = blocks.join(firsts, ["g1", "g2"]).select("o", "th", "start", F.size("w1").alias("n"), own("w1"), own("w2"))
     blocks = staged(blocks, "blocks")
-    windows = blocks.where("ws is not null").select("h", "off", "o", "th", "start", F.posexplode("ws").alias("i", "w")).select("h", (F.col("off") - F.col("i")).alias("off"), "w", "o", "th", (F.col("start") + F.col("i")).alias("start"))
-    firsts = windows.groupBy("h", "off", "w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    late = windows.join(firsts, ["h", "off", "w"]).where(place > F.col("f")).select("o", "th", (F.col("start") * 32 + 1).alias("s"))
-    late = late.union(blocks.where("ws is null").select("o", "th", F.col("start") * 32 + F.col("n")))
+    windows = blocks.where("w1 is not null").select("o", "th", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("w.w1", "w.w2", "o", "th", (F.col("start") + F.col("i")).alias("start"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    late = windows.join(firsts, ["w1", "w2"]).where(place > F.col("f")).select("o", "th", (F.col("start") * 32 + 1).alias("s"))
+    late = late.union(blocks.where("w1 is null").select("o", "th", F.col("start") * 32 + F.col("n")))
     later = staged(late.groupBy("o", "th").agg(F.collect_set("s").alias("starts")), "later")
     opened = seen.where("kind = 2").select("o", "th", "text", "rest").join(later, ["o", "th"], "left")
     result = T.StructType([out[n] for n in ("o", "n_words", "n_removed", "kept_sha256", "text", "rest")])
