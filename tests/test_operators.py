@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scores as S
 from weftline.functions import text as X
 from weftline.operators import benchmarks, cache, dedup, evals, filters, metrics, sampling, trie, vectors
+from weftline.plans import queries_records
 
 
 def values(df, *columns):
@@ -242,6 +245,34 @@ def test_rouge(spark):
     assert one(spark, evals.rouge_l(F.col("a"), F.col("b")), a="", b="") == 0.0
 
 
+def brute_rouge(prediction, reference):
+    a, b = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (prediction, reference))
+    f1 = lambda shared, total: 2 * shared / total if total else 0.0
+    grams = [[collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b)] for n in (1, 2)]
+    row = [0] * (len(b) + 1)
+    for w in a:
+        before, row = row, [0]
+        for k, x in enumerate(b):
+            row.append(before[k] + 1 if x == w else max(before[k + 1], row[-1]))
+    return *(f1((x & y).total(), x.total() + y.total()) for x, y in grams), f1(row[-1], len(a) + len(b))
+
+
+def test_rouge_query_scores_whole_texts(spark, tmp_path):
+    r = random.Random(0)
+    text = lambda n: " ".join(r.choice(["The", "cat", "sat", "on-a", "mat", "x1", "É"]) for _ in range(n))
+    head = text(80)
+    items = [(0, f"{head} {text(200)}"), (1, f"{head} alpha beta"), (2, text(300)), (3, ""), (4, None), (5, "one"), (5, text(90)), (6, "a b c"), (9, "no partner")]
+    texts = [(0, f"{head} {text(150)}"), (1, f"{head} beta alpha"), (2, text(100)), (3, ""), (4, "a b"), (5, "one two"), (6, None), (7, "no partner")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x.item_id, x.rouge1, x.rouge2, x.rougeL) for x in queries_records.f37_rouge(spark, str(tmp_path)).collect())
+    want = sorted((i, *brute_rouge(t, dict(texts)[i])) for i, t in items if i in dict(texts))
+    assert len(got) == len(want)
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y, abs=1e-6)
+
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(1, [5, 6]), (1, [7]), (2, [8])], "b int, ids array<int>")
     assert values(evals.padded(df, "b", "ids"), "b", "input_ids", "attention_mask") == [(1, [5, 6], [1, 1]), (1, [7, 0], [1, 0]), (2, [8], [1])]

@@ -207,9 +207,9 @@ def f35_document_count(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f37_rouge(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item against the document of the same number."""
-    rows = table(spark, d, "benchmark").join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 200).alias("reference")), "item_id")
-    c = (F.substring("text", 1, 200), F.col("reference"))
-    return rows.select("item_id", F.round(evals.rouge_n(*c, 1), R).alias("rouge1"), F.round(evals.rouge_n(*c, 2), R).alias("rouge2"), F.round(evals.rouge_l(*c), R).alias("rougeL"))
+    rows = table(spark, d, "benchmark").join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("reference")), "item_id")
+    scored = evals.rouge(rows, "text", "reference")
+    return scored.select("item_id", *[F.round(c, R).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
 
 
 @query("SELECT vec_id, p.name, s AS with_system FROM embeddings, (VALUES ('a'), ('b'), ('c')) p(name), (VALUES (true), (false)) t(s)")
