@@ -204,6 +204,25 @@ def test_language_model(spark):
     assert language_model.scored(make(spark, [])).count() == 0
 
 
+def test_language_model_classes_and_step():
+    """64 classes, all in use, and a step as written out plainly."""
+    m = language_model
+    t = m.tokens(pa.array([" ".join(f"{a}{b}c" for a in "abcdefghijklmnop" for b in "qrstuvwxyz0123456789")]))
+    assert m.CLASSES >= 64 and len(np.unique(t.classes)) == m.CLASSES
+    r = np.random.default_rng(0)
+    slots, classes = r.integers(1, 40, (300, m.N_FEATURES)), r.integers(0, m.CLASSES, 300)
+    weights = r.normal(0, 0.1, (m.SLOTS, m.CLASSES)).astype(np.float32)
+    s = weights[slots].astype(float).sum(1) + weights[0]
+    p = np.exp(s) / np.exp(s).sum(1, keepdims=True) - np.eye(m.CLASSES)[classes]
+    g = np.zeros(weights.shape)
+    np.add.at(g, slots.ravel(), np.repeat(p, m.N_FEATURES, 0))
+    g[0] = p.sum(0)
+    want = weights - m.RATE * g / np.sqrt(g * g + 1)
+    squares = np.zeros_like(weights)
+    m.train_batch(weights, squares, slots, classes)
+    assert np.allclose(weights, want, atol=1e-5) and np.allclose(squares, g * g, atol=1e-3)
+
+
 # 5 transcripts
 
 

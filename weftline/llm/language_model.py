@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import plain, slices, staged
 from weftline.llm.words import SPACED, mix, split
 
-CLASSES = 32
+CLASSES = 64
 SLOTS = 1 << 15
 HEAD = 1 << 16
 #: Context words that are features themselves; others count as their class.
@@ -104,9 +104,9 @@ def features(t: Tokens, known: np.ndarray, head: Head) -> np.ndarray:
 
 
 def _sums(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    out = weights[slots[:, 0]]
+    out = np.take(weights, slots[:, 0], axis=0)
     for j in range(1, N_FEATURES):
-        out += weights[slots[:, j]]
+        out += np.take(weights, slots[:, j], axis=0)
     out += weights[0]
     return out
 
@@ -125,19 +125,25 @@ def train_batch(weights: np.ndarray, squares: np.ndarray, slots: np.ndarray, cla
     """One sparse Adagrad step."""
     s = _sums(weights, slots)
     s -= s.max(1, keepdims=True)
-    p = np.exp(s)
+    p = np.exp(s, out=s)
     p /= p.sum(1, keepdims=True)
     p[np.arange(len(p)), classes] -= 1
     bias = p.sum(0)
     squares[0] += bias * bias
     weights[0] -= RATE * bias / np.sqrt(squares[0] + 1)
-    flat = slots.ravel()
+    flat = slots.ravel().astype(np.uint16 if SLOTS <= 1 << 16 else np.int64)  # short keys sort by radix
     by = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(flat[by]) != 0))
-    touched = flat[by][first]
-    g = np.add.reduceat(p[by // N_FEATURES], first)
-    squares[touched] += g * g
-    weights[touched] -= RATE * g / np.sqrt(squares[touched] + 1)
+    ordered = flat[by]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    touched = ordered[first].astype(np.int64)
+    g = np.add.reduceat(np.take(p, by // N_FEATURES, axis=0), first)
+    now = np.take(squares, touched, axis=0)
+    now += g * g
+    squares[touched] = now
+    now += 1
+    g *= np.float32(RATE)
+    g /= np.sqrt(now, out=now)
+    weights[touched] -= g
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
