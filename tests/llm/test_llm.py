@@ -84,12 +84,12 @@ def brute_phrases(rows, n=20):
     return {i: (len(w), len(gone[i]), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone[i]).encode()).hexdigest()) for i, w in split.items()}
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, 1 << 20), (2, 500)])
-def test_phrases(spark, seed, bucket):
+@pytest.mark.parametrize("seed,bucket,block", [(1, 1 << 20, 1 << 20), (2, 500, 1 << 20), (3, 1 << 20, 400)])
+def test_phrases(spark, seed, bucket, block):
     rows = corpus(seed)
-    got = by_id(phrases.repeated_phrases(make(spark, rows), carry=("lang",), bucket_bytes=bucket))
+    got = by_id(phrases.repeated_phrases(make(spark, rows), carry=("lang",), bucket_bytes=bucket, block_bytes=block))
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_phrases(rows)
-    assert all(r.lang == "en" for r in got.values())
+    assert all(r.carried.lang == "en" for r in got.values())
     assert got[1].text is None and got[3].text == " \t\n"
 
 
@@ -111,6 +111,45 @@ def test_phrases_that_agree_in_a_short_hash(spark):
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_phrases(rows)
 
 
+def test_windows_of_one_opening_stay(spark):
+    """Different texts that share their first ten words (one hot anchor) lose nothing; a copy of one and its edges do."""
+    head = " ".join(f"a{k}" for k in range(10))
+    rows = [(k, f"{head} " + " ".join(f"x{k}y{j}" for j in range(10))) for k in range(3000)] + [(5000, f"new {head} x7y0 " + " ".join(f"x7y{j}" for j in range(1, 9)) + " end")]
+    got = by_id(phrases.repeated_phrases(make(spark, rows), bucket_bytes=4000))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_phrases(rows)
+    assert sum(r.n_removed for r in got.values()) == 0
+
+
+def test_windows_with_equal_hashes_but_other_anchors():
+    one, h, where = np.array([5, 5, 6, 6], np.uint64), np.array([1, 2, 3, 3], np.uint64), np.array([0, 1, 4, 2])
+    assert phrases.starts_earlier(one, h, where).tolist() == [False, False, True, False]
+
+
+def test_locate_needs_words_only():
+    """The automaton is given words of phrases, wherever they come from, and finds every occurrence within a row."""
+    w = words.split(pa.array(["a b c a b", "b c a b", "a", "b"]))
+    p = words.split(pa.array(["a b", "b c", "zz a"]))
+    found = phrases.locate(w, phrases.words_at(p, np.array([0, 2, 4]), 2))
+    assert np.flatnonzero(found).tolist() == [0, 1, 3, 5, 7]
+
+
+def test_long_text_and_hot_passage(spark):
+    """A text far over a block, and one passage in every text."""
+    r = random.Random(5)
+    hot = " ".join(f"h{k}" for k in range(25))
+    rows = [(k, f"u{k} {hot} v{k} " + " ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(20))) for k in range(80)]
+    rows.append((40_000, " ".join(f"z{r.randint(0, 5000)}" for _ in range(30_000)) + " " + hot + " q" * 500))
+    got = by_id(phrases.repeated_phrases(make(spark, rows), bucket_bytes=3000, block_bytes=2000))
+    assert {i: (x.n_words, x.n_removed, x.kept_sha256) for i, x in got.items()} == brute_phrases(rows)
+
+
+def test_ids_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    for call in (phrases.repeated_phrases, jaccard.similar_groups, fingerprints.fingerprinted):
+        with pytest.raises(TypeError, match="integer"):
+            call(df)
+
+
 # 2 fingerprints
 
 
@@ -427,6 +466,29 @@ def test_empty_benchmark(spark):
 # pipeline
 
 
+CLASHES = "score predicted copy _copy several kept_id n_words n_removed kept_sha256 carried rest runs n_pieces piece_ids piece_sha256 round_trip hits items o th k bucket kind component_id n_shingles label bag".split()
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    """Columns named as any helper or output column pass through all stages as they are."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"s{k}" for k in range(40))
+    rows = [(1, long), (2, long + " x"), (3, "kept " * 3 + long[:80]), (4, None), (5, "only text"), (5, "only text"), (5, "other text")]
+    docs = make(spark, rows).withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHES})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.staged(stage(spark, docs, str(tmp_path)), "clash")
+        got = docs.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in CLASHES), name
+        if name == "n-gram Jaccard join":
+            assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 5) == [(5, "only text"), (5, "other text")]
+            assert {r.doc_id for r in got} == {1, 3, 4, 5}
+    assert {"n_pieces_", "piece_ids_", "piece_sha256_", "round_trip_"} <= set(docs.columns)
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [r for r in corpus(7, 40) if r[0] > 4] + [(2, ""), (300, "leak " + " ".join(f"q{k}" for k in range(12)))]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass holds at a time; longer single rows form their own slice.
 SLICE_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +20,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and Spark is local (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
+        where = context.getCheckpointDir()
+        if where is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-            current = context._jsc.sc().getCheckpointDir()
-        where = current.get()
+            where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts lineage and outlives any executor.
 
-    The shuffle files behind ``df`` are of no more use then; a collection on the driver lets Spark's cleaner remove them."""
+    The shuffle files behind the write are of no more use then, and Spark removes them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(*frames: DataFrame) -> None:
+    """Empties staged tables that nothing will read again."""
+    for df in frames:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+def spare(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The ``wanted`` names, with underscores added where a column of that name (in any case) is already there."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def integral(docs: DataFrame, id_col: str) -> T.DataType:
+    """The type of the id column, which has to be an integer type."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+    return kind
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array without nulls (null counts as the empty text)."""
     if isinstance(column, pa.ChunkedArray):

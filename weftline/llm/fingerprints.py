@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import plain
+from weftline.llm.common import integral, plain
 from weftline.llm.words import mix
 
 CELLS = 24
@@ -171,6 +171,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     least = -(1 << 63)
+    integral(docs, id_col)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = np.unique(np.array(source.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges), np.float64).astype(np.int64))

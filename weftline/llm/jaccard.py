@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import plain, slices, staged
+from weftline.llm.common import integral, plain, slices, staged
 from weftline.llm.words import SPACED, Words, mix, ngrams, split, whole
 
 SHINGLE = 5
@@ -221,7 +221,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
+    id_type = integral(docs, id_col)
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FIRST_ID).cast("bigint")).alias("o"), F.col(text_col).cast("string").alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = SLOTS[0]

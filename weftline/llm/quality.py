@@ -29,6 +29,7 @@ PASSAGE = 64
 SAMPLE = 6000
 BAG = 256
 HIDDEN, GATE = 24, 12
+THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 1e-4
 HASHED = 32
 #: Columns of plain features, before the hashed words.
@@ -192,8 +193,21 @@ def trained(docs: DataFrame, labels: DataFrame, fold: int = 0, label_col: str =
     return model
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with score and predicted (1 if score >= threshold)."""
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.score(plain(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with score and predicted (1 if score >= threshold), which replace columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.drop("score", "predicted")
     names = source.columns
@@ -207,7 +221,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     out = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), trained(docs, labels, fold), threshold)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == fold, F.lit(False))

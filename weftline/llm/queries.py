@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.phrases import repeated_phrases
 
-    return repeated_phrases(table(spark, sf_dir, "documents")).drop("text")
+    return repeated_phrases(table(spark, sf_dir, "documents")).drop("text", "carried")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

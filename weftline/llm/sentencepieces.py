@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import plain, slices
+from weftline.llm.common import plain, slices, spare
 
 MARK = "▁"
 CACHE = 500_000
@@ -317,12 +317,12 @@ _ENCODERS: dict[int, tuple[Encoder, Decoder]] = {}
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """The rows of ``docs`` with n_pieces, piece_ids (keep_ids), piece_sha256 (of the little-endian 32-bit ids), round_trip."""
+    """The rows of ``docs`` with piece_ids (keep_ids), n_pieces, piece_sha256 (of the little-endian 32-bit ids), round_trip; where ``docs`` has such a column, the new one's name ends in an underscore."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
     added = [("piece_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * keep_ids + [("n_pieces", T.LongType(), pa.int64()), ("piece_sha256", T.StringType(), pa.string()), ("round_trip", T.BooleanType(), pa.bool_())]
-    source = docs.drop(*[n for n, _, _ in added])
-    names = source.columns
+    names = docs.columns
     at = names.index(text_col)
+    as_ = spare(names, *[n for n, _, _ in added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(sent.value)
@@ -337,9 +337,9 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
                 ids = encoder(part)
                 new = {"n_pieces": [len(x) for x in ids], "piece_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "round_trip": [decoder(x) == t for x, t in zip(ids, part, strict=True)]}
                 columns = [pa.array(new[n], kind) if n in new else pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new["n_pieces"])), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32())) for n, _, kind in added]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *columns], [*names, *[n for n, _, _ in added]])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *columns], [*names, *as_])
 
-    return source.mapInArrow(encode, T.StructType([*source.schema.fields, *[T.StructField(n, t) for n, t, _ in added]]))
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, (_, t, _) in zip(as_, added, strict=True)]]))
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "piece_ids", text_col: str = "text") -> DataFrame:
