@@ -5,7 +5,8 @@ folder and rereads it for the next.  All stages but the last return the columns
 
 Nulls and edge cases: documents with a null or empty text, or a null id, pass the filters unless the classifier rejects
 the empty text; repeated rows are alike to every stage (of equal rows, which no rule can tell apart, near-duplicate
-removal keeps one); further columns are kept as they are.
+removal keeps one); further columns are kept as they are, whatever their names (the last stage's own columns get an
+underscore where a name is taken).
 """
 
 from __future__ import annotations
@@ -14,38 +15,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import staged, table
+from weftline.llm.common import spare, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects (score below 0.3)."""
-    from weftline.llm.quality import scored, trained
+    from weftline.llm.quality import accepted, trained
 
-    model = trained(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return accepted(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of 5-word shingle Jaccard 0.75 or more."""
     from weftline.llm.jaccard import similar_groups
 
-    groups = similar_groups(docs)
     # one row per id: rows that share an id share a component
-    keep = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    ids = similar_groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    keep = staged(ids.where("doc_id is null or doc_id = c").select("doc_id", (F.col("n") > 1).alias("several")), "kept-ids")
+    here = docs.columns
+    flag, copy = spare(here, "several", "copy")
+    kept = docs.join(keep.select(F.col("doc_id").alias(id_ := spare(here, "kept_id")[0]), F.col("several").alias(flag)), docs["doc_id"].eqNullSafe(F.col(id_)))
+    if keep.where("several").isEmpty():
+        return kept.select(*[docs[c] for c in here])
     # rows that share an id: equal texts are one document, others stay
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
-    return kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    order = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.length("text"))
+    again = kept.where(F.col(flag)).withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1)
+    return kept.where(~F.col(flag)).select(*here).union(again.select(*here))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of windows of 20 that also start earlier in the corpus; a document that loses all its words goes."""
     from weftline.llm.phrases import repeated_phrases
 
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = repeated_phrases(docs, carry=others).where("n_words = 0 or n_removed < n_words")
-    sized = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return sized.select(*docs.columns)
+    out = repeated_phrases(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).where("n_words = 0 or n_removed < n_words")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[(own[c] if c in own else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
