@@ -226,7 +226,7 @@ def test_jaccard_chain_and_empty(spark):
 def test_language_model(spark):
     r = random.Random(0)
     french, english = [f"fr{k}eau" for k in range(30)], [f"en{k}ing" for k in range(60)]
-    rows = [(k, " ".join(r.choice(french if k % 3 == 0 else english) for _ in range(40))) for k in range(200)] + [(900, None), (901, "unseen word"), (None, "en1ing")]
+    rows = [(k, " ".join(r.choice(french if k % 3 == 0 else english) for _ in range(40))) for k in range(200)] + [(900, None), (901, "unseen word"), (None, "en1ing"), (902, "en1ing " * 5000)]
     got = language_model.scored(make(spark, rows)).collect()
     tokens = {i: [*WORD.findall((t or "").translate(LOW)), None] for i, t in rows}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -243,23 +243,68 @@ def test_language_model(spark):
     assert language_model.scored(make(spark, [])).count() == 0
 
 
-def test_language_model_classes_and_step():
-    """64 classes, all in use, and a step as written out plainly."""
+def slow_score(text, weights, counts, head):
+    """A text's log10 probability written out token by token from the model's tables. counts: by word hash, (code, count)."""
+    m = language_model
+    t = m.tokens(pa.array([text]))
+    context = m.contexts(t, head.find(t.hashes), head)
+    by_code, once = collections.Counter(), collections.Counter()
+    of_class = collections.Counter()
+    for code, n in counts.values():
+        by_code[code] += n
+        of_class[code // (m.CODES // m.CLASSES)] += n
+        once[code // (m.CODES // m.CLASSES)] += n == 1
+    total = 0.0
+    for i, h in enumerate(t.hashes.tolist()):
+        code = int(t.codes[i])
+        digits = [code // m.FAN ** (m.LEVELS - 1 - k) % m.FAN for k in range(m.LEVELS)]
+        logs = []
+        for level in range(m.LEVELS):
+            s = weights[level][m.slots(context[i : i + 1], t.codes[i : i + 1], level)[0]].astype(float).sum(0)
+            logs.append(math.log10(math.exp(s[digits[level]]) / sum(map(math.exp, s))))
+        k = code // (m.CODES // m.CLASSES)
+        unseen = (1e-9 if k == 0 else min((once[k] + 0.5) / (of_class[k] + 1), 0.5)) if of_class[k] else 1.0
+        total += sum(logs[:2]) + (sum(logs[2:]) + math.log10((1 - unseen) * counts[h][1] / by_code[code]) if h in counts else math.log10(unseen))
+    return total
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_score_is_the_models_probability(spark, monkeypatch, rounds):
+    """The query's scores against a naive recomputation from the tables it trained, with rarer words met in the join."""
+    m = language_model
+    monkeypatch.setattr(m, "HEAD", 3)
+    sent, plain_scorer = {}, m._scorer
+    monkeypatch.setattr(m, "_scorer", lambda weights, head, *rest: sent.update(w=weights.value, h=head.value) or plain_scorer(weights, head, *rest))
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(["aa", "bb", "cc", "dd", f"rare{k}"]) for _ in range(12))) for k in range(60)]
+    got = m.scored(make(spark, rows), rounds=rounds) if rounds else m.scored(make(spark, rows))
+    counts = {}
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            t = m.tokens(pa.array([text]))
+            for h, k in zip(t.hashes.tolist(), t.codes.tolist(), strict=True):
+                counts[h] = (k, counts.get(h, (k, 0))[1] + 1)
+    for row in got.collect():
+        assert row.score == pytest.approx(slow_score(dict(rows)[row.doc_id], sent["w"], counts, sent["h"]), rel=1e-4), row.doc_id
+
+
+def test_language_model_codes_and_step():
+    """64 classes, all in use, parted further by whole words; and a step as written out plainly."""
     m = language_model
     t = m.tokens(pa.array([" ".join(f"{a}{b}c" for a in "abcdefghijklmnop" for b in "qrstuvwxyz0123456789")]))
-    assert m.CLASSES >= 64 and len(np.unique(t.classes)) == m.CLASSES
+    assert m.CLASSES >= 64 and len(np.unique(t.codes // (m.CODES // m.CLASSES))) == m.CLASSES and len(np.unique(t.codes)) > 4 * m.CLASSES
     r = np.random.default_rng(0)
-    slots, classes = r.integers(1, 40, (300, m.N_FEATURES)), r.integers(0, m.CLASSES, 300)
-    weights = r.normal(0, 0.1, (m.SLOTS, m.CLASSES)).astype(np.float32)
-    s = weights[slots].astype(float).sum(1) + weights[0]
-    p = np.exp(s) / np.exp(s).sum(1, keepdims=True) - np.eye(m.CLASSES)[classes]
+    at, digit = r.integers(1, 40, (300, m.N_FEATURES)).astype(np.uint16), r.integers(0, m.FAN, 300)
+    weights = r.normal(0, 0.1, (m.SLOTS, m.FAN)).astype(np.float32)
+    s = weights[at].astype(float).sum(1)
+    p = np.exp(s) / np.exp(s).sum(1, keepdims=True) - np.eye(m.FAN)[digit]
     g = np.zeros(weights.shape)
-    np.add.at(g, slots.ravel(), np.repeat(p, m.N_FEATURES, 0))
-    g[0] = p.sum(0)
+    np.add.at(g, at.ravel(), np.repeat(p, m.N_FEATURES, 0))
     want = weights - m.RATE * g / np.sqrt(g * g + 1)
-    squares = np.zeros_like(weights)
-    m.train_batch(weights, squares, slots, classes)
+    squares, touched = np.zeros_like(weights), np.zeros(m.SLOTS, np.float32)
+    m.train_batch(weights, squares, touched, at, digit)
     assert np.allclose(weights, want, atol=1e-5) and np.allclose(squares, g * g, atol=1e-3)
+    assert touched.tolist() == np.bincount(at.ravel(), minlength=m.SLOTS).tolist()
 
 
 # 5 transcripts

@@ -1,20 +1,28 @@
 """LM scoring by a hashed maximum-entropy model.
 
 Tokens are lower-cased words and one end per text.  The model factors a token into its class and the token given its
-class.  Classes come from a hash of a word's last bytes (the end has its own); P(class | context) is a softmax over sums
-of hashed feature rows: the words one, two and three places back (skips), the two before together (n-gram), and a bias row.
-P(token | class) comes from counts, with Good-Turing mass of the class for one unseen token, as the base score also
-counts unseen tokens as one.  Both factors are normalised, so a text's score is a proper log10 probability.
+class.  A token's code has ``LEVELS`` digits of ``FAN`` values: the first two are its class, from a hash of its last
+bytes (the end has its own), the others a hash of the whole word.  Each digit given those before it is a softmax over
+sums of hashed feature rows: the words one, two and three places back (skips), the two before together (n-gram), and a
+bias row of the digits before.  So the context decides among classes and among the words of a class; words that share
+a whole code (few, unless the vocabulary is huge) are told apart by their counts.
+
+A class keeps Good-Turing mass for one outcome, "a token of this class that training has not seen"; what is left goes to
+the digits after the class and, within a code, to the training words by their counts.  The probabilities of a token's
+outcomes so add up to 1 at most, and score is the log10 probability of the text with unseen tokens read as that outcome
+(as the base score also counts all unseen tokens as one).
 
 Training covers every training document: counts by pre-aggregated sums, and gradient updates in ``ROUNDS`` rounds over
 disjoint parts of the documents.  In a round each task runs sparse Adagrad steps on numpy batches from the shared
-weights and sends its weight changes (half precision); their token-weighted mean is the next shared model.
+weights and sends its weight changes (half precision); a row's next value is their mean, weighted by how often each
+task's tokens had that row's feature, so a feature that one task saw isn't diluted by those that didn't.
 
 Counts of the ``HEAD`` most frequent words travel to all tasks (a fixed bound); rarer words of each document meet their
 counts in a join, so no vocabulary has to fit anywhere and frequent words don't crowd one task.
 
 Nulls and edge cases: a null text counts as empty (one token, the end); a null id counts as the empty text for the fold;
-without training documents all counts are 0 and scores stay finite; repeated rows are scored each; texts are never cut.
+without training documents all counts are 0 and scores stay finite; repeated rows are scored each; texts are never cut;
+the result's columns are those named below, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,25 +38,29 @@ from pyspark.sql import functions as F
 from weftline.llm.common import plain, slices, staged
 from weftline.llm.words import SPACED, mix, split
 
-CLASSES = 64
-SLOTS = 1 << 15
+LEVELS, FAN = 4, 8
+CLASSES = FAN * FAN
+CODES = FAN**LEVELS
+#: Feature rows of a level; its first ones are the bias rows.
+SLOTS = 1 << 16
+BIAS = CODES // FAN
 HEAD = 1 << 16
 #: Context words that are features themselves; others count as their class.
 CONTEXT = 1 << 13
 ROUNDS = 2
-BATCH = 1024
-RATE = 0.15
-N_FEATURES = 4
+BATCH = 1 << 14
+RATE = 0.2
+N_FEATURES = 5
 END = np.uint64(0)
-_BLOCK = 1 << 10
+_BLOCK = 1 << 11
 
 
 @dataclass
 class Tokens:
-    """Tokens of some texts in order: hash, class, text of each; ends are at ``last``."""
+    """Tokens of some texts in order: hash, code, text of each; ends are at ``last``."""
 
     hashes: np.ndarray
-    classes: np.ndarray
+    codes: np.ndarray
     rows: np.ndarray
     last: np.ndarray
 
@@ -61,14 +73,15 @@ def tokens(texts: pa.Array) -> Tokens:
     word = np.ones(len(hashes), bool)
     word[last] = False
     hashes[word] = np.where(w.hashes == END, np.uint64(1), w.hashes)
-    classes = np.zeros(len(hashes), np.int64)
+    codes = np.zeros(len(hashes), np.int64)
     if len(w.starts):
         tail = np.zeros(len(w.starts), np.uint64)
         for back in (1, 2, 3):
             at = w.ends - back
             tail = (tail << np.uint64(8)) | np.where(at >= w.starts, w.data[np.maximum(at, 0)], 0).astype(np.uint64)
-        classes[word] = 1 + (mix(tail) % np.uint64(CLASSES - 1)).astype(np.int64)
-    return Tokens(hashes, classes, np.repeat(np.arange(len(n)), n), last)
+        rest = CODES // CLASSES
+        codes[word] = (1 + (mix(tail) % np.uint64(CLASSES - 1)).astype(np.int64)) * rest + (mix(w.hashes) % np.uint64(rest)).astype(np.int64)
+    return Tokens(hashes, codes, np.repeat(np.arange(len(n)), n), last)
 
 
 @dataclass
@@ -87,63 +100,82 @@ class Head:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def features(t: Tokens, known: np.ndarray, head: Head) -> np.ndarray:
-    """Slots of each token's features, shape (n, N_FEATURES); slot 0 is the bias, which every token has."""
+def contexts(t: Tokens, known: np.ndarray, head: Head) -> np.ndarray:
+    """Hashes of each token's context features, shape (n, N_FEATURES - 1)."""
     n = len(t.hashes)
-    own = np.where((known >= 0) & (len(head.hashes) > 0) & np.append(head.context, False)[known], t.hashes, t.classes.astype(np.uint64) + np.uint64(2))
+    own = np.where((known >= 0) & (len(head.hashes) > 0) & np.append(head.context, False)[known], t.hashes, (t.codes // (CODES // CLASSES)).astype(np.uint64) + np.uint64(2))
     own = mix(own + np.uint64(0x2545F4914F6CDD1D))
     back = []
     for k in (1, 2, 3):
         b = np.zeros(n, np.uint64)
         b[k:] = np.where(t.rows[k:] == t.rows[:-k], own[:-k], 0)
         back.append(b)
-    out = np.zeros((n, N_FEATURES), np.int64)
+    out = np.empty((n, N_FEATURES - 1), np.uint64)
     for j, h in enumerate((back[0], back[1], back[2], back[0] * np.uint64(3) + back[1] * np.uint64(0x9E3779B97F4A7C15))):
-        out[:, j] = (mix(h + np.uint64(j + 1)) % np.uint64(SLOTS - 1)).astype(np.int64) + 1
+        out[:, j] = mix(h + np.uint64(j + 1))
     return out
 
 
-def _sums(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    out = np.take(weights, slots[:, 0], axis=0)
-    for j in range(1, N_FEATURES):
-        out += np.take(weights, slots[:, j], axis=0)
-    out += weights[0]
+def slots(context: np.ndarray, codes: np.ndarray, level: int) -> np.ndarray:
+    """Rows of the features in a level's table: the bias of the digits before, and a hash of them and each context feature."""
+    before = codes // FAN ** (LEVELS - level)
+    out = np.empty((len(codes), N_FEATURES), np.uint16)
+    out[:, 0] = before
+    hashed = ((context + before.astype(np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    hashed[hashed < BIAS] += np.uint64(BIAS)
+    out[:, 1:] = hashed
     return out
 
 
-def class_logs(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class."""
-    out = np.empty(len(slots))
-    for at in range(0, len(slots), BATCH):
-        s = _sums(weights, slots[at : at + BATCH])
-        s -= s.max(1, keepdims=True)
-        out[at : at + BATCH] = s[np.arange(len(s)), classes[at : at + BATCH]] - np.log(np.exp(s).sum(1))
+def _sums(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.take(weights, at[:, 0], axis=0)
+    for j in range(1, N_FEATURES):
+        out += np.take(weights, at[:, j], axis=0)
     return out
 
 
-def train_batch(weights: np.ndarray, squares: np.ndarray, slots: np.ndarray, classes: np.ndarray) -> None:
-    """One sparse Adagrad step."""
-    s = _sums(weights, slots)
+def code_logs(weights: np.ndarray, context: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of each token's class, and of the rest of its code given the class."""
+    out = np.zeros((2, len(codes)))
+    for lo in range(0, len(codes), BATCH):
+        part = codes[lo : lo + BATCH]
+        for level in range(LEVELS):
+            s = _sums(weights[level], slots(context[lo : lo + BATCH], part, level))
+            s -= s.max(1, keepdims=True)
+            out[int(level > 1), lo : lo + BATCH] += s[np.arange(len(s)), part // FAN ** (LEVELS - 1 - level) % FAN] - np.log(np.exp(s).sum(1))
+    return out[0], out[1]
+
+
+def train_batch(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, at: np.ndarray, digit: np.ndarray) -> None:
+    """One sparse Adagrad step of a level's rows."""
+    s = _sums(weights, at)
     s -= s.max(1, keepdims=True)
     p = np.exp(s, out=s)
     p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), classes] -= 1
-    bias = p.sum(0)
-    squares[0] += bias * bias
-    weights[0] -= RATE * bias / np.sqrt(squares[0] + 1)
-    flat = slots.ravel().astype(np.uint16 if SLOTS <= 1 << 16 else np.int64)  # short keys sort by radix
-    by = np.argsort(flat, kind="stable")
+    p[np.arange(len(p)), digit] -= 1
+    flat = at.ravel()
+    by = np.argsort(flat, kind="stable")  # 16-bit keys sort by radix
     ordered = flat[by]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    touched = ordered[first].astype(np.int64)
+    rows = ordered[first]
     g = np.add.reduceat(np.take(p, by // N_FEATURES, axis=0), first)
-    now = np.take(squares, touched, axis=0)
+    touched[rows] += np.diff(np.append(first, len(by))).astype(np.float32)
+    now = np.take(squares, rows, axis=0)
     now += g * g
-    squares[touched] = now
+    squares[rows] = now
     now += 1
     g *= np.float32(RATE)
     g /= np.sqrt(now, out=now)
-    weights[touched] -= g
+    weights[rows] -= g
+
+
+def first_weights(counts: np.ndarray) -> np.ndarray:
+    """Tables of all levels: bias rows from the counts of the codes, the rest 0."""
+    weights = np.zeros((LEVELS, SLOTS, FAN), np.float32)
+    for level in range(LEVELS):
+        by_digit = counts.reshape(FAN**level, FAN, -1).sum(2)
+        weights[level, : len(by_digit)] = np.log(by_digit + 0.5)
+    return weights
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,44 +184,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(texts):
             t = tokens(texts.slice(lo, hi - lo))
             h, at, n = np.unique(t.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.classes[at], pa.int32()), pa.array(n, pa.int64())], ["w", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.codes[at], pa.int32()), pa.array(n, pa.int64())], ["w", "k", "n"])
 
 
 def _trainer(weights, head):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = weights.value
-        now, squares, seen = start.copy(), np.zeros_like(start), 0
+        now, squares, touched = start.copy(), np.zeros_like(start), np.zeros(start.shape[:2], np.float32)
         for batch in batches:
             texts = plain(batch.column("text"))
             for lo, hi in slices(texts):
                 t = tokens(texts.slice(lo, hi - lo))
-                slots = features(t, head.value.find(t.hashes), head.value)
-                for at in range(0, len(slots), BATCH):
-                    train_batch(now, squares, slots[at : at + BATCH], t.classes[at : at + BATCH])
-                seen += len(slots)
-        if seen:
-            change = (now - start).astype(np.float16).reshape(-1, _BLOCK, CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(change)), pa.int32()), pa.array(np.full(len(change), seen), pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], ["block", "seen", "change"])
+                context = contexts(t, head.value.find(t.hashes), head.value)
+                for at in range(0, len(context), BATCH):
+                    codes = t.codes[at : at + BATCH]
+                    for level in range(LEVELS):
+                        train_batch(now[level], squares[level], touched[level], slots(context[at : at + BATCH], codes, level), codes // FAN ** (LEVELS - 1 - level) % FAN)
+        seen = touched.reshape(-1, _BLOCK)
+        some = np.flatnonzero(seen.any(1))
+        change = (now - start).astype(np.float16).reshape(-1, _BLOCK, FAN)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([seen[k].tobytes() for k in some], pa.binary()), pa.array([change[k].tobytes() for k in some], pa.binary())], ["block", "seen", "change"])
 
     return train
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
-    total: dict[int, int] = {}
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, seen, data in zip(batch.column("block").to_pylist(), batch.column("seen").to_pylist(), batch.column("change"), strict=True):
-            part = np.frombuffer(data.as_py(), np.float16).astype(np.float64) * seen
+        for block, seen, data in zip(batch.column("block").to_pylist(), batch.column("seen"), batch.column("change"), strict=True):
+            n = np.frombuffer(seen.as_py(), np.float32).astype(np.float64)
+            part = np.frombuffer(data.as_py(), np.float16).reshape(_BLOCK, FAN) * n[:, None]
             sums[block] = sums[block] + part if block in sums else part
-            total[block] = total.get(block, 0) + seen
-    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([(s / total[b]).astype(np.float32).tobytes() for b, s in sums.items()], pa.binary())], ["block", "change"])
+            total[block] = total[block] + n if block in total else n
+    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([(s / np.maximum(total[b], 1)[:, None]).astype(np.float32).tobytes() for b, s in sums.items()], pa.binary())], ["block", "change"])
 
 
-def _scorer(weights, head, n_train: int, vocabulary: int, by_class: np.ndarray):
-    """kind 0: a text's sums; kind 1: a rarer word of a text. by_class: per class log10 of (seen mass / count), log10 of unseen mass."""
+def _scorer(weights, head, n_train: int, vocabulary: int, logs_of: np.ndarray):
+    """kind 0: a text's sums; kind 1: a rarer word of a text. logs_of: per code log10 of (its class's seen mass / its count) and of its class's unseen mass."""
     floor = np.log10(n_train + 0.5 * (vocabulary + 1))
-    names = ["kind", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "w", "k", "n"]
-    kinds = [pa.int32(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["kind", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "w", "k", "n", "rest"]
+    kinds = [pa.int32(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
@@ -199,20 +234,20 @@ def _scorer(weights, head, n_train: int, vocabulary: int, by_class: np.ndarray):
             for lo, hi in slices(texts):
                 t = tokens(texts.slice(lo, hi - lo))
                 known = h.find(t.hashes)
-                logs = class_logs(weights.value, features(t, known, h), t.classes) / np.log(10)
+                logs, rest = (x / np.log(10) for x in code_logs(weights.value, contexts(t, known, h), t.codes))
                 c = h.counts[known] if len(h.counts) else np.zeros(len(known))
                 top = known >= 0
-                logs[top] += np.log10(c[top]) + by_class[0][t.classes[top]]
+                logs[top] += rest[top] + np.log10(c[top]) + logs_of[0][t.codes[top]]
                 base = np.where(top, np.log10(np.where(top, c, 0) + 0.5) - floor, 0)
                 m = hi - lo
                 add = lambda v: np.bincount(t.rows, v, m)
                 doc = batch.column("doc_id").slice(lo, m)
-                own = [np.zeros(m, np.int32), uid[lo:hi], doc, batch.column("held_out").slice(lo, m), np.bincount(t.rows, minlength=m), add(top).astype(np.int64), add(base), add(logs), None, None, None]
+                own = [np.zeros(m, np.int32), uid[lo:hi], doc, batch.column("held_out").slice(lo, m), np.bincount(t.rows, minlength=m), add(top).astype(np.int64), add(base), add(logs), None, None, None, None]
                 rare = np.flatnonzero(~top)
                 by = rare[np.lexsort((t.hashes[rare], t.rows[rare]))]
                 first = np.flatnonzero(np.append(True, (t.hashes[by][1:] != t.hashes[by][:-1]) | (t.rows[by][1:] != t.rows[by][:-1])))[: len(by)]
                 at, n = by[first], np.diff(np.append(first, len(by)))
-                words = [np.ones(len(at), np.int32), uid[lo + t.rows[at]], None, None, None, None, None, None, t.hashes[at].view(np.int64), t.classes[at], n]
+                words = [np.ones(len(at), np.int32), uid[lo + t.rows[at]], None, None, None, None, None, None, t.hashes[at].view(np.int64), t.codes[at], n, np.add.reduceat(rest[by], first) if len(by) else rest[by]]
                 for columns, size in ((own, m), (words, len(at))):
                     yield pa.RecordBatch.from_arrays([pa.nulls(size, k or doc.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
@@ -227,37 +262,42 @@ def scored(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col: str
     train = source.where(~F.col("held_out"))
 
     counts = staged(train.select("text").mapInArrow(_count, "w bigint, k int, n bigint").groupBy("w", "k").agg(F.sum("n").alias("c")), "counts")
-    by_class = np.zeros((3, CLASSES))
+    by_code = np.zeros((3, CODES))
     for k, *row in counts.groupBy("k").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("bigint"))).collect():
-        by_class[:, k] = row
-    n_train, vocabulary = int(by_class[0].sum()), int(by_class[1].sum())
-    unseen = np.clip((by_class[2] + 0.5) / (by_class[0] + 1), 1e-9, 0.5)
-    unseen[0] = 1e-9 if by_class[0, 0] else 0.5  # the end is never new
-    logs = np.stack([np.log10(1 - unseen) - np.log10(np.maximum(by_class[0], 1)), np.log10(unseen)])
+        by_code[:, k] = row
+    n_train, vocabulary = int(by_code[0].sum()), int(by_code[1].sum())
+    tokens_of, _, once = by_code.reshape(3, CLASSES, -1).sum(2)
+    unseen = np.clip((once + 0.5) / (tokens_of + 1), 1e-9, 0.5)
+    unseen[tokens_of == 0] = 1.0
+    if tokens_of[0]:
+        unseen[0] = 1e-9  # the end is never new
+    of_class = lambda x: np.log10(np.maximum(np.repeat(x, CODES // CLASSES), 1e-9))
+    logs = np.stack([of_class(1 - unseen) - np.log10(np.maximum(by_code[0], 1)), of_class(unseen)])
     top = counts.orderBy(F.desc("c"), "w").limit(HEAD).select("w", "c").toArrow()
     w, c = np.asarray(top.column("w")).view(np.uint64), np.asarray(top.column("c")).astype(np.float64)
     by = np.argsort(w)
     head = context.broadcast(Head(w[by], c[by], by < CONTEXT))
 
-    weights = np.zeros((SLOTS, CLASSES), np.float32)
-    weights[0] = np.log(by_class[0] + 0.5)
+    weights = first_weights(by_code[0])
+    blocks = LEVELS * SLOTS // _BLOCK
     for part in range(rounds):
-        step = train.where(F.col("part") == part).select("text").mapInArrow(_trainer(context.broadcast(weights), head), "block int, seen bigint, change binary").repartition(SLOTS // _BLOCK, "block").mapInArrow(_average, "block int, change binary").collect()
+        step = train.where(F.col("part") == part).select("text").mapInArrow(_trainer(context.broadcast(weights), head), "block int, seen binary, change binary").repartition(blocks, "block").mapInArrow(_average, "block int, change binary").collect()
         weights = weights.copy()
+        flat = weights.reshape(blocks, _BLOCK, FAN)
         for block, data in step:
-            weights[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(data, np.float32).reshape(_BLOCK, CLASSES)
+            flat[block] += np.frombuffer(data, np.float32).reshape(_BLOCK, FAN)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(
         _scorer(context.broadcast(weights), head, n_train, vocabulary, logs),
-        f"kind int, uid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, w bigint, k int, n bigint",
+        f"kind int, uid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, w bigint, k int, n bigint, rest double",
     )
     rows = staged(rows, "scores")
     c = F.coalesce(F.col("c"), F.lit(0))
-    of_class = lambda r: F.element_at(F.array(*[F.lit(float(x)) for x in logs[r]]), F.col("k") + 1)
     base = F.log10(c + 0.5) - float(np.log10(n_train + 0.5 * (vocabulary + 1)))
-    inner = F.when(c > 0, F.log10(c) + of_class(0)).otherwise(of_class(1))
-    rare = rows.where("kind = 1").select("uid", "w", "k", "n").join(counts.select("w", "c"), "w", "left").groupBy("uid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * base).alias("b2"), F.sum(F.col("n") * inner).alias("s2"))
+    of_code = F.broadcast(docs.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(logs.T)], "k int, seen double, unseen double"))  # CODES rows
+    inner = F.when(c > 0, F.col("n") * (F.log10(c) + F.col("seen")) + F.col("rest")).otherwise(F.col("n") * F.col("unseen"))
+    rare = rows.where("kind = 1").select("uid", "w", "k", "n", "rest").join(counts.select("w", "c"), "w", "left").join(of_code, "k").groupBy("uid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * base).alias("b2"), F.sum(inner).alias("s2"))
     own = rows.where("kind = 0").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(rare, "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return own.select("doc_id", "held_out", "n_tokens", plus("n_known", "k2").alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"), plus("base_score", "b2").alias("base_score"), plus("score", "s2").alias("score"))
