@@ -5,11 +5,13 @@ words (character classes, word lengths, repeats, hashed words), and a small netw
 labels alone: an encoder h = tanh(Wx + b), gated attention weights softmax(w . (tanh(Vh) * sigmoid(Uh))) over the bag,
 and a logistic score of the weighted passage representation.
 
-Fitting uses a bounded sample: at most ``SAMPLE`` labelled documents, those with the least hash of their id, each with
-at most ``BAG`` passages, evenly spread.  Scoring uses every passage of every document and nothing but the text.
+Fitting uses a bounded sample of labelled documents: those with the least hash of their id, at most ``SAMPLE`` of them
+and as many as have ``SAMPLE_BYTES`` of text together; each is used whole, with every passage.  Scoring uses every
+passage of every document and nothing but the text.
 
 Nulls and edge cases: a null text counts as empty, which is one passage of zeros; null labels or ids teach nothing; of
-several labels of one id the lowest counts; without any label every score is 0.5; repeated rows are scored each.
+several labels of one id the lowest counts, of several texts the least; without any label every score is 0.5; repeated
+rows are scored each; ``scored`` replaces columns named score and predicted, ``accepted`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -21,17 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from weftline.llm.common import plain, slices
+from weftline.llm.common import freed, plain, slices, staged
 from weftline.llm.words import mix, split
 
 PASSAGE = 64
 SAMPLE = 6000
-BAG = 256
+SAMPLE_BYTES = 48 << 20
 HIDDEN, GATE = 24, 12
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 1e-4
-HASHED = 32
+HASHED = 128
 #: Columns of plain features, before the hashed words.
 PLAIN = 16
 N_FEATURES = PLAIN + HASHED
@@ -95,7 +98,7 @@ def passages(texts: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
     gap[1:] = np.minimum(w.starts[1:] - w.ends[:-1] - 1, 3) * (within[1:] > 0)
     x[:, 15] = add(gap) / n
     h = mix(w.hashes)
-    bucket = (h >> np.uint64(59)).astype(np.int64) % HASHED
+    bucket = (h >> np.uint64(32)).astype(np.int64) % HASHED
     sign = np.where((h & np.uint64(1)).astype(bool), 1.0, -1.0)
     bag = np.bincount(of * HASHED + bucket, sign, len(row) * HASHED).reshape(-1, HASHED)
     x[:, PLAIN:] = bag / np.sqrt(n)[:, None]
@@ -138,19 +141,29 @@ class Model:
         dx = dh * (1 - h**2)
         return {"W": k["x"].T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ ds, "c": k["z"].T @ dy, "d": dy.sum(keepdims=True)}
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> None:
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-3
+    def fit(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, seed: int = 0) -> None:
+        """x: passages of all documents (half precision), starts: first passage of each document."""
+        n = len(x)
+        total, square = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for at in range(0, n, 65536):
+            part = x[at : at + 65536].astype(np.float64)
+            total += part.sum(0)
+            square += (part * part).sum(0)
+        self.mean = total / n
+        self.scale = np.sqrt(np.maximum(square / n - self.mean**2, 0)) + 1e-3
         rate = np.clip(labels.mean(), 0.01, 0.99)
         self.params["d"][:] = np.log(rate / (1 - rate))
+        ends = np.append(starts[1:], n)
         r = np.random.default_rng(seed)
         m, s, step = {k: np.zeros_like(v) for k, v in self.params.items()}, {k: np.zeros_like(v) for k, v in self.params.items()}, 0
         for epoch in range(EPOCHS):
-            by = r.permutation(len(bags))
+            by = r.permutation(len(starts))
             for at in range(0, len(by), BATCH):
                 part = by[at : at + BATCH]
-                starts = np.cumsum([0, *[len(bags[k]) for k in part[:-1]]])
-                grads = self.gradient(np.concatenate([bags[k] for k in part]), starts, labels[part])
+                size = ends[part] - starts[part]
+                first = np.cumsum(size) - size
+                take = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(starts[part], size)
+                grads = self.gradient(x[take].astype(np.float32), first, labels[part])
                 step += 1
                 for k, g in grads.items():
                     g = g + DECAY * self.params[k]
@@ -174,22 +187,27 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
             data = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                take = np.arange(a, b) if b - a <= BAG else a + np.arange(BAG) * (b - a) // BAG
-                data.append(x[take].astype(np.float16).tobytes())
+                data.append(x[a:b].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(data, pa.binary())], ["doc_id", "label", "bag"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, fold: int = 0, label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled documents whose crc32(doc_id as text) mod 5 is not ``fold``."""
+def trained(docs: DataFrame, labels: DataFrame, fold: int = 0, label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from labelled documents whose crc32(doc_id as text) mod 5 is not ``fold``: at most ``sample`` of them, with at most ``sample_bytes`` of text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != fold))
     known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("bigint"), "label", "text")
-    rows = chosen.mapInArrow(_bags, "doc_id bigint, label int, bag binary").toArrow()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    texts = staged(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")), "labelled")
+    # at most ``sample`` rows of ids and sizes meet here
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = texts.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= sample_bytes).select("doc_id")
+    rows = texts.join(F.broadcast(within), "doc_id").mapInArrow(_bags, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, bag binary").toArrow()
+    freed(texts)
     model = Model()
     if rows.num_rows:
         rows = rows.sort_by("doc_id")
-        bags = [np.frombuffer(b.as_py(), np.float16).reshape(-1, N_FEATURES).astype(np.float64) for b in rows.column("bag")]
-        model.fit(bags, np.asarray(rows.column("label"), np.float64))
+        x = np.frombuffer(b"".join(b.as_py() for b in rows.column("bag")), np.float16).reshape(-1, N_FEATURES)
+        size = pa.compute.binary_length(rows.column("bag")).to_numpy().astype(np.int64) // (2 * N_FEATURES)
+        model.fit(x, np.cumsum(size) - size, rows.column("label").to_numpy().astype(np.float64))
     return model
 
 
