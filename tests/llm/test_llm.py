@@ -352,6 +352,18 @@ def test_quality_on_held_out_documents(spark):
     assert all(got[i].predicted == int(got[i].score >= 0.3) for i in got)
 
 
+def test_quality_sample_is_bounded(spark):
+    """A labelled id that is repeated many times counts once; a text over the bound of bytes ends the sample; very long texts are scored."""
+    rows = [(7, "good words here " * 3)] * 3000 + [(8, "!!! ### " * 30), (9, "w " * 200_000)]
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for most in (quality.SAMPLE_BYTES, 1000):
+        model = quality.trained(make(spark, rows), labels, sample_bytes=most)
+        got = quality.scored(make(spark, rows[2998:]), model).collect()
+        assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    kept = quality.accepted(make(spark, rows[2998:]).withColumn("score", F.lit("own")), model, threshold=0.0)
+    assert [r.score for r in kept.collect()] == ["own"] * 4
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.quality_scores(make(spark, [(1, "a b"), (2, None)]), none).collect()] == [0.5, 0.5]
@@ -502,6 +514,32 @@ def test_decontamination(spark, most):
     assert {r.doc_id for r in decontaminate.clean(docs, bench, most=most).collect()} == {i for i, x in want.items() if not x[4]}
 
 
+def test_block_is_small_and_whole():
+    """Windows, owners and prefixes of a large block against plain sets; the packed block stays a small multiple of its text."""
+    import pickle
+
+    r = random.Random(3)
+    items = [(str(k), " ".join(r.choice("abcdefghijklmnop") + str(r.randint(0, 2000)) for _ in range(r.choice([4, 60])))) for k in range(4000)] + [("1", "x y z"), ("7", "x y z")]
+    b = decontaminate.Block(items)
+    text = sum(len(t) for _, t in items)
+    b.order({n: np.ones(len(k), np.int64) for n, k in b.keys.items()})
+    assert len(pickle.dumps(b)) < 12 * text + len(b.prefix) * (1 << 20)  # a bitmap for each shingle width
+    want = collections.defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for s in range(len(w) - min(10, len(w)) + 1):
+            want[tuple(w[s : s + 10])].add(i)
+    got = {tuple(b.text(p + j).decode() for j in range(n)): {b.ids[x] for x in b.owners[lo:hi]} for p, n, lo, hi in zip(b.places.tolist(), b.sizes.tolist(), b.owner_at[:-1].tolist(), b.owner_at[1:].tolist(), strict=True)}
+    assert got == dict(want)
+
+
+def test_long_contaminated_text(spark):
+    item = " ".join(f"q{k}" for k in range(10))
+    text = " ".join(f"z{k % 977}" for k in range(60_000)) + " " + item + " end"
+    got = decontaminate.contamination(make(spark, [(1, text)]), spark.createDataFrame([(3, item)], "item_id long, text string")).collect()
+    assert [(r.n_words, r.n_hit, r.n_items) for r in got] == [(60_011, 10, 1)]
+
+
 def test_empty_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination(make(spark, [(1, "a b")]), none).collect()

@@ -6,7 +6,8 @@ corpus gives the fewest candidates.  Documents probe with their shingles; a cand
 inside the document (length and position bound), and then all its words are compared.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text, and every block meets
-every document, so neither the driver nor a task ever holds more than one block's table.
+every document.  A block is a few flat arrays, about ten times its text; the driver holds one at a time, and each Python
+worker holds one, in a chain of as many workers a task as there are blocks.
 
 Nulls and edge cases: a null or wordless text has no words and no hits; a null item id counts as the empty string; a
 repeated item id is reported once; repeated document rows are each judged; an empty benchmark hits nothing.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import plain, slices
-from weftline.llm.words import ALNUM, cover, ngrams, split, whole
+from weftline.llm.words import ALNUM, cover, mix, ngrams, split, whole
 
 WINDOW = 10
 SHINGLE = 3
@@ -32,47 +33,61 @@ _BITS = 20
 
 
 class Block:
-    """Windows of some items: words, hashes, owners, and (after ``order``) a prefix shingle with its offset."""
+    """Windows of some items as arrays: the items' words, places and sizes of the distinct windows, their owners, and (after ``order``) a prefix shingle with its offset."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE):
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
         w = split(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
-        windows: dict[tuple[bytes, ...], list[int]] = {}
-        hashes: dict[tuple[bytes, ...], np.ndarray] = {}
-        for r, (item, _) in enumerate(items):
-            a, b = int(w.rows[r]), int(w.rows[r + 1])
-            texts = [w.text(i) for i in range(a, b)]
-            size = min(window, b - a)
-            for s in range(b - a - size + 1) if size else ():
-                key = tuple(texts[s : s + size])
-                windows.setdefault(key, []).append(number[item])
-                hashes[key] = w.hashes[a + s : a + s + size]
-        self.words = list(windows)
-        self.owners = [np.unique(np.array(x)) for x in windows.values()]
-        self.sizes = np.array([len(x) for x in self.words], np.int64)
-        self.hashes = np.zeros((len(self.words), window), np.uint64)
-        for k, key in enumerate(self.words):
-            self.hashes[k, : len(key)] = hashes[key]
-        self.grams = [ngrams(self.hashes[k, :n], min(shingle, n)) for k, n in enumerate(self.sizes.tolist())]
+        self.data, self.starts, self.ends, self.hashes = w.data, w.starts.astype(np.int32), w.ends.astype(np.int32), w.hashes
+        n = np.diff(w.rows)
+        size = np.minimum(window, n)
+        times = np.where(n > 0, n - size + 1, 0)
+        item = np.repeat(np.arange(len(n)), times)
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + w.rows[:-1][item]
+        owner = np.array([number[i] for i, _ in items], np.int64)[item] if len(items) else item
+        sizes = size[item]
+        one, two = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+        for k in np.unique(sizes).tolist():
+            of = sizes == k
+            one[of], two[of] = ngrams(w.hashes, k)[place[of]], ngrams(mix(w.hashes), k)[place[of]]
+        by = np.lexsort((owner, two, one, sizes))
+        new = np.append(True, (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]) | (sizes[by][1:] != sizes[by][:-1]))[: len(by)]
+        own = new | np.append(True, owner[by][1:] != owner[by][:-1])[: len(by)]
+        #: Of each distinct window: where it stands first among the items' words, its size, and its items (``owners[at:next at]``).
+        self.places, self.sizes = place[by][new].astype(np.int32), sizes[by][new].astype(np.int16)
+        self.owners = owner[by][own].astype(np.int32)
+        self.owner_at = np.append(np.flatnonzero(new[own]), len(self.owners)).astype(np.int32)
         self.width = np.minimum(self.sizes, shingle)
         #: For each shingle width: the distinct shingle hashes, ascending.
-        self.keys = {int(n): np.unique(np.concatenate([self.grams[k] for k in np.flatnonzero(self.width == n)])) for n in np.unique(self.width)}
+        self.keys = {}
+        for k in np.unique(self.width).tolist():
+            of = self.width == k
+            inside = cover(self.places[of], self.sizes[of] - k + 1, len(w.hashes))[: max(len(w.hashes) - k + 1, 0)]
+            self.keys[k] = np.unique(ngrams(w.hashes, k)[inside])
 
     def order(self, counts: dict[int, np.ndarray]) -> None:
         """Choose each window's rarest shingle as its prefix. counts: by width, of ``keys``."""
         self.prefix = {}
         for n, keys in self.keys.items():
             of = np.flatnonzero(self.width == n)
-            first, offset = np.empty(len(of), np.uint64), np.empty(len(of), np.int64)
-            for j, k in enumerate(of.tolist()):
-                grams = self.grams[k]
-                offset[j] = np.argmin(counts[n][np.searchsorted(keys, grams)])
-                first[j] = grams[offset[j]]
+            grams = ngrams(self.hashes, n)
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            times = np.where(keys[at] == grams, counts[n][at], np.iinfo(np.int64).max)
+            places, last = self.places[of], self.sizes[of] - n
+            best, offset = times[places], np.zeros(len(of), np.int64)
+            for j in range(1, int(last.max(initial=0)) + 1):
+                here = np.where(j <= last, times[np.minimum(places + j, len(times) - 1)], np.iinfo(np.int64).max)
+                less = here < best
+                best[less], offset[less] = here[less], j
+            first = grams[places + offset]
             by = np.argsort(first, kind="stable")
-            distinct, at = np.unique(first[by], return_index=True)
-            self.prefix[n] = (distinct, bitmap(distinct), np.append(at, len(by)), of[by], offset[by])
-        self.grams = []
+            distinct, start = np.unique(first[by], return_index=True)
+            self.prefix[n] = (distinct, bitmap(distinct), np.append(start, len(by)).astype(np.int32), of[by].astype(np.int32), offset[by].astype(np.int16))
+        self.keys = dict.fromkeys(self.keys)
+
+    def text(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
@@ -125,15 +140,15 @@ def probe(w, b: Block) -> tuple[np.ndarray, np.ndarray]:
         start, window = start[ok], window[ok]
         if not len(start):
             continue
-        within = np.arange(b.hashes.shape[1])[None, :]
-        same = w.hashes[np.minimum(start[:, None] + within, len(w.hashes) - 1)] == b.hashes[window]
+        within = np.arange(int(b.sizes[window].max()))[None, :]
+        same = w.hashes[np.minimum(start[:, None] + within, len(w.hashes) - 1)] == b.hashes[np.minimum(b.places[window][:, None] + within, len(b.hashes) - 1)]
         ok = (same | (within >= b.sizes[window][:, None])).all(1)
         starts.append(start[ok])
         windows.append(window[ok])
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     start, window = np.concatenate(starts), np.concatenate(windows)
-    exact = np.array([all(w.text(s + j) == x for j, x in enumerate(b.words[k])) for s, k in zip(start.tolist(), window.tolist(), strict=True)], bool)
+    exact = np.array([all(w.text(s + j) == b.text(p + j) for j in range(n)) for s, p, n in zip(start.tolist(), b.places[window].tolist(), b.sizes[window].tolist(), strict=True)], bool)
     return start[exact], window[exact]
 
 
@@ -153,9 +168,9 @@ def _marker(block, column: str):
                 for r in np.unique(row).tolist():
                     of = row == r
                     hits[lo + r] = (hits[lo + r] or []) + np.stack([start[of] - w.rows[r], b.sizes[window[of]]], 1).ravel().tolist()
-                    own = np.unique(np.concatenate([b.owners[k] for k in np.unique(window[of]).tolist()]))
+                    own = np.unique(np.concatenate([b.owners[b.owner_at[k] : b.owner_at[k + 1]] for k in np.unique(window[of]).tolist()]))
                     items[lo + r] = (items[lo + r] or []) + [b.ids[k] for k in own.tolist()]
-            columns = {n: batch.column(n) for n in batch.schema.names}
+            columns = {n: batch.column(n) for n in batch.schema.names}  # the names are this module's own
             columns |= {"hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n_words)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -201,11 +216,12 @@ def _ordered(texts: DataFrame, benchmark: DataFrame, most: int) -> Iterator:
 
 
 def _counted(context, texts: DataFrame, block: Block):
-    sent = context.broadcast(block)
-    seen = texts.mapInArrow(_counter(sent, "text"), "width int, key bigint, n bigint").groupBy("width", "key").agg(F.sum("n").alias("n")).collect() if block.words else []
     counts = {n: np.zeros(len(k), np.int64) for n, k in block.keys.items()}
-    for width, key, n in seen:
-        counts[width][key] = n
+    if counts:
+        sent = context.broadcast(block)
+        for width, key, n in texts.mapInArrow(_counter(sent, "text"), "width int, key bigint, n bigint").groupBy("width", "key").agg(F.sum("n").alias("n")).collect():
+            counts[width][key] = n
+        sent.destroy()
     block.order(counts)
     return context.broadcast(block)
 
