@@ -2,8 +2,12 @@
 
 A text's cells are its lines, parted further after sentence ends, each as a 64-bit digest (a repeated cell's digest
 depends on which repeat it is, so a text is a set).  A sketch of m cells adds every digest to three of them: count, XOR
-of digests, XOR of check hashes.  Two versions' sketches subtract; cells that hold one digest peel off until nothing is
-left, which recovers the digests that differ.  If peeling stalls, both sketches are built anew at twice the size.
+of digests, XOR of check hashes; the fingerprint is the sketch with the number of digests.  Two fingerprints subtract;
+cells that hold one digest peel off until nothing is left, which recovers the digests that differ.  If peeling stalls,
+both sketches are built anew at twice the size and subtracted, again and again.
+
+A cell is a sentence of a paragraph rather than the whole paragraph, since many texts here are one paragraph, and an
+edit of one would then make two versions wholly unlike.
 
 likeness = shared / united digests (Jaccard): 1 for equal cells, both texts empty included, 0 for none in common.
 
@@ -23,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -68,15 +73,19 @@ def sketches(keys: np.ndarray, owner: np.ndarray, n: int, m: int, sign: np.ndarr
     return count.reshape(n, m), key.reshape(n, m), check.reshape(n, m)
 
 
+_CELL = np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u4")])
+_CHECK = np.uint64(0xFFFFFFFF)
+
+
 def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: success; and the (owner, digest) pairs recovered, of the rows that succeeded."""
+    """Per row: success; and the (owner, digest) pairs recovered, of the rows that succeeded. check: 32 bits."""
     n, m = count.shape
-    count, key, check = count.ravel().copy(), key.ravel().copy(), check.ravel().copy()
+    count, key, check = count.astype(np.int64).ravel(), key.ravel().copy(), check.astype(np.uint64).ravel()
     owners, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     look = np.arange(n * m)
     for _ in range(n * m):
         pure = look[np.abs(count[look]) == 1]
-        pure = pure[mix(key[pure] ^ np.uint64(0x5851F42D4C957F2D)) == check[pure]]
+        pure = pure[(mix(key[pure] ^ np.uint64(0x5851F42D4C957F2D)) & _CHECK) == check[pure]]
         if not len(pure):
             break
         row = pure // m
@@ -87,7 +96,7 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
         k, s = key[pure], count[pure]
         owners.append(row)
         keys.append(k)
-        checks, touched = mix(k ^ np.uint64(0x5851F42D4C957F2D)), []
+        checks, touched = mix(k ^ np.uint64(0x5851F42D4C957F2D)) & _CHECK, []
         for at in _places(k, m):
             at = row * m + at
             np.subtract.at(count, at, s)
@@ -95,40 +104,54 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
             np.bitwise_xor.at(check, at, checks)
             touched.append(at)
         look = np.unique(np.concatenate(touched))
-    ok = ((count.reshape(n, m) == 0) & (key.reshape(n, m) == 0)).all(1)
+    ok = ((count.reshape(n, m) == 0) & (key.reshape(n, m) == 0) & (check.reshape(n, m) == 0)).all(1)
     owner, found = np.concatenate(owners), np.concatenate(keys)
     return ok, owner[ok[owner]], found[ok[owner]]
 
 
-def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """How many digests differ in each pair of digest sets, by subtracting and peeling, at twice the size after a failure."""
+def packed(sets: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """The sketch of each digest set: rows of cells (4 bytes of count, 8 of digest XOR, 4 of check XOR)."""
+    keys = np.concatenate([np.empty(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    count, key, check = sketches(keys, owner, len(sets), cells)
+    out = np.zeros((len(sets), cells), _CELL)
+    out["n"], out["k"], out["c"] = count, key, check & _CHECK
+    return out
+
+
+def subtract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, digest XORs and check XORs of the difference of packed sketches, row by row."""
+    return a["n"] - b["n"], a["k"] ^ b["k"], a["c"] ^ b["c"]
+
+
+def differing(a: list[np.ndarray], b: list[np.ndarray], first: tuple[np.ndarray, np.ndarray] | None = None, cells: int = CELLS) -> np.ndarray:
+    """How many digests differ in each pair of digest sets: their sketches (``first``, if at hand) subtracted and peeled, and built at twice the size after a failure."""
     out = np.zeros(len(a), np.int64)
     left, m = np.arange(len(a)), cells
+    x, y = first or (packed(a, m), packed(b, m))
     while len(left):
-        keys = np.concatenate([np.empty(0, np.uint64), *[a[k] for k in left], *[b[k] for k in left]])
-        sizes = np.array([len(a[k]) for k in left] + [len(b[k]) for k in left], np.int64)
-        owner = np.repeat(np.tile(np.arange(len(left)), 2), sizes)
-        sign = np.repeat(np.repeat([1, -1], len(left)), sizes)
-        ok, of, _ = peel(*sketches(keys, owner, len(left), m, sign))
+        ok, of, _ = peel(*subtract(x, y))
         out[left[ok]] = np.bincount(of, minlength=len(left))[ok]
         left, m = left[~ok], 2 * m
+        x, y = packed([a[k] for k in left], m), packed([b[k] for k in left], m)
     return out
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+def likeness(a: list[np.ndarray], b: list[np.ndarray], first: tuple[np.ndarray, np.ndarray] | None = None, cells: int = CELLS) -> np.ndarray:
     total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
-    delta = differing(a, b, cells).astype(np.float64)
+    delta = differing(a, b, first, cells).astype(np.float64)
     return np.where(total > 0, (total - delta) / np.maximum(total + delta, 1), 1.0)
 
 
-def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
-    """The sketch of each digest set as text: per cell 2 bytes of count, 8 of digest XOR, 2 of check XOR."""
-    keys = np.concatenate([np.empty(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    count, key, check = sketches(keys, owner, len(sets), cells)
-    row = np.zeros((len(sets), cells), np.dtype([("n", "<u2"), ("k", "<u8"), ("c", "<u2")]))
-    row["n"], row["k"], row["c"] = count & 0xFFFF, key, check & np.uint64(0xFFFF)
-    return [base64.b64encode(r.tobytes()).decode() for r in row]
+def written(sketch: np.ndarray, sets: list[np.ndarray]) -> list[str]:
+    """Fingerprints as text: the number of digests (8 bytes) and the cells of the sketch."""
+    return [base64.b64encode(len(s).to_bytes(8, "little") + r.tobytes()).decode() for r, s in zip(sketch, sets, strict=True)]
+
+
+def read(fingerprint: str) -> tuple[int, np.ndarray]:
+    """The number of digests and the sketch of a fingerprint."""
+    data = base64.b64decode(fingerprint)
+    return int.from_bytes(data[:8], "little"), np.frombuffer(data[8:], _CELL)
 
 
 def _stream(cells: int):
@@ -140,10 +163,11 @@ def _stream(cells: int):
         own, other = [digests(t) for t in texts], [digests(t) for t in edited]
         follow = [*own[1:], digests(nexts[-1])]
         follow = [f if k + 1 == len(rows) or nexts[k] == texts[k + 1] else digests(nexts[k]) for k, f in enumerate(follow)]
+        x, y, z = packed(own, cells), packed(other, cells), packed(follow, cells)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                pa.array(fingerprints(own, cells)), pa.array(fingerprints(other, cells)), pa.array(likeness(own, other, cells)), pa.array(likeness(own, follow, cells)),
+                pa.array(written(x, own)), pa.array(written(y, other)), pa.array(likeness(own, other, (x, y), cells)), pa.array(likeness(own, follow, (x, z), cells)),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
@@ -178,7 +202,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.pandas_udf("int")
     def range_of(ids):
-        return ids.map(lambda i: int(np.searchsorted(bounds, i, "right")))
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "right").astype(np.int32))
 
     order = F.coalesce(F.col("doc_id"), F.lit(least).cast("bigint"))
     firsts = source.select(order.alias("o")).groupBy(range_of("o").alias("range")).agg(F.min("o").alias("first")).orderBy("range").collect()
