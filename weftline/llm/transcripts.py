@@ -5,6 +5,9 @@ speaker marker ("User:", "### Assistant", "<|system|>", "Q:", ...), whether the
 question mark and list or code marks.  Start, transition and emission tables are smoothed counts over labelled turns;
 Viterbi finds the likeliest states, and each first-line state opens a turn.
 
+Texts are kept as they are, but that a marker inside a turn's text that the canonical form uses ("<|") is written with a
+backslash in between ("<\\|"; one more where there are some), so no text can forge a turn; ``turns`` reads it back.
+
 Long conversations are cut into segments of at most ``SEGMENT`` turns that are parsed each on its own, so a task never
 holds more than one segment and a conversation with a share of all rows spreads over many tasks.
 
@@ -54,14 +57,14 @@ def feature(line: str, before: str | None) -> int:
     return mark * N_SHAPE + shape
 
 
-def transcript(turns: list[tuple[str | None, str]], key: str) -> tuple[str, list[int], list[int]]:
+def transcript(said_turns: list[tuple[str | None, str]], key: str) -> tuple[str, list[int], list[int]]:
     """A plain transcript of (role, text) turns, with the true state of each line and the turn it is from.
 
     The style depends on ``key`` alone; each ninth turn or so goes without a marker."""
     h = zlib.crc32(key.encode())
     style, which = STYLES[h % len(STYLES)], (h >> 8) % 3
     lines, states, owner = [], [], []
-    for k, (role, text) in enumerate(turns):
+    for k, (role, text) in enumerate(said_turns):
         known = role in ROLES
         bare = not known or zlib.crc32(f"{key}/{k}".encode()) % 9 == 0
         said = (text if bare else style.format(NAMES[role][which]) + text).split("\n")
@@ -112,20 +115,39 @@ class Model:
         return out[::-1]
 
 
+def spoken(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
+    """(role, text) turns of a transcript's lines in given states; a line with only a marker isn't part of the text."""
+    out: list[tuple[str, list[str]]] = []
+    bare = False
+    for line, state in zip(lines, states, strict=True):
+        if state % 2 == 0 or not out:
+            cut = marker(line)[1]
+            out.append((ROLES[state // 2], [line[cut:]]))
+            bare = 0 < cut == len(line)
+        elif bare:
+            out[-1][1][0], bare = line, False
+        else:
+            out[-1][1].append(line)
+    return [(role, "\n".join(said)) for role, said in out]
+
+
 def parse(text: str, model: Model) -> list[tuple[str, str]]:
     """(role, text) turns of a transcript."""
     lines = text.split("\n")
-    turns: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, model.viterbi(lines), strict=True):
-        if state % 2 == 0 or not turns:
-            turns.append((ROLES[state // 2], [line[marker(line)[1] :]]))
-        else:
-            turns[-1][1].append(line)
-    return [(role, "\n".join(said).strip()) for role, said in turns]
+    return spoken(lines, model.viterbi(lines))
+
+
+_OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_TURN = re.compile(r"<\|im_start\|>([a-z]+)\n(.*?)<\|im_end\|>\n", re.S)
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
+    return "".join("<|im_start|>{}\n{}<|im_end|>\n".format(role, _OPEN.sub(r"<\\\1|", text)) for role, text in turns)
+
+
+def turns(chat: str) -> list[tuple[str, str]]:
+    """The (role, text) turns of a canonical chat."""
+    return [(role, _SHUT.sub(r"<\1|", text)) for role, text in _TURN.findall(chat)]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int | None, int, list[tuple[str | None, str]]]]:
@@ -186,7 +208,7 @@ def formatted(conversations: DataFrame, model: Model | None = None, fold: int =
             text, states, _ = transcript(turns, f"{conv}/{segment}/{part}")
             lines = text.split("\n")
             found = sent.value.viterbi(lines)
-            chat = parse(text, sent.value)
+            chat = spoken(lines, found)
             rows.append((conv, segment, part, zlib.crc32(str(conv).encode()) % 5 == fold, len(turns), len(lines), sum(a // 2 == b // 2 for a, b in zip(found, states, strict=True) if b >= 0), len(chat), render(chat)))
             size += len(text)
             if size > 4_000_000:
