@@ -248,6 +248,41 @@ def test_jaccard_chain_and_empty(spark):
     assert jaccard.similar_groups(make(spark, [])).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """Rows that share an id are one document: a copy under an id doesn't hide the id's other text, and rows don't multiply."""
+    text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (7, text("b") + " x"), (8, text("b") + " x"), (9, text("c")), (None, text("d")), (None, text("c") + " y")]
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.similar_groups(make(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 26, 3), (5, 26, 3), (5, 26, 3), (7, 27, 3), (8, 27, 3), (9, 26, None), (0, 26, None), (0, 27, None)], key=str)
+
+
+def test_parity_sketch_bounds_the_difference():
+    """A pair at the threshold always passes the filters of sketch and prefixes."""
+    r = random.Random(6)
+    for _ in range(30):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(8, 400))]
+        at = r.randint(0, len(base))
+        other = base[:at] + [f"n{k}" for k in range(max(0, int(len(base) * r.random() * 0.3)))] + base[at:]
+        sets = [np.unique(jaccard.shingles(jaccard.words_of(pa.array([" ".join(x)])))[1]) for x in (base, other)]
+        if jaccard.linked(*sets):
+            bits = [np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1 for s in sets]
+            assert int((bits[0] != bits[1]).sum()) * 175 <= (len(sets[0]) + len(sets[1])) * 25
+            order = jaccard.Order(np.ones(1 << 14))
+            for k in range(jaccard.ORDERS):
+                heads = [set(np.sort(order.keys(s, k))[: int(jaccard.prefix_len(len(s)))].tolist()) for s in sets]
+                assert heads[0] & heads[1]
+
+
+def test_jaccard_spun_texts_and_a_long_one(spark):
+    """Many texts that share stock passages (hot tokens, hardly any link), with a few near copies and a long text."""
+    r = random.Random(1)
+    stock = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(12)]
+    rows = [(k, " ".join(r.sample(stock, 5))) for k in range(150)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(5)] + [(2000, " ".join(f"z{k % 4001}" for k in range(30_000)))]
+    got = by_id(jaccard.similar_groups(make(spark, rows)))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == brute_groups(rows)
+
+
 # 4 language model
 
 
