@@ -279,7 +279,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         last = mark
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).where("v > u").distinct()
         edges = staged(small, name)
@@ -350,7 +350,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = staged(verified(chain), "links")
     rest = far
     if not more.isEmpty():
-        links = links.union(more)
+        links = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more)
         roots = components(links)
         rest = staged(apart(roots), "apart")
 
@@ -361,7 +361,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.join(stars.union(chain), ["a", "b"], "left_anti")
     more = staged(verified(pairs), "links")
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
     freed(postings, packed, marks, stars, chain, far)
 
     named = sets.join(classes, ["k1", "k2", "n"], "left").select("o", "n", F.coalesce("rep", "o").alias("rep")).join(roots.withColumnRenamed("v", "rep"), "rep", "left")
