@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from weftline.functions import text as X
 
@@ -162,7 +161,3 @@ def padded(df: DataFrame, batch: str, ids: str, pad: int = 0, ignore: int | None
     if ignore is not None and "labels" in df.columns:
         rows = rows.withColumn("labels", fill(F.col("labels"), ignore))
     return rows.drop("_n")
-
-
-def sequence_order(partition: str, order: str) -> Column:
-    return F.row_number().over(Window.partitionBy(partition).orderBy(order)) - 1

@@ -98,10 +98,3 @@ def save_json(df: DataFrame, path: str) -> None:
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
-
-
-def rename_prompts(text: str, **values: str) -> str:
-    """A template with its {names} filled in."""
-    for name, value in values.items():
-        text = text.replace("{" + name + "}", value)
-    return text
