@@ -160,7 +160,24 @@ def test_cosine_pairs_cover_all_blocks(spark):
     df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     want = [(a, b) for a in range(30) for b in range(a + 1, 30) if cos(v[a], v[b]) > 0.5]
-    assert values(dedup.cosine_pairs(df, "id", "v", 0.5, blocks=3), "a", "b") == want
+    assert values(dedup.cosine_pairs(df, "id", "v", 0.5, block=3), "a", "b") == want
+    odd = df.union(spark.createDataFrame([(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0]), (93, [2.0])], df.schema))
+    assert values(dedup.cosine_pairs(odd, "id", "v", 0.5), "a", "b") == [*want, (92, 93)]
+    assert values(dedup.cosine_pairs(df.where("id < 0"), "id", "v", 0.5), "a", "b") == []
+
+
+def test_similar_pairs_are_all_pairs_above(spark):
+    r = random.Random(8)
+    texts = [None, "", "a b", *[" ".join(r.choice("abcde") for _ in range(r.randint(3, 14))) for _ in range(60)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = {k: grams(t) for k, t in enumerate(texts) if t and grams(t)}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for threshold in (0.05, 0.25, 0.5):
+        want = [(a, b, round(likeness(a, b), 9)) for a in sets for b in sets if a < b and likeness(a, b) > threshold]
+        got = dedup.similar_pairs(df, "id", "text", threshold).withColumn("similarity", F.round("similarity", 9))
+        assert values(got, "a", "b", "similarity") == want
+        across = [(a, b) for a in sets for b in sets if a < 30 <= b and likeness(a, b) > threshold]
+        assert values(dedup.similar_pairs(df.where("id < 30"), "id", "text", threshold, other=df.where("id >= 30")), "a", "b") == across
 
 
 def test_samplers(spark):

@@ -101,6 +101,52 @@ def test_nightly_append_is_idempotent(spark, log_dir, tmp_path):
     assert got.count() == 3 and sorted(r.row_no for r in got.collect()) == [4, 5, 6]
 
 
+def test_samples_as_one_array(spark, tmp_path):
+    for n in (0, 1, 7):
+        samples.save(spark.range(n).repartition(3), str(tmp_path / f"a{n}"), "json")
+        (part,) = (tmp_path / f"a{n}").glob("part-*")
+        assert sorted(r["id"] for r in json.loads(part.read_text())) == list(range(n))
+
+
+def test_broken_files_are_named(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"item": {"title": "t"}}')
+    (tmp_path / "bad.json").write_text("{nothing")
+    assert [r.file for r in articles.broken_files(spark, str(tmp_path)).collect()] == ["bad.json"]
+    assert [r.file for r in articles.read_articles(spark, str(tmp_path)).collect()] == ["good.json"]
+
+
+def test_attempts_stop_at_the_limit():
+    waits, calls = [], []
+
+    def send(row):
+        calls.append(row)
+        raise OSError(row["error"])
+
+    assert incremental.attempt(send, {"error": "429 too many"}, 5, waits.append) == "failed"
+    assert len(calls) == 6 and waits == [2.0, 4.0, 8.0, 16.0, 32.0]
+    assert incremental.attempt(send, {"error": "no such store"}, 5, waits.append) == "failed" and len(calls) == 7
+    assert incremental.attempt(lambda row: True, {}) == "uploaded" and incremental.attempt(lambda row: False, {}) == "failed"
+
+
+def test_upload_resumes_from_the_ledger(spark, tmp_path):
+    for k, names in enumerate((["a", "b"], ["a", "b", "c"])):
+        spark.createDataFrame([(n,) for n in names], "file string").write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema("file string").parquet(str(tmp_path / f"in{k}"))
+        incremental.upload(stream, lambda row: row["file"] != "b", str(tmp_path / "ledger"), str(tmp_path / f"c{k}")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "ledger")).collect()
+    assert sorted((r.file, r.status) for r in got) == [("a", "uploaded"), ("b", "failed"), ("c", "uploaded")]
+
+
+def test_attention_state_goes_on_between_batches(spark, tmp_path):
+    for k, rows in enumerate(([(0, 0, 1, 0.5), (0, 1, 1, 0.25), (0, 0, 2, 1.0)], [(0, 2, 1, 2.0)])):
+        spark.createDataFrame(rows, "layer int, step int, token_idx int, weight double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("layer int, step int, token_idx int, weight double").parquet(str(tmp_path / "in"))
+        write = lambda batch, i: batch.write.mode("overwrite").parquet(str(tmp_path / f"out{i}"))
+        incremental.attention_state(stream, 0.5).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    last = {r.token_idx: (r.score, r.total, r.updates) for r in spark.read.parquet(str(tmp_path / "out1")).collect()}
+    assert last == {1: ((0.5 * 0.5 + 0.25) * 0.5 + 2.0, 2.75, 3)}
+
+
 def test_streamed_texts_once(spark, tmp_path):
     spark.createDataFrame([("a",), ("a",), ("b",)], "text string").write.parquet(str(tmp_path / "in"))
     out = incremental.unseen_texts(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), "text")

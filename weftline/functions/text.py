@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once, where plain nesting would compute it at each mention."""
+    return F.transform(F.array(value), f)[0]
+
+
 def text(c: Column) -> Column:
     """A missing text counts as empty."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -32,17 +39,32 @@ def is_set(c: Column) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces; fewer tokens give none.
 
-    Shifted copies of the array are zipped, so ``tokens`` is evaluated a fixed number of times, not once per place."""
-    out = tokens
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(tokens, F.lit(k + 1), F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(out, lambda g: g.isNotNull())
+    Shifted copies of the array are zipped, so nothing is looked up place by place."""
+
+    def runs(t: Column) -> Column:
+        out = t
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(t, F.lit(k + 1), F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(out, lambda g: g.isNotNull())
+
+    return bound(tokens, runs)
+
+
+def hashed_ngrams(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct runs of n tokens; fewer tokens give none."""
+
+    def runs(h: Column) -> Column:
+        out = F.slice(h, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0)))
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - (n - 1), F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.array_distinct(out)
+
+    return bound(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
 
 
 def repetition_ratio(tokens: Column, n: int = 3) -> Column:
     """1 - distinct / all n-grams; 0 for fewer than n tokens."""
-    grams = ngrams(tokens, n)
-    return F.when(F.size(tokens) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / (F.size(tokens) - (n - 1)))
+    return bound(tokens, lambda t: F.when(F.size(t) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(ngrams(t, n))) / (F.size(t) - (n - 1))))
 
 
 def count_chars(c: Column, chars: str) -> Column:

@@ -58,14 +58,18 @@ def random_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded(seed, key), key).limit(n)
 
 
+def _leading(df: DataFrame, n: int, group: str, *order: Column | str) -> DataFrame:
+    """Adds ``_i``, the place in the group, for the first n rows of each; the literal bound lets every task cut its part before the shuffle."""
+    return df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_i") <= n)
+
+
 def topic_balanced(df: DataFrame, n: int, key: str, topic_col: str, order: str, seed: int = 42) -> DataFrame:
     """n // k rows of each topic, one more for the first n % k topics by first appearance."""
     per = df.groupBy(topic_col).agg(F.min(order).alias("_first"))
     # topics are few: they are ranked on their own, not over the rows
     per = per.withColumn("_rank", F.row_number().over(Window.orderBy("_first")) - 1).withColumn("_k", F.count("*").over(Window.partitionBy()))
     share = F.floor(F.lit(n) / F.col("_k")) + F.when(F.col("_rank") < F.lit(n) % F.col("_k"), 1).otherwise(0)
-    inner = F.row_number().over(Window.partitionBy(topic_col).orderBy(seeded(seed, key), key))
-    return df.join(per, topic_col).withColumn("_n", share).withColumn("_i", inner).where("_i <= _n").drop("_first", "_rank", "_k", "_n", "_i")
+    return _leading(df, n, topic_col, seeded(seed, key), key).join(per.withColumn("_n", share), topic_col).where("_i <= _n").drop("_first", "_rank", "_k", "_n", "_i")
 
 
 def stratified(df: DataFrame, n: int, key: str, strata: str, seed: int = 42, least: int = 1) -> DataFrame:
@@ -74,11 +78,21 @@ def stratified(df: DataFrame, n: int, key: str, strata: str, seed: int = 42, lea
     total = df.agg(F.count("*").alias("_total"))
     # the product first, as doubles, is floor-safe for exact shares
     take = F.least(F.col("_size"), F.greatest(F.lit(least), F.floor(F.lit(n) * (F.col("_size") / F.col("_total")))))
-    inner = F.row_number().over(Window.partitionBy(strata).orderBy(seeded(seed, key), key))
-    chosen = df.join(sizes.crossJoin(F.broadcast(total)).withColumn("_n", take), strata).withColumn("_i", inner).where("_i <= _n").drop("_size", "_total", "_n", "_i")
+    shares = sizes.crossJoin(F.broadcast(total)).withColumn("_n", take)
+    chosen = _leading(df, max(n, least), strata, seeded(seed, key), key).join(shares, strata).where("_i <= _n").drop("_size", "_total", "_n", "_i")
     return chosen.orderBy(seeded(f"{seed}-trim", key), key).limit(n)
 
 
+def seed_batches(seeds: DataFrame, n: int, ord_col: str, seed_col: str, size: int = 5, seed: int = 42) -> DataFrame:
+    """(batch, place, seed) of ceil(n / size) batches, each of ``size`` seeds at random, or of all if there are fewer. Seed lists are small by nature."""
+    spark = seeds.sparkSession
+    whole = seeds.agg(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(seed_col).alias("s"))).alias("l"))
+    drawn = lambda b, x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), x["o"].cast("string"))).alias("h"), x["o"].alias("o"), x["s"].alias("s"))
+    batches = spark.range(-(-n // size)).withColumnRenamed("id", "batch").crossJoin(F.broadcast(whole))
+    picked = batches.select("batch", F.slice(F.array_sort(F.transform("l", lambda x: drawn(F.col("batch"), x))), 1, size).alias("l"))
+    return picked.select("batch", F.posexplode("l").alias("place", "x")).select("batch", "place", F.col("x.s").alias("seed"))
+
+
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, centroid): mean vector of each cluster."""
     parts = df.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -93,9 +107,11 @@ def cluster_balanced(df: DataFrame, n: int, key: str, label: str, vector: str, c
     share = F.least(F.col("_size"), F.floor(F.lit(n) / k) + F.when(F.col(label) < F.lit(n) % k, 1).otherwise(0))
     distance = F.sqrt(F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
     rows = df.join(c, label).join(counts.withColumn("_n", share), label).withColumn("_d", F.round(distance, 9))
-    near, far = F.row_number().over(Window.partitionBy(label).orderBy("_d", key)), F.row_number().over(Window.partitionBy(label).orderBy(F.desc("_d"), F.desc(key)))
     half = F.floor(F.col("_n") / 2)
-    return rows.withColumn("_near", near).withColumn("_far", far).where((F.col("_near") <= half) | (F.col("_far") <= F.col("_n") - half)).drop("centroid", "_size", "_k", "_n", "_d", "_near", "_far")
+    # one order is the other's reverse and a share is at most the cluster, so no row is in both
+    near = _leading(rows, n, label, "_d", key).where(F.col("_i") <= half)
+    far = _leading(rows, n, label, F.desc("_d"), F.desc(key)).where(F.col("_i") <= F.col("_n") - half)
+    return near.union(far).drop("centroid", "_size", "_k", "_n", "_d", "_i")
 
 
 def diversity_sample(df: DataFrame, n: int, strategy: str, key: str, order: str, **columns) -> DataFrame:

@@ -80,6 +80,14 @@ def f6_safety_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JUDGE = ["Helpfulness: 4\nCorrectness: 5/5\nCoherence: 3\nComplexity: 2\nVerbosity: 1", "helpfulness:5 COHERENCE:  2", "no scores", "Helpfulness: 10, correctness: 0, verbosity: 9", "Complexity: 3 Complexity: 5"]
+_DEFAULT_SAFETY = lambda c: "CASE " + " ".join("WHEN regexp_matches({0}, '{1}', 'i') THEN '{1}'".format(c, p.replace("'", "''")) for p in filters.UNSAFE_PATTERNS) + " END"
+
+
+@query(f"SELECT doc_id, {_DEFAULT_SAFETY('text')} AS pattern FROM documents")
+def f7_default_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", filters.unsafe_pattern(F.col("text")).alias("pattern"))
+
+
 _VALUES = ", ".join("({}, '{}')".format(k, t.replace("\n", "' || chr(10) || '")) for k, t in enumerate(_JUDGE))
 _SCORE = lambda n: f"coalesce((CAST(nullif(regexp_extract(judge_text, '(?i){n}:\\s*(\\d)', 1), '') AS DOUBLE) - 1) / 4, 0.5)"
 
@@ -213,7 +221,20 @@ def d3_greedy_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy_keep(e, dedup.cosine_pairs(e, "vec_id", "embedding", 0.7), "vec_id").select(F.col("id").alias("vec_id"), "keep")
 
 
-@query()
+# the diversity stage's scan over what quality and safety leave
+_STAGED = """q AS (SELECT id, instruction, response, {reason} AS q FROM w), u AS (SELECT *, CASE WHEN q IS NULL THEN {safety} END AS s FROM q),
+f AS (SELECT min(id) AS id, response FROM u WHERE q IS NULL AND s IS NULL GROUP BY response), g AS (SELECT id AS doc_id, list_distinct({grams}) AS g FROM (SELECT id, {words} AS w FROM f) WHERE len(w) >= 3), {pairs},
+v AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM (SELECT a AS v FROM p UNION SELECT b FROM p)), nb AS (SELECT v.v, v.k, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM v LEFT JOIN p ON p.b = v.v GROUP BY ALL),
+scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT nb.k, CASE WHEN list_has_any(scan.kept, nb.before) THEN scan.kept ELSE list_append(scan.kept, nb.v) END FROM scan JOIN nb ON nb.k = scan.k + 1),
+last AS (SELECT kept FROM scan ORDER BY k DESC LIMIT 1),
+staged AS (SELECT u.id, u.instruction, u.response, q, s, q IS NULL AND s IS NULL AND (f.id IS NULL OR (v.v IS NOT NULL AND NOT list_contains((SELECT kept FROM last), u.id))) AS double FROM u LEFT JOIN f ON f.id = u.id LEFT JOIN v ON v.v = u.id)"""
+
+
+def _staged_sql(reason: str, threshold: float) -> str:
+    return _STAGED.format(reason=reason, safety=_DEFAULT_SAFETY("instruction || ' ' || response"), grams=grams_sql("w"), words=words_sql("lower(response)"), pairs=_J3.format(threshold))
+
+
+@query(f"{_REASONED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_staged_sql(_REASON, 0.5)} SELECT id, CASE WHEN q IS NOT NULL THEN 'quality' WHEN s IS NOT NULL THEN 'safety' WHEN double THEN 'diversity' END AS stage, coalesce(q, s, CASE WHEN double THEN 'duplicate' END) AS rejection_reason FROM staged")
 def d5_combined_filter(spark: SparkSession, d: str) -> DataFrame:
     """Quality, safety, then diversity, each over the survivors."""
     return curation.curate(_pairs(spark, d), TIGHT, threshold=0.5).select("id", "stage", "rejection_reason")
@@ -255,6 +276,11 @@ def a19_centroids(spark: SparkSession, d: str) -> DataFrame:
     return sampling.centroids(table(spark, d, "embeddings"), "label", "embedding").select("label", F.transform("centroid", lambda x: F.round(x, R)).alias("centroid"))
 
 
+@query("WITH b AS (SELECT unnest(range(5)) AS batch), x AS (SELECT batch, n_name AS seed, row_number() OVER (PARTITION BY batch ORDER BY md5('42:' || batch || ':' || n_nationkey)) - 1 AS place FROM b, nation) SELECT batch, CAST(place AS INT) AS place, seed FROM x WHERE place < 5")
+def t7_seed_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.seed_batches(table(spark, d, "nation"), 23, "n_nationkey", "n_name")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def t3_random_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.random_n(_docs(spark, d), 100, "doc_id", 7).select("doc_id")
@@ -309,7 +335,17 @@ def a12_box_stats(spark: SparkSession, d: str) -> DataFrame:
     return metrics.box_stats(_docs(spark, d), "n_chars", "source")
 
 
-@query()
+_DEFAULT_REASON = f"""CASE WHEN length(instruction) < 10 THEN 'instruction_too_short' WHEN length(instruction) > 500 THEN 'instruction_too_long' WHEN length(response) < 50 THEN 'response_too_short' WHEN length(response) > 2000 THEN 'response_too_long'
+ WHEN contains(lower(response), 'as an ai') OR contains(lower(response), 'i cannot') OR contains(lower(response), 'i''m sorry') OR contains(lower(response), 'i apologize') THEN 'blocked_phrase'
+ WHEN {repetition_sql("w")} > 0.5 THEN 'too_repetitive' WHEN trim(instruction) = '' OR trim(response) = '' THEN 'empty_content' END"""
+_TASK_HITS = {t: " + ".join(f"CAST(contains(lower(instruction), '{k}') AS INT)" for k in ks) for t, ks in sampling.TOPIC_KEYWORDS.items()}
+_TASK = "CASE WHEN greatest({0}) = 0 THEN 'general' {1} END".format(", ".join(_TASK_HITS), " ".join(f"WHEN {t} = greatest({', '.join(_TASK_HITS)}) THEN '{t}'" for t in _TASK_HITS))
+
+
+@query(f"""{_REASONED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_staged_sql(_DEFAULT_REASON, 0.85)}, hits AS (SELECT id, instruction, response, {', '.join(f'{v} AS {k}' for k, v in _TASK_HITS.items())} FROM staged WHERE q IS NULL AND s IS NULL AND NOT double),
+kept AS (SELECT id, instruction, response, {_TASK} AS topic FROM hits), k AS (SELECT topic, row_number() OVER (ORDER BY min(id)) - 1 AS r, count(*) OVER () AS k FROM kept GROUP BY topic),
+x AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || id), id) AS i FROM kept)
+SELECT id, instruction, response, x.topic FROM x JOIN k USING (topic) WHERE (SELECT count(*) FROM kept) <= 50 OR i <= 50 // k.k + CASE WHEN r < 50 % k.k THEN 1 ELSE 0 END""")
 def e1_curation(spark: SparkSession, d: str) -> DataFrame:
     """The whole curation: kept and sampled pairs."""
     kept, _, _ = curation.run(_pairs(spark, d), 50, "topic", config=filters.FilterConfig(), threshold=0.85)

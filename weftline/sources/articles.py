@@ -14,6 +14,14 @@ ITEM = T.StructType([T.StructField("item", T.StructType([T.StructField(f, T.Stri
 LEDGER = T.StructType([T.StructField("file", T.StringType()), T.StructField("status", T.StringType()), T.StructField("updated_at", T.TimestampType())])
 
 
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the files that ``read_articles`` leaves out."""
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    # the reader itself can't be asked for the corrupt records alone
+    parsed = F.from_json("value", ITEM, {"mode": "PERMISSIVE"})
+    return whole.where(parsed["_corrupt_record"].isNotNull()).select("file", F.col("value").alias("content"))
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """One article per JSON file of a folder, missing fields empty, with its file; broken files are left out."""
     raw = spark.read.schema(ITEM).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)

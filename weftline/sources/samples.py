@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.functions import text as X
 
@@ -44,11 +45,15 @@ def load_seeds(spark: SparkSession, path: str, yaml: bool = True) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, kind: str = "jsonl") -> None:
-    """Samples as JSON lines, or as one JSON array per file."""
+    """Samples as JSON lines, or as one JSON array in one file, which a single task has to write, line by line."""
     if kind == "jsonl":
         df.write.mode("overwrite").json(path)
     elif kind == "json":
-        df.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).select("value").write.mode("overwrite").text(path)
+        spark = df.sparkSession
+        rows = df.select(F.to_json(F.struct("*")).alias("value"), F.monotonically_increasing_id().alias("k"))
+        placed = rows.select("k", F.concat(F.when(F.row_number().over(Window.orderBy("k")) == 1, "  ").otherwise(", "), "value").alias("value"))
+        ends = spark.createDataFrame([(-1, "["), ((1 << 63) - 1, "]")], "k bigint, value string")
+        placed.union(ends).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format: {kind}")
 
