@@ -57,6 +57,18 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+@pytest.mark.parametrize("spread", [1, 2, 1 << 60])
+def test_rows_and_keys_sort_as_both(spread):
+    from weftline.llm.words import by_row
+
+    r = np.random.default_rng(3)
+    rows, keys = r.integers(0, 9, 500), r.integers(0, 15, 500).astype(np.uint64) * np.uint64(spread)
+    by = by_row(rows, keys, 9)
+    assert sorted(by) == list(range(500))
+    assert list(zip(rows[by], keys[by], strict=True)) == sorted(zip(rows, keys, strict=True))
+    assert len(by_row(rows[:0], keys[:0], 0)) == 0
+
+
 def test_word_kernel_matches_regex():
     texts = ["", "a", " a b\t", "É ß\x0bx", "A-b_9 ÿz", "x" * 3000, "\x00 \x7f"]
     for table, lower, pattern in ((words.SPACED, False, WORD), (words.ALNUM, True, ALNUM)):

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.common import freed, integral, plain, slices, staged
-from weftline.llm.words import SPACED, Words, mix, ngrams, split, whole
+from weftline.llm.words import SPACED, Words, by_row, mix, ngrams, split, whole
 
 SHINGLE = 5
 PERCENT = 75
@@ -69,7 +69,7 @@ def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
             grams.append(ngrams(w.hashes, k)[w.rows[short]])
             rows.append(short)
     grams, rows = np.concatenate(grams), np.concatenate(rows)
-    by = np.lexsort((grams, rows))
+    by = by_row(rows, grams, len(sizes))
     grams, rows = grams[by], rows[by]
     new = np.append(True, (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1]))[: len(grams)]
     return rows[new], grams[new]
@@ -168,7 +168,7 @@ def _poster(order, percent: int):
 
 def _positions(rows: np.ndarray, keys: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens sorted by row and key: the position of each in its row, and the sorting."""
-    by = np.lexsort((keys, rows))
+    by = by_row(rows, keys, n_rows)
     n = np.bincount(rows, minlength=n_rows)
     return np.arange(len(rows)) - (np.cumsum(n) - n)[rows], by
 

@@ -136,6 +136,21 @@ def whole(rows: np.ndarray, n: int) -> np.ndarray:
     return np.arange(n, m + n) <= ends[:m]
 
 
+def by_row(rows: np.ndarray, keys: np.ndarray, n_rows: int) -> np.ndarray:
+    """Sorting by row, then by 64-bit key.
+
+    One sort of row and leading key bits packed together; the keys' last bits decide only if packed values of different
+    keys tie, and then all is sorted by both."""
+    bits = np.uint64(max(1, (n_rows - 1).bit_length()))
+    packed = (rows.astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits)
+    by = np.argsort(packed)
+    packed = packed[by]
+    tied = np.flatnonzero(packed[1:] == packed[:-1])
+    if (keys[by[tied]] != keys[by[tied + 1]]).any():
+        return np.lexsort((keys, rows))
+    return by
+
+
 def cover(starts: np.ndarray, lengths: np.ndarray | int, total: int) -> np.ndarray:
     """Mask of the words inside any of the spans."""
     step = np.zeros(total + 1, np.int64)
