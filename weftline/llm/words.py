@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from weftline.llm.common import plain
 
-_CHUNK = 1 << 19
+_CHUNK = 1 << 16
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
