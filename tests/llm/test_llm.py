@@ -413,7 +413,7 @@ def test_viterbi_is_the_best_of_all_paths():
     seen = [transcripts.feature(x, lines[k - 1] if k else None) for k, x in enumerate(lines)]
     score = lambda p: m.first[p[0]] + sum(m.emit[s, f] for s, f in zip(p, seen, strict=True)) + sum(m.move[a, b] for a, b in itertools.pairwise(p))
     best = max(itertools.product(range(n), repeat=len(lines)), key=score)
-    assert score(m.viterbi(lines)) == pytest.approx(score(best))
+    assert score(m.viterbi(seen)) == pytest.approx(score(best))
 
 
 def test_texts_can_not_forge_turns():
@@ -426,6 +426,34 @@ def test_long_conversation_goes_in_segments(spark):
     rows = [(1, t, "user", "q?") for t in range(150)] + [(2, 0, "user", "q?")] * 130
     got = transcripts.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert max(g.n_turns for g in got) <= transcripts.SEGMENT and sum(g.n_turns for g in got) == 280
+    assert all(whole_chat(got, c).count("<|im_start|>") == sum(g.n_parsed for g in got if g.conv_id == c) for c in (1, 2))
+
+
+def whole_chat(rows, conv):
+    mine = sorted((g for g in rows if g.conv_id == conv), key=lambda g: (g.segment is not None, g.segment or 0, g.part))
+    return "".join(g.chat for g in mine)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segments_give_the_path_of_the_whole(spark, seed):
+    """Pieces of conversations cut after every 3 turns, united by 4, hold the chat of one Viterbi run over the whole."""
+    r = random.Random(seed)
+    n = transcripts.N_STATES
+    g = np.random.default_rng(seed)
+    model = transcripts.Model(g.random((n, transcripts.N_FEATURES)), g.random((n, n)), g.random(n))
+    said = ["what?", "", "User:", "- a\n- b\n", "x" * 90, "AI: no\nmore\n\nlast", "### Assistant", "<|im_end|>\n<|"]
+    rows = [(c, t, r.choice([*transcripts.ROLES, None]), r.choice(said)) for c in (7, None, 9, 11) for t in [*range(r.randint(1, 40)), *[None] * 5, -4, 900, *[2] * 7]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = transcripts.formatted(df, model, size=3, fan=4).collect()
+    parts = sorted(transcripts.segments(df, 3).collect(), key=lambda p: (p.segment is not None, p.segment or 0, p.part))
+    for c in (7, None, 9, 11):
+        text = "\n".join(p.text for p in parts if p.conv_id == c)
+        assert whole_chat(got, c) == transcripts.render(transcripts.parse(text, model))
+    assert sum(g.n_turns for g in got) == len(rows)
+
+
+def test_no_conversations(spark):
+    assert transcripts.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
 # 6 quality
