@@ -7,6 +7,7 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,15 @@ def test_low_rank_rebuild(spark):
         assert r.restored == pytest.approx(dict(rows)[r.id])
 
 
+def test_gram_matrix_of_many_tasks(spark):
+    rows = [(k, [None, [], [1.0, None], [float(k % 7), 2.0, -k / 9]][k % 4]) for k in range(41)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    x = np.array([[*(e or 0.0 for e in v or []), 0.0, 0.0, 0.0][:3] for _, v in rows])
+    _, values, _ = vectors.low_rank(df, "id", "v", 1.1)
+    assert values == pytest.approx(np.linalg.svd(x)[1].tolist(), rel=1e-5)
+    assert vectors.low_rank(df.where("size(v) = 0 or v is null"), "id", "v")[1:] == ([], [])
+
+
 def test_cache_eviction(spark):
     log = spark.createDataFrame([(0, s, t, w) for s, (t, w) in enumerate([(63, 1.0), (64, 2.0), (65, 2.0), (64, 1.0), (66, 9.0)])], "layer int, step long, token_idx int, weight double")
     d = dict(values(cache.decayed_scores(log), "token_idx", "score"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,19 +131,35 @@ def energy_rank(df: DataFrame, group: str, order: str, value: str, share: float
     return out.withColumn("rank", F.least(F.col("rank"), F.lit(most))) if most else out
 
 
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's share of the Gram matrix of its vectors, the half from the diagonal up; a shorter vector ends in zeros, nulls are zeros."""
+    total = np.zeros((0, 0))
+    for batch in batches:
+        column = batch.column(0).drop_null()
+        sizes = column.value_lengths().to_numpy()
+        n = int(sizes.max(initial=0))
+        if n > len(total):
+            total = np.pad(total, (0, n - len(total)))
+        step = max(1, (1 << 20) // max(n, 1))
+        for at in range(0, len(column), step):
+            values, size = column[at : at + step].flatten().fill_null(0.0).to_numpy(), sizes[at : at + step]
+            x = np.zeros((len(size), n))
+            x[np.arange(n) < size[:, None]] = values
+            total[:n, :n] += x.T @ x
+    i, j = np.triu_indices(len(total))
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
+
+
 def low_rank(df: DataFrame, key: str, vector: str, share: float = 0.95, most: int | None = None) -> tuple[DataFrame, list[float], list[list[float]]]:
     """(rows with factor ``u`` * s, kept singular values, right vectors) of the matrix whose rows are the vectors."""
-    import numpy as np
-
     # the Gram matrix is as large as a vector is long, squared, whatever the number of rows
-    pairs = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    cells = pairs.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("g")).collect()
+    cells = df.select(F.col(vector).cast("array<double>")).mapInArrow(_gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
     if not cells:
         return df.select(key, F.array().cast("array<double>").alias("u")), [], []
-    n = max(r["i"] for r in cells) + 1
+    n = max(r["j"] for r in cells) + 1
     gram = np.zeros((n, n))
     for r in cells:
-        gram[r["i"], r["j"]] = r["g"]
+        gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["g"]
     values, vectors = np.linalg.eigh(gram)
     s, v = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1].T
     rank = int((np.cumsum(s**2) / max((s**2).sum(), 1e-300) < share).sum()) + 1
