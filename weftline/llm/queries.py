@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table
+from weftline.llm.common import shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,7 +77,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op4_language_model, op5_transcripts, op6_quality, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate)}
+def op11_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from weftline.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), path or tokenizer_path("byte_bpe_50k.json"), f"{shared_dir(spark)}/weftline-ids-{uuid.uuid4().hex}")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op4_language_model, op5_transcripts, op6_quality, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate, op11_token_files, op12_lexical_search, op13_whitening)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -114,4 +133,18 @@ reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT e.b, reach
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) r ON r.d = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard": _OP3_SQL, "op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL}
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+n AS (SELECT row_number() OVER () AS doc, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM n),
+q AS (SELECT item, t, count(*) AS times FROM (SELECT item, unnest(w) AS t FROM b) GROUP BY ALL),
+p AS (SELECT doc, t, count(*) AS tf FROM (SELECT doc, unnest(w) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t),
+m AS (SELECT doc, doc_id, 75 + (25 * n * big_n) // l AS m FROM n, z),
+s AS (SELECT item, doc, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (doc) GROUP BY ALL),
+r AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s JOIN m USING (doc) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN b USING (item) WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": _OP3_SQL, "op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL, "op12_lexical_search": _OP12_SQL}
