@@ -5,8 +5,9 @@ words (character classes, word lengths, repeats, hashed words), and a small netw
 labels alone: an encoder h = tanh(Wx + b), gated attention weights softmax(w . (tanh(Vh) * sigmoid(Uh))) over the bag,
 and a logistic score of the weighted passage representation.
 
-Fitting uses a bounded sample of labelled documents: those with the least hash of their id, at most ``SAMPLE`` of them
-and as many as have ``SAMPLE_BYTES`` of text together; each is used whole, with every passage.  Scoring uses every
+Fitting uses a bounded sample of labelled documents: those with the least hash of their id, at most ``SAMPLE`` of them;
+in that order each is taken whole, with every passage, if it fits into what is left of ``SAMPLE_BYTES`` (one that doesn't
+is passed over, and the next may fit; if none fits, a warning says so and the model stays untrained).  Scoring uses every
 passage of every document and nothing but the text.
 
 Nulls and edge cases: a null text counts as empty, which is one passage of zeros; null labels or ids teach nothing; of
@@ -16,6 +17,7 @@ rows are scored each; ``scored`` replaces columns named score and predicted, ``a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from weftline.llm.common import freed, plain, slices, staged
+from weftline.llm.common import freed, mapped, plain, slices, staged
 from weftline.llm.words import mix, split
 
 PASSAGE = 64
@@ -102,6 +103,7 @@ def passages(texts: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
     sign = np.where((h & np.uint64(1)).astype(bool), 1.0, -1.0)
     bag = np.bincount(of * HASHED + bucket, sign, len(row) * HASHED).reshape(-1, HASHED)
     x[:, PLAIN:] = bag / np.sqrt(n)[:, None]
+    x[n_words[row] == 0] = 0  # as for a text alone, whatever else is in the batch
     return row, x
 
 
@@ -197,9 +199,14 @@ def trained(docs: DataFrame, labels: DataFrame, fold: int = 0, label_col: str =
     known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     texts = staged(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")), "labelled")
-    # at most ``sample`` rows of ids and sizes meet here
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = texts.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= sample_bytes).select("doc_id")
+    left, fits = sample_bytes, []
+    for doc_id, size in texts.select("doc_id", F.octet_length("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").drop("h").collect():  # at most ``sample`` ids
+        if size <= left:
+            left -= size
+            fits.append((doc_id,))
+    if left == sample_bytes and not fits and not texts.isEmpty():
+        warnings.warn(f"no labelled text fits into {sample_bytes} bytes; the classifier is untrained", stacklevel=2)
+    within = docs.sparkSession.createDataFrame(fits, texts.select("doc_id").schema)
     rows = texts.join(F.broadcast(within), "doc_id").mapInArrow(_bags, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, bag binary").toArrow()
     freed(texts)
     model = Model()
@@ -221,7 +228,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(sent.value.score(plain(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,7 +243,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             y = sent.value.score(plain(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y), pa.array((y >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return mapped(source, run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
