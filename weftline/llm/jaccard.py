@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import freed, integral, plain, slices, staged
+from weftline.llm.common import SLICE_BYTES, freed, integral, plain, slices, staged
 from weftline.llm.words import SPACED, Words, by_row, mix, ngrams, split, whole
 
 SHINGLE = 5
@@ -173,16 +173,30 @@ def _positions(rows: np.ndarray, keys: np.ndarray, n_rows: int) -> tuple[np.ndar
     return np.arange(len(rows)) - (np.cumsum(n) - n)[rows], by
 
 
+def _unpacked(packed: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of packed texts, in runs of at most about ``SLICE_BYTES`` of unpacked text (a longer one stands alone)."""
+    first, held, size = 0, [], 0
+    for k, z in enumerate(packed):
+        text = zlib.decompress(z.as_buffer())
+        if held and size + len(text) > SLICE_BYTES:
+            yield first, pa.array(held, pa.string())
+            first, held, size = k, [], 0
+        held.append(text.decode())
+        size += len(text)
+    if held:
+        yield first, pa.array(held, pa.string())
+
+
 def _marker(order, percent: int):
     """Of each packed text: id, set size, parity sketch, and 32-bit hashes of its prefixes under the further orders."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("o"))
-            texts = pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.string())
-            for lo, hi in slices(texts):
-                m = hi - lo
-                rows, grams = shingles(words_of(texts.slice(lo, m)))
+            for lo, texts in _unpacked(batch.column("z")):
+                m = len(texts)
+                hi = lo + m
+                rows, grams = shingles(words_of(texts))
                 n = np.bincount(rows, minlength=m)
                 bit = grams >> np.uint64(64 - (64 * SKETCH).bit_length() + 1)
                 odd = np.bincount(rows * 64 * SKETCH + bit.astype(np.int64), minlength=m * 64 * SKETCH) & 1
@@ -243,19 +257,16 @@ def _verifier(percent: int):
     """Rows sorted by the pair's head, (a, b, z); the head's own texts stand before its partners'."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(packed: list[bytes]) -> list[np.ndarray]:
-            texts = pa.array([zlib.decompress(z).decode() for z in packed], pa.string())
-            out: list[np.ndarray] = []
-            for lo, hi in slices(texts):
-                rows, grams = shingles(words_of(texts.slice(lo, hi - lo)))
-                out += np.split(grams, np.searchsorted(rows, np.arange(1, hi - lo)))
-            return out
+        def sets(packed: pa.Array) -> Iterator[np.ndarray]:
+            for _, texts in _unpacked(packed):
+                rows, grams = shingles(words_of(texts))
+                yield from np.split(grams, np.searchsorted(rows, np.arange(1, len(texts))))
 
         head, heads, opening = None, [], False
         for batch in batches:
-            a, b, z = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("z").to_pylist()
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = []
-            for x, y, s in zip(a, b, sets(z), strict=True):
+            for x, y, s in zip(a, b, sets(batch.column("z")), strict=True):
                 if x == y:
                     heads = [*heads, s] if opening and x == head else [s]
                     head, opening = x, True
