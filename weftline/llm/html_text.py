@@ -4,7 +4,8 @@ All text a browser would show is emitted: blocks on lines of their own, paragrap
 line, list items with bullets or numbers and indents, table cells padded so that columns align, ``pre`` as written.
 Hidden are: head, script, style, template and the like, elements with ``hidden`` or ``display:none``, what is
 ``visibility:hidden`` and not made visible again inside, hidden inputs, and a closed ``details`` but for its summary.
-Cells span rows and columns as marked; a table is aligned unless its padding would take over ``PAD`` times its text.
+Cells span rows and columns as marked; a column is padded to its widest
+cell, up to ``WIDEST`` characters, so what padding adds to a table is bounded; indents stop at ``DEEPEST`` levels.
 
 Nulls and edge cases: a null page gives a null text, an empty page an empty text; broken markup never fails (an unclosed
 tag closes with its parent, a stray end tag is ignored); nesting depth is not bounded by the Python stack; nothing is cut.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import mapped, quoted, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,8 +42,10 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-#: A table whose padding would take over this many times its text is written without.
-PAD = 64
+#: A column is padded to its widest cell of up to so many characters; longer cells reach beyond it.
+WIDEST = 1024
+#: Levels of nesting that are indented; deeper ones stand at the same place.
+DEEPEST = 32
 
 
 class Node:
@@ -171,7 +174,7 @@ class Writer:
             if self.lines and self.gap > 1 and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-            indent = "".join(self.indents)
+            indent = "".join(self.indents[:DEEPEST])
             self.now.append(indent[: len(indent) - len(self.label)] + self.label if self.label else indent)
             self.label = ""
 
@@ -231,13 +234,10 @@ def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     for cells in placed:
         for lines, at, span in cells:
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines))
-    n_lines = sum(max((len(lines) for lines, _, _ in cells), default=0) for cells in placed)
-    if n_lines * sum(width.values()) > PAD * (1024 + sum(len(line) for cells in placed for lines, _, _ in cells for line in lines)):
-        width = {}
+                width[at] = min(WIDEST, max(width.get(at, 0), *map(len, lines)))
     out = []
     for cells in placed:
-        padded = [(lines, sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1) if width else 0) for lines, at, span in cells]
+        padded = [(lines, sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)) for lines, at, span in cells]
         for k in range(max((len(lines) for lines, _ in padded), default=0)):
             out.append("  ".join((lines[k] if k < len(lines) else "").ljust(w) for lines, w in padded).rstrip())
     return out
@@ -339,7 +339,7 @@ def extract(page: str | None) -> str | None:
 
 def html_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The rows of ``pages`` with the page in ``html_col`` rendered as ``text_col`` (which it replaces if it exists)."""
-    source = pages.select(*[c for c in pages.columns if c != text_col and c != html_col], F.col(html_col).cast("string").alias(html_col))
+    source = pages.select(*[quoted(c) for c in pages.columns if c.lower() not in (text_col.lower(), html_col.lower())], F.col(quoted(html_col)).cast("string").alias(html_col))
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,4 +351,4 @@ def html_text(pages: DataFrame, html_col: str = "html", text_col: str = "text")
 
     schema = source.schema
     out = type(schema)([*schema.fields[:-1], type(schema.fields[-1])(text_col, schema.fields[-1].dataType)])
-    return source.mapInArrow(run, out)
+    return mapped(source, run, out)
