@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import spare, staged, table
+from weftline.llm.common import quoted, spare, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = staged(ids.where("doc_id is null or doc_id = c").select("doc_id", (F.col("n") > 1).alias("several")), "kept-ids")
     here = docs.columns
     flag, copy = spare(here, "several", "copy")
-    kept = docs.join(keep.select(F.col("doc_id").alias(id_ := spare(here, "kept_id")[0]), F.col("several").alias(flag)), docs["doc_id"].eqNullSafe(F.col(id_)))
+    kept = docs.join(keep.select(F.col("doc_id").alias(id_ := spare(here, "kept_id")[0]), F.col("several").alias(flag)), F.col("doc_id").eqNullSafe(F.col(id_)))
     if keep.where("several").isEmpty():
-        return kept.select(*[docs[c] for c in here])
+        return kept.select(*map(quoted, here))
     # rows that share an id: equal texts are one document, others stay
     order = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.length("text"))
     again = kept.where(F.col(flag)).withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1)
-    return kept.where(~F.col(flag)).select(*here).union(again.select(*here))
+    return kept.where(~F.col(flag)).select(*map(quoted, here)).union(again.select(*map(quoted, here)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     out = repeated_phrases(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).where("n_words = 0 or n_removed < n_words")
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[(own[c] if c in own else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(own[c] if c in own else F.col(f"carried.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -473,17 +473,52 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_quality_sample_is_bounded(spark):
-    """A labelled id that is repeated many times counts once; a text over the bound of bytes ends the sample; very long texts are scored."""
+    """A labelled id that is repeated many times counts once; very long texts are scored."""
     rows = [(7, "good words here " * 3)] * 3000 + [(8, "!!! ### " * 30), (9, "w " * 200_000)]
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
-    for most in (quality.SAMPLE_BYTES, 1000):
-        model = quality.trained(make(spark, rows), labels, sample_bytes=most)
-        got = quality.scored(make(spark, rows[2998:]), model).collect()
-        assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    model = quality.trained(make(spark, rows), labels)
+    got = quality.scored(make(spark, rows[2998:]), model).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     kept = quality.accepted(make(spark, rows[2998:]).withColumn("score", F.lit("own")), model, threshold=0.0)
     assert [r.score for r in kept.collect()] == ["own"] * 4
 
 
+def test_a_text_over_the_bound_is_passed_over(spark):
+    """The first text in the sample's order doesn't fit: the model learns from the others as if it weren't there."""
+    r = random.Random(2)
+    rows = [(k, " ".join(f"w{r.randint(0, 40)}" for _ in range(30)) if k % 2 else "#! " * 30) for k in range(60)]
+    first = next(k for k in range(1000, 9000) if zlib.crc32(str(k).encode()) % 5 and spark.range(1).select(F.xxhash64(F.lit(k).cast("long"))).first()[0] < -(9 << 59))
+    labels = [(k, k % 2, 0) for k in range(60)]
+    bound = 40_000
+    plain = quality.trained(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_bytes=bound)
+    crowded = quality.trained(make(spark, [*rows, (first, "long " * 20_000)]), spark.createDataFrame([*labels, (first, 1, 0)], "doc_id long, quality int, toxic int"), sample_bytes=bound)
+    assert all(np.array_equal(plain.params[k], crowded.params[k]) for k in plain.params)
+    got = by_id(quality.scored(make(spark, rows), crowded))
+    assert all(got[k].predicted == k % 2 for k in range(60))
+    with pytest.warns(UserWarning, match="untrained"):
+        quality.trained(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_bytes=3)
+
+
+def test_quality_scores_are_a_plain_forward_pass(spark):
+    """Each document alone, passage by passage, without the batch's bags."""
+    model = quality.Model(3)
+    g = np.random.default_rng(1)
+    model.params = {k: g.standard_normal(v.shape) for k, v in model.params.items()}
+    model.mean, model.scale = g.standard_normal(quality.N_FEATURES), 0.5 + g.random(quality.N_FEATURES)
+    rows = corpus(9, 30) + [(500, "long words " * 500)]
+    got = by_id(quality.scored(make(spark, rows), model))
+    p = model.params
+    for i, text in rows:
+        found = WORD.findall(text or "")
+        x = quality.passages(pa.array([text or ""]))[1]
+        assert len(x) == max(1, math.ceil(len(found) / quality.PASSAGE))
+        h = [np.tanh(np.clip((v - model.mean) / model.scale, -8, 8) @ p["W"] + p["b"]) for v in x]
+        gate = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+        a = np.exp(np.array(gate) - max(gate))
+        z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
+        assert got[i].score == pytest.approx(float(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))), rel=1e-9)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.quality_scores(make(spark, [(1, "a b"), (2, None)]), none).collect()] == [0.5, 0.5]
@@ -527,6 +562,8 @@ PAGES = [
     ("<div>" * 5000 + "deep", "deep"),
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
     ("<table><tr><td>" + "x" * 80 + "<td>b<tr><td>c<td>d</table>", "x" * 80 + "  b\nc" + " " * 81 + "d"),
+    ("<table>" + "<tr><td>a<td>b" * 100 + "<tr><td>" + "x" * 900 + "<td>c</table>", "\n".join(["a" + " " * 901 + "b"] * 100 + ["x" * 900 + "  c"])),
+    ("<table><tr><td>" + "x" * 4000 + "<td>c" + "<tr><td>a<td>b" * 100 + "</table>", "\n".join(["x" * 4000 + "  c"] + ["a" + " " * 1025 + "b"] * 100)),
     ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>d", "b\n\nd"),
     ("<svg><title>t</title><text>s</text><path/>u</svg> <math><mi>x</mi></math>", "su x"),
 ]
@@ -538,6 +575,18 @@ def test_html_cases(spark):
     assert [got[k] for k in range(len(PAGES))] == [t for _, t in PAGES]
 
 
+def test_nesting_does_not_multiply_the_text():
+    page = "".join(f"<blockquote>{k}" for k in range(3000))
+    got = html_text.extract(page)
+    assert got.split() == [str(k) for k in range(3000)] and len(got) < 80 * 3000
+    assert html_text.extract("<ul>" * 40 + "<li>x").strip() == "- x"
+
+
+def test_html_keeps_odd_columns(spark):
+    df = spark.createDataFrame([("<p>a", 1, 2, "gone")], "html string, `a.b` int, `t``k` int, Text string")
+    assert [r.asDict() for r in html_text.html_text(df).collect()] == [{"a.b": 1, "t`k": 2, "text": "a"}]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_html_never_fails(seed):
     r = random.Random(seed)
@@ -547,7 +596,11 @@ def test_html_never_fails(seed):
 
 # 8, 9 tokenizers
 
-P = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None
+needs_tokenizers = pytest.mark.skipif(P is None, reason="no tokenizer files")
 
 
 def odd_texts(seed=0):
@@ -556,6 +609,7 @@ def odd_texts(seed=0):
     return some + ["".join(r.choice("ab cdé\n \tß的1,'etion") for _ in range(r.randint(0, 150))) for _ in range(200)]
 
 
+@needs_tokenizers
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
@@ -567,12 +621,14 @@ def test_token_counts(spark):
     assert got[9999].n_tokens == 0 and not got[9999].over_limit
 
 
+@needs_tokenizers
 def test_counter_cache_turns_over():
     m = token_counts.load(P.path("byte_bpe_50k.json"))
     small, large = token_counts.Counter(m, cache=20), token_counts.Counter(m)
     assert [small([t])[0] for t in odd_texts(1)] == large(odd_texts(1))
 
 
+@needs_tokenizers
 def test_sentencepieces(spark):
     import sentencepiece
 
@@ -586,6 +642,7 @@ def test_sentencepieces(spark):
     assert {r.doc_id: r.text for r in sentencepieces.decoded(rows, path).where("doc_id < 9999").collect()} == dict(enumerate(texts))
 
 
+@needs_tokenizers
 def test_encoder_cache_turns_over():
     p = sentencepieces.load(P.path("piece_bpe_32k.model"))
     small, large = sentencepieces.Encoder(p, cache=10), sentencepieces.Encoder(p)
@@ -673,7 +730,7 @@ def test_empty_benchmark(spark):
 # pipeline
 
 
-CLASHES = "score predicted copy _copy several kept_id n_words n_removed kept_sha256 carried rest runs n_pieces piece_ids piece_sha256 round_trip hits items o th k bucket kind component_id n_shingles label bag".split()
+CLASHES = "score predicted copy _copy several kept_id n_words n_removed kept_sha256 carried rest runs n_pieces piece_ids piece_sha256 round_trip hits items o th k bucket kind component_id n_shingles label bag a.b t`k".split()
 
 
 def test_pipeline_keeps_clashing_columns(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,17 @@ def spare(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def mapped(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with columns by place, so that their names may hold any character."""
+    safe = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(batches, safe).toDF(*schema.names)
+
+
 def integral(docs: DataFrame, id_col: str) -> T.DataType:
     """The type of the id column, which has to be an integer type."""
     kind = docs.schema[id_col].dataType

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import plain, slices
+from weftline.llm.common import mapped, plain, slices
 from weftline.llm.words import ALNUM, cover, mix, ngrams, split, whole
 
 WINDOW = 10
@@ -260,5 +260,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most: i
     """The rows of ``docs``, all columns, in which no item window occurs."""
     out = docs
     for block in _ordered(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, most):
-        out = out.mapInArrow(_filter(block, out.columns.index(text_col), out.columns), docs.schema)
+        out = mapped(out, _filter(block, out.columns.index(text_col), out.columns), docs.schema)
     return out

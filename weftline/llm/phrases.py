@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.common import freed, integral, plain, slices, staged
+from weftline.llm.common import freed, integral, plain, quoted, slices, staged
 from weftline.llm.words import Words, cover, mix, ngrams, split, whole
 
 WINDOW = 20
@@ -281,7 +281,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, text (the kept words joined by one space; as it was if none go), and the ``carry`` columns as fields of ``carried`` (null without any)."""
     spark, id_type = docs.sparkSession, integral(docs, id_col)
-    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rest = F.struct(*[F.col(quoted(c)) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     text = F.col(text_col).cast("string")
     key = F.coalesce(F.hash(text), F.lit(0))  # tells apart rows that share an id
     order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FIRST_ID).cast("bigint"))

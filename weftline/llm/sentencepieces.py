@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import plain, slices, spare
+from weftline.llm.common import mapped, plain, slices, spare
 
 MARK = "▁"
 CACHE = 500_000
@@ -339,7 +339,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
                 columns = [pa.array(new[n], kind) if n in new else pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new["n_pieces"])), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32())) for n, _, kind in added]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *columns], [*names, *as_])
 
-    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, (_, t, _) in zip(as_, added, strict=True)]]))
+    return mapped(docs, encode, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, (_, t, _) in zip(as_, added, strict=True)]]))
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "piece_ids", text_col: str = "text") -> DataFrame:
