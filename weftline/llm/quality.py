@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,7 +214,7 @@ def trained(docs: DataFrame, labels: DataFrame, fold: int = 0, label_col: str =
     if rows.num_rows:
         rows = rows.sort_by("doc_id")
         x = np.frombuffer(b"".join(b.as_py() for b in rows.column("bag")), np.float16).reshape(-1, N_FEATURES)
-        size = pa.compute.binary_length(rows.column("bag")).to_numpy().astype(np.int64) // (2 * N_FEATURES)
+        size = pc.binary_length(rows.column("bag")).to_numpy().astype(np.int64) // (2 * N_FEATURES)
         model.fit(x, np.cumsum(size) - size, rows.column("label").to_numpy().astype(np.float64))
     return model
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ class Moments:
 
 def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, their vectors as integers) of the vectors without null or non-finite entries."""
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null entries are NaN
     ends = np.cumsum(sizes)
     bad = np.append(0, np.cumsum(~np.isfinite(flat)))
