@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -167,6 +168,64 @@ def test_cosine_pairs_cover_all_blocks(spark):
     assert values(dedup.cosine_pairs(df.where("id < 0"), "id", "v", 0.5), "a", "b") == []
 
 
+def test_cosine_join_meets_few_blocks(spark):
+    """Clusters far apart: the cones that can't reach each other never meet, and what meets is bounded before whole vectors are."""
+    r = np.random.default_rng(3)
+    centres = np.linalg.qr(r.standard_normal((32, 32)))[0]
+    rows = [(k, (centres[k % 8] + 0.02 * r.standard_normal(32)).tolist()) for k in range(800)] + [(k, centres[0].tolist()) for k in range(800, 900)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(v @ v.T > 0.9, 1)), strict=True)]
+    assert values(dedup.cosine_pairs(df, "id", "v", 0.9, block=30, pivots=24), "a", "b") == want
+    work = dedup.cosine_work(df, "id", "v", 0.9, block=30, pivots=24).first()
+    assert work.pairs == len(want) and work.candidates < 1.5 * len(want)
+    assert work.met < 900 * 899 / 2 / 4  # of eight clusters, each meets itself
+    assert work.sent < 900 * 10  # of 40 blocks or so
+
+
+@pytest.mark.parametrize("threshold", [-0.2, 0.0, 0.3, 0.8])
+def test_cosine_pairs_at_any_threshold(spark, threshold):
+    r = np.random.default_rng(5)
+    v = r.standard_normal((60, 16)) * np.geomspace(1, 0.05, 16)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T > threshold, 1)), strict=True)]
+    for block, pivots in ((7, 5), (4096, 64), (1, 1)):
+        assert values(dedup.cosine_pairs(df, "id", "v", threshold, block=block, pivots=pivots), "a", "b") == want
+
+
+def test_greedy_embedding_dedup_is_the_sequential_scan(spark):
+    r = np.random.default_rng(9)
+    v = np.repeat(r.standard_normal((25, 4)), 3, axis=0) * r.choice([1.0, 2.0], (75, 1)) + r.choice([0.0, 0.01], (75, 4))
+    rows = [(int(i), x.tolist()) for i, x in zip(r.permutation(75), v, strict=True)] + [(90, None), (91, [0.0] * 4), (92, [0.0] * 4), (93, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    kept, want = [], []
+    for i, x in sorted(rows):
+        u = np.array(x or [0.0] * 4)
+        usable = np.isfinite(u).all() and u.any()
+        keep = not usable or all(u @ k / np.linalg.norm(u) / np.linalg.norm(k) <= 0.6 for k in kept)
+        want.append((i, keep))
+        if keep and usable:
+            kept.append(u)
+    assert values(dedup.greedy_embedding_dedup(df, "id", "v", 0.6), "id", "keep") == want
+
+
+def test_a_group_of_spun_copies_costs_a_row_each(spark, monkeypatch):
+    """Leaders decide a large group of near copies: no pairs are listed."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    spun = lambda: " ".join(w if r.random() > 0.01 else f"z{r.randint(0, 10**6)}" for w in base)
+    texts = [" ".join(base), *[spun() for _ in range(1500)], *[" ".join(f"u{k}_{j}" for j in range(20)) for k in range(50)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    compared = []
+    whole = dedup._similar
+    monkeypatch.setattr(dedup, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    got = [k for _, k in values(dedup.greedy_ngram_dedup(df, "id", "text", 0.5), "id", "keep")]
+    assert got == greedy(texts, 0.5)
+    assert sum(compared) < 3 * len(texts)
+
+
 def test_similar_pairs_are_all_pairs_above(spark):
     r = random.Random(8)
     texts = [None, "", "a b", *[" ".join(r.choice("abcde") for _ in range(r.randint(3, 14))) for _ in range(60)]]
@@ -190,6 +249,31 @@ def test_samplers(spark):
     assert sampling.diversity_sample(df, 9, "nonsense", "id", "id").count() == 9
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 1 << 16])
+def test_samplers_take_the_least_hashes(spark, monkeypatch, buckets):
+    """The cut-off by buckets gives the rows that sorting each group would give."""
+    monkeypatch.setattr(sampling, "SMALL", 3)
+    if buckets < 1 << 16:
+        monkeypatch.setattr(sampling, "BUCKETS", buckets)
+        monkeypatch.setattr(sampling, "_hash_bucket", lambda h: F.pmod(F.conv(F.substring(h, 1, 1), 16, 10).cast("int"), F.lit(16)) * buckets / 16)
+    md5 = lambda seed, k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest()
+    rows = [(k, "abc"[min(k % 9, 2)]) for k in range(900)] + [(2000, "d")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    least = lambda ids, n, seed=42: sorted(ids, key=lambda k: md5(seed, k))[:n]
+    of = {t: [k for k, x in rows if x == t] for t in "abcd"}
+    assert values(sampling.random_n(df, 40, "id"), "id") == [(k,) for k in sorted(least([k for k, _ in rows], 40))]
+    assert sampling.random_n(df, 5000, "id").count() == 901
+    want = sorted(least(of["a"], 51) + least(of["b"], 51) + least(of["c"], 50) + least(of["d"], 50))
+    assert values(sampling.topic_balanced(df, 202, "id", "t", "id"), "id") == [(k,) for k in want]
+    chosen = [k for t, ids in of.items() for k in least(ids, min(len(ids), max(7, 90 * len(ids) // 901)))]
+    assert values(sampling.stratified(df, 90, "id", "t", least=7), "id") == [(k,) for k in sorted(least(chosen, 90, "42-trim"))]
+    v = spark.createDataFrame([(k, k % 3, [float(k * k % 97)]) for k in range(300)], "id long, label int, v array<double>")
+    mean = [np.mean([k * k % 97 for k in range(300) if k % 3 == c]) for c in range(3)]
+    far = {c: sorted((round(abs(k * k % 97 - mean[c]), 9), k) for k in range(300) if k % 3 == c) for c in range(3)}
+    want = sorted(k for c, n in ((0, 21), (1, 20), (2, 20)) for _, k in far[c][: n // 2] + far[c][len(far[c]) - (n - n // 2) :])
+    assert values(sampling.cluster_balanced(v, 61, "id", "label", "v"), "id") == [(k,) for k in want]
+
+
 def test_cluster_sampler_takes_near_and_far(spark):
     rows = [(k, 2, [float(k)]) for k in range(5)] + [(9, 5, [1.0])]
     df = spark.createDataFrame(rows, "id long, label int, v array<double>")
@@ -206,6 +290,26 @@ def test_metrics(spark):
     assert len(h) == 50 and h[-1] == (49, 3)
 
 
+@pytest.mark.parametrize("accuracy", [6, 50, 10_000])
+def test_percentiles_are_exact(spark, monkeypatch, accuracy):
+    """Also where the sketch is so coarse that its bounds matter."""
+    monkeypatch.setattr(metrics, "ACCURACY", accuracy)
+    r = np.random.default_rng(1)
+    groups = {"normal": r.standard_normal(700), "ties": r.integers(0, 3, 500).astype(float), "wide": 10.0 ** r.uniform(-300, 300, 400), "one": np.array([4.5]), "two": np.array([1.0, -1.0]), None: r.standard_normal(90)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("one", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = {"lo": 0.0, "q1": 0.25, "median": 0.5, "p90": 0.9, "p99": 0.99, "hi": 1.0}
+    got = {x.g: x for x in metrics.percentiles(df, "x", shares, "g").collect()}
+    assert got.keys() == groups.keys()
+    for g, v in groups.items():
+        for name, q in shares.items():
+            assert got[g][name] == pytest.approx(np.percentile(v, 100 * q), rel=1e-9), (g, name)
+    assert metrics.percentiles(df, "x", {"m": 0.5}).first().m == pytest.approx(np.median(np.concatenate(list(groups.values()))))
+    assert metrics.percentiles(df.where("g = 'empty'"), "x", {"m": 0.5}).first().m is None
+    s = {x.g: x for x in metrics.summary(df, "x", "g").collect()}
+    assert s["empty"].median is None and s["empty"].n == 0 and s[None].n == 90 and s["two"].median == 0.0
+
+
 def test_benchmarks(spark):
     runs = spark.createDataFrame([("m", 1.0, 10.0, None, None, None), ("m", 3.0, 20.0, 0.5, None, 4.0)], "method string, tokens_per_second double, total_time_ms double, acceptance_rate double, speedup_vs_baseline double, memory_used_mb double")
     r = benchmarks.run_summary(runs).first()

@@ -53,14 +53,44 @@ def pending_limit(df: DataFrame, n: int | None, order: str) -> DataFrame:
     return df.orderBy(order).limit(n) if n else df
 
 
-def random_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows at random, or all if there are no more."""
-    return df.orderBy(seeded(seed, key), key).limit(n)
+#: Hash prefixes, or parts of a range, by which a sample's last rows are found.
+BUCKETS = 1 << 16
+#: Samples up to so many rows are taken by one ordered limit.
+SMALL = 10_000
+
+
+def _first(df: DataFrame, takes: DataFrame, group: str, bucket: Column, *order: Column | str) -> DataFrame:
+    """The first rows of each group, ``takes`` (group, _n) of them; ``bucket`` (0 .. BUCKETS - 1) is monotonic in ``order``.
+
+    Counts by bucket tell in which one a group's last rows are: earlier buckets are taken whole without being sorted, and
+    only the last one's rows, a share of 1 / BUCKETS or so, are ranked.  Groups that ``takes`` doesn't name give nothing."""
+    marked = df.withColumn("_b", bucket)
+    counts = marked.groupBy(group, "_b").agg(F.count("*").alias("_c")).join(takes.select(group, "_n"), group)
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(group).orderBy("_b")))
+    last = F.struct(F.col("_b").alias("b"), (F.col("_n") - F.col("_upto") + F.col("_c")).alias("rest"))
+    edges = upto.groupBy(group).agg(F.min(F.when(F.col("_upto") >= F.col("_n"), last)).alias("_last"))  # null: the whole group
+    joined = marked.join(edges, group)
+    whole = joined.where("_last is null or _b < _last.b")
+    ranked = joined.where("_b = _last.b").withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_i <= _last.rest")
+    return whole.union(ranked.drop("_i")).drop("_b", "_last")
+
 
+def _hash_bucket(h: Column) -> Column:
+    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
 
-def _leading(df: DataFrame, n: int, group: str, *order: Column | str) -> DataFrame:
-    """Adds ``_i``, the place in the group, for the first n rows of each; the literal bound lets every task cut its part before the shuffle."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_i") <= n)
+
+def _least_hashes(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
+    """The n rows with the least hashes, or all."""
+    order = [seeded(seed, key), F.col(key)]
+    if n <= SMALL:
+        return df.orderBy(*order).limit(n)
+    takes = df.sparkSession.createDataFrame([(0, n)], "_all int, _n bigint")
+    return _first(df.withColumn("_all", F.lit(0)), takes, "_all", _hash_bucket(order[0]), *order).drop("_all")
+
+
+def random_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows at random, or all if there are no more."""
+    return _least_hashes(df, n, seed, key)
 
 
 def topic_balanced(df: DataFrame, n: int, key: str, topic_col: str, order: str, seed: int = 42) -> DataFrame:
@@ -69,7 +99,8 @@ def topic_balanced(df: DataFrame, n: int, key: str, topic_col: str, order: str,
     # topics are few: they are ranked on their own, not over the rows
     per = per.withColumn("_rank", F.row_number().over(Window.orderBy("_first")) - 1).withColumn("_k", F.count("*").over(Window.partitionBy()))
     share = F.floor(F.lit(n) / F.col("_k")) + F.when(F.col("_rank") < F.lit(n) % F.col("_k"), 1).otherwise(0)
-    return _leading(df, n, topic_col, seeded(seed, key), key).join(per.withColumn("_n", share), topic_col).where("_i <= _n").drop("_first", "_rank", "_k", "_n", "_i")
+    h = seeded(seed, key)
+    return _first(df, per.withColumn("_n", share), topic_col, _hash_bucket(h), h, key)
 
 
 def stratified(df: DataFrame, n: int, key: str, strata: str, seed: int = 42, least: int = 1) -> DataFrame:
@@ -78,9 +109,8 @@ def stratified(df: DataFrame, n: int, key: str, strata: str, seed: int = 42, lea
     total = df.agg(F.count("*").alias("_total"))
     # the product first, as doubles, is floor-safe for exact shares
     take = F.least(F.col("_size"), F.greatest(F.lit(least), F.floor(F.lit(n) * (F.col("_size") / F.col("_total")))))
-    shares = sizes.crossJoin(F.broadcast(total)).withColumn("_n", take)
-    chosen = _leading(df, max(n, least), strata, seeded(seed, key), key).join(shares, strata).where("_i <= _n").drop("_size", "_total", "_n", "_i")
-    return chosen.orderBy(seeded(f"{seed}-trim", key), key).limit(n)
+    h = seeded(seed, key)
+    return _least_hashes(_first(df, sizes.crossJoin(F.broadcast(total)).withColumn("_n", take), strata, _hash_bucket(h), h, key), n, f"{seed}-trim", key)
 
 
 def seed_batches(seeds: DataFrame, n: int, ord_col: str, seed_col: str, size: int = 5, seed: int = 42) -> DataFrame:
@@ -106,12 +136,17 @@ def cluster_balanced(df: DataFrame, n: int, key: str, label: str, vector: str, c
     counts = df.groupBy(label).agg(F.count("*").alias("_size")).withColumn("_k", F.count("*").over(Window.partitionBy()))
     share = F.least(F.col("_size"), F.floor(F.lit(n) / k) + F.when(F.col(label) < F.lit(n) % k, 1).otherwise(0))
     distance = F.sqrt(F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    rows = df.join(c, label).join(counts.withColumn("_n", share), label).withColumn("_d", F.round(distance, 9))
+    rows = df.join(c, label).withColumn("_d", F.round(distance, 9)).drop("centroid")
+    ends = rows.groupBy(label).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    rows = rows.join(ends, label)
+    part = F.coalesce((F.col("_d") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    nearest = F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     half = F.floor(F.col("_n") / 2)
+    shares = counts.withColumn("_n", share)
     # one order is the other's reverse and a share is at most the cluster, so no row is in both
-    near = _leading(rows, n, label, "_d", key).where(F.col("_i") <= half)
-    far = _leading(rows, n, label, F.desc("_d"), F.desc(key)).where(F.col("_i") <= F.col("_n") - half)
-    return near.union(far).drop("centroid", "_size", "_k", "_n", "_d", "_i")
+    near = _first(rows, shares.withColumn("_n", half), label, nearest, "_d", key)
+    far = _first(rows, shares.withColumn("_n", F.col("_n") - half), label, BUCKETS - 1 - nearest, F.desc("_d"), F.desc(key))
+    return near.union(far).drop("_d", "_lo", "_hi")
 
 
 def diversity_sample(df: DataFrame, n: int, strategy: str, key: str, order: str, **columns) -> DataFrame:

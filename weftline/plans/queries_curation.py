@@ -207,18 +207,17 @@ def d2_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
 _COS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE similarity > {0})"
 
 
-@query(f"WITH {_COS.format(0.6)} SELECT a, b, round(similarity, {R}) AS similarity FROM p")
+@query(f"WITH {_COS.format(0.3)} SELECT a, b, round(similarity, {R}) AS similarity FROM p")
 def j4_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6).select("a", "b", F.round("similarity", R).alias("similarity"))
+    return dedup.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).select("a", "b", F.round("similarity", R).alias("similarity"))
 
 
-@query(f"""WITH RECURSIVE {_COS.format(0.7)}, v AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings), nb AS (SELECT v.v, v.k, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM v LEFT JOIN p ON p.b = v.v GROUP BY ALL),
+@query(f"""WITH RECURSIVE {_COS.format(0.3)}, v AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings), nb AS (SELECT v.v, v.k, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM v LEFT JOIN p ON p.b = v.v GROUP BY ALL),
 scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT nb.k, CASE WHEN list_has_any(scan.kept, nb.before) THEN scan.kept ELSE list_append(scan.kept, nb.v) END FROM scan JOIN nb ON nb.k = scan.k + 1),
 last AS (SELECT kept FROM scan ORDER BY k DESC LIMIT 1)
 SELECT vec_id, list_contains((SELECT kept FROM last), vec_id) AS keep FROM embeddings""")
 def d3_greedy_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return dedup.greedy_keep(e, dedup.cosine_pairs(e, "vec_id", "embedding", 0.7), "vec_id").select(F.col("id").alias("vec_id"), "keep")
+    return dedup.greedy_embedding_dedup(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).select(F.col("id").alias("vec_id"), "keep")
 
 
 # the diversity stage's scan over what quality and safety leave
