@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
+from pyspark.sql import Row as spark_row
 from pyspark.sql import functions as F
 
+from weftline.operators import scans
 from weftline.sources import articles, logs, samples
 from weftline.streaming import incremental
 
@@ -37,9 +40,55 @@ def test_missing_files_give_no_rows(spark, log_dir):
     assert logs.read_lines(spark, [f"{log_dir}/none.log"]).count() == 0
 
 
-def test_large_reader_keeps_order(spark, log_dir):
-    rows = logs.read_large(spark, [f"{log_dir}/a.log"]).orderBy("line_no").collect()
-    assert [r.line for r in rows][1].endswith("start")
+def test_large_reader_numbers_lines_over_splits(spark, tmp_path):
+    """Files of many splits, packed several to a task, give the numbers of the whole-file reader."""
+    ends = ["\n", "\r\n"]
+    for k, n in enumerate((700, 1, 333)):
+        (tmp_path / f"{k}.log").write_bytes("".join(f"{'x' * (j * 7 % 50)} {k} {j}{ends[j % 2]}" for j in range(n)).encode())
+    paths = [f"{tmp_path}/{k}.log" for k in range(4)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        large = logs.read_large(spark, paths)
+        assert large.rdd.getNumPartitions() > 7
+        got = sorted(map(tuple, large.collect()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == sorted(map(tuple, logs.read_lines(spark, paths).collect()))
+    assert logs.read_large(spark, paths[3:]).collect() == []
+
+
+@pytest.mark.parametrize("span", [1, 3, 10, 10**6])
+def test_scans_over_parts_are_scans_of_the_whole(spark, span):
+    """Sessions and islands that reach over many parts, parts without rows of their own, numbers with gaps."""
+    r = random.Random(span)
+    rows = [(f, 5 * k - 40, r.choice([None, None, None, None, "p", "q"]), r.random() < 0.15, r.random() < 0.1) for f in ("a", "b", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "f string, k long, s string, opens boolean, bad boolean").repartition(3)
+    held, want_filled, open_, want = {}, [], {}, {}
+    for f, k, s, opens, bad in rows:
+        held[f] = s or held.get(f)
+        want_filled.append((f, k, held[f]))
+        key = (f, held[f])
+        if opens:
+            open_[key] = k
+            want[f, held[f], k] = False
+        if bad and key in open_:
+            want[f, held[f], open_[key]] = True
+    full = scans.filled(df, F.col("s"), "session", ["f"], "k", span)
+    assert sorted(map(str, full.select("f", "k", "session").collect())) == sorted(str(spark_row(f=f, k=k, session=s)) for f, k, s in want_filled)
+    got = scans.islands(full, F.col("opens"), F.col("bad"), ["f", "session"], "k", span)
+    assert {(x.f, x.session, x.k): x.flag for x in got.collect()} == want
+
+
+def test_numbers_are_dense_over_ranges(spark):
+    rows = [(r % 2 or None, r * 7919 % 501, "x") for r in range(501)]
+    df = spark.createDataFrame(rows, "g int, o int, extra string").repartition(5)
+    got = {(x.g, x.o): x.n for x in scans.numbered(df, ["g"], ["o"], "n").collect()}
+    for g in (1, None):
+        own = sorted(o for h, o, _ in rows if h == g)
+        assert [got[g, o] for o in own] == list(range(1, len(own) + 1))
 
 
 def test_merge_and_append(spark, log_dir, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from weftline.functions import scores as S
 from weftline.functions import text as X
 from weftline.operators import evals
+from weftline.operators.scans import filled
 from weftline.plans.support import Registry, table
 from weftline.sources import articles, logs
 
@@ -39,8 +40,7 @@ entries AS (SELECT file, line_no, dt AS datetime_str, said AS search_query, sess
 
 @query(f"WITH {_LINES} SELECT file, line_no, session_id FROM fill")
 def w1_session_fill(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return _lines(spark, d).select("file", "line_no", F.last(logs.session_id(F.col("line")), ignorenulls=True).over(by).alias("session_id"))
+    return filled(_lines(spark, d), logs.session_id(F.col("line")), "session_id", ["file"], "line_no").select("file", "line_no", "session_id")
 
 
 @query(f"WITH {_LINES} SELECT file, line_no, datetime_str, search_query, session_id, has_error FROM entries WHERE q")

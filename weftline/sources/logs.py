@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
+from weftline.operators.dedup import durable
+from weftline.operators.scans import filled, islands, numbered
 
 #: What the log's lines look like.
 SESSION = r"session_[a-z0-9]+_\d+"
@@ -18,6 +20,8 @@ QUERY = r"(?d)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d{2,3}.*?💬\s*(.+)$"
 ERROR_MARKS = ["⛔", "질문에 대한 답변을 생성하지 못했습니다"]
 LINES = T.StructType([T.StructField("file", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
 WEEKS = [0, 1, 2, 3, 4]
+#: Up to so many splits, of three numbers and a name each, are sent to all tasks.
+FEW_SPLITS = 100_000
 
 
 def choose_files(names: list[str], today: dt.date, sample: str = r"sample_.*\.log", current: str = "chatbot.log", archive: str = "chatbot_{:%Y%m}.log") -> list[str]:
@@ -31,10 +35,9 @@ def choose_files(names: list[str], today: dt.date, sample: str = r"sample_.*\.lo
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line_no, line) of text files; no file gives no rows.
+    """(file, line_no, line) of text files, numbered from 0; no file gives no rows.
 
-    Line numbers need a file as a whole: one row per file, split inside the task. Logs rotate, so files stay small; for
-    huge single files use ``read_large``."""
+    One row per file, split inside the task: for files that a task holds. ``read_large`` gives the same of files of any size."""
     found = [p for p in paths if _exists(spark, p)]
     if not found:
         return spark.createDataFrame([], LINES)
@@ -43,12 +46,19 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_large(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """As ``read_lines``, but splits of a file are read in parallel; ``line_no`` is an ordinal with gaps.
+    """As ``read_lines``, but splits of a file are read in parallel.
 
-    The ordinal is the split's offset in the file joined with the row's place in the split."""
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
-    first = F.min("k").over(Window.partitionBy("file", "start"))
-    return rows.select("file", (F.col("start") * (1 << 20) + (F.col("k") - first)).alias("line_no"), "line")
+    A line's number is its place in its split plus the lines of the file's splits before, which are counted first (a row
+    a split)."""
+    found = [p for p in paths if _exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], LINES)
+    rows = spark.read.text(found).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
+    splits = durable(rows.groupBy(F.col("file").alias("f"), F.col("start").alias("s")).agg(F.min("k").alias("first"), F.count("*").alias("n")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("f", "s", (before - F.col("first")).alias("offset"))
+    offsets = F.broadcast(offsets) if splits.count() <= FEW_SPLITS else offsets
+    return rows.join(offsets, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s"))).select("file", (F.col("k") + F.col("offset")).alias("line_no"), "line")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -74,20 +84,12 @@ def entries(lines: DataFrame) -> DataFrame:
 
     A session holds until the next one in the file; queries before any session are dropped.  An error marks the latest
     query of its session, on its own line or before."""
-    in_file = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     query = F.regexp_extract("line", QUERY, 1)
     said = X.strip(F.regexp_extract("line", QUERY, 2))
-    filled = lines.select("file", "line_no", F.last(session_id(F.col("line")), ignorenulls=True).over(in_file).alias("session_id"), query.alias("datetime_str"), said.alias("search_query"), is_error(F.col("line")).alias("error")).where(F.col("session_id").isNotNull())
-    is_query = F.col("datetime_str") != ""
-    return islands(filled, is_query, F.col("error"), ["file", "session_id"], "line_no").select("file", "line_no", "datetime_str", "search_query", "session_id", F.col("flag").alias("has_error"))
-
-
-def islands(df: DataFrame, opens: Column, flag: Column, keys: list[str], order: str) -> DataFrame:
-    """The rows that open an island, with ``flag``: whether it holds on any row from there to the next opening row."""
-    number = F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("_island", number).withColumn("_opens", opens).withColumn("_flag", flag).where("_island > 0")
-    any_flag = F.max("_flag").over(Window.partitionBy(*keys, "_island"))
-    return marked.withColumn("flag", any_flag).where("_opens").drop("_island", "_opens", "_flag")
+    held = filled(lines.select("file", "line_no", "line"), session_id(F.col("line")), "session_id", ["file"], "line_no").where("session_id is not null")
+    parsed = held.select("file", "line_no", "session_id", query.alias("datetime_str"), said.alias("search_query"), is_error(F.col("line")).alias("error"))
+    marked = islands(parsed, F.col("datetime_str") != "", F.col("error"), ["file", "session_id"], "line_no")
+    return marked.select("file", "line_no", "datetime_str", "search_query", "session_id", F.col("flag").alias("has_error"))
 
 
 def derived(df: DataFrame, datetime_col: str = "datetime_str") -> DataFrame:
@@ -119,8 +121,8 @@ def new_entries(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def placed(new: DataFrame, existing: DataFrame, header_rows: int = 3) -> DataFrame:
     """Adds row_no: the next free rows of each month and week, below the header."""
     used = existing.groupBy("year_month", "week_idx").agg(F.count("*").alias("_used"))
-    nth = F.row_number().over(Window.partitionBy("year_month", "week_idx").orderBy("datetime_str", "search_query"))
-    return new.join(used, ["year_month", "week_idx"], "left").withColumn("row_no", F.coalesce("_used", F.lit(0)) + nth + header_rows).drop("_used")
+    nth = numbered(new, ["year_month", "week_idx"], ["datetime_str", "search_query"], "_place")
+    return nth.join(used, ["year_month", "week_idx"], "left").withColumn("row_no", F.coalesce("_used", F.lit(0)) + F.col("_place") + header_rows).drop("_used", "_place")
 
 
 def append(new: DataFrame, path: str) -> None:
