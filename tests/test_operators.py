@@ -319,7 +319,7 @@ def test_benchmarks(spark):
 
 
 def test_kv_grid(spark):
-    g = {(r.model, r.seq_len): r.gb for r in benchmarks.cache_grid(spark, [("7b", 32, 32, 128), ("70b", 80, 64, 128)], [4096, 32768], {"fp16": 2}).collect()}
+    g = {(r.model, r.seq_len): r.gb for r in benchmarks.cache_grid(spark.createDataFrame([("7b", 32, 32, 128), ("70b", 80, 64, 128)], "model string, layers int, heads int, head_dim int"), [4096, 32768], {"fp16": 2}).collect()}
     assert g == {("7b", 4096): 2.0, ("7b", 32768): 16.0, ("70b", 4096): 10.0, ("70b", 32768): 80.0}
 
 
@@ -404,6 +404,19 @@ def test_rouge_query_scores_whole_texts(spark, tmp_path):
 
 
 
+ANSWERS = [("Yes", " yes ", True), ("1,234", "1234", True), ("104", "100", True), ("106", "100", False), ("5%", "5", True), ("0", "0", True), ("0.01", "0", False), ("nan", "nan", True), ("1d", "1", False), ("abc", "abd", False), ("", "", True), ("-95", "-100", True), ("3.5e2", "350", True), (None, "x", False)]
+
+
+@pytest.mark.parametrize(("output", "expected", "same"), ANSWERS)
+def test_relaxed_answers(spark, output, expected, same):
+    assert one(spark, S.relaxed_match(F.col("a"), F.col("b")), a=output, b=expected) is same
+
+
+@pytest.mark.parametrize(("cell", "n"), [("12", 12), ("week 1: 7", 7), ("x", 0), ("", 0), ("3.0", 3), ("total: x", 0), (None, 0)])
+def test_loose_ints(spark, cell, n):
+    assert one(spark, S.loose_int(F.col("s")), s=cell) == n
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(1, [5, 6]), (1, [7]), (2, [8])], "b int, ids array<int>")
     assert values(evals.padded(df, "b", "ids"), "b", "input_ids", "attention_mask") == [(1, [5, 6], [1, 1]), (1, [7, 0], [1, 0]), (2, [8], [1])]

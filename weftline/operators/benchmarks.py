@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import scores as S
@@ -32,20 +32,19 @@ def paired_speedup(runs: DataFrame, baseline: str = "autoregressive") -> DataFra
     return runs.join(base, ["prompt", "run"], "left").withColumn("speedup_vs_baseline", F.when(F.col("_base") > 0, F.col("tokens_per_second") / F.col("_base"))).drop("_base")
 
 
-def cache_grid(spark: SparkSession, configs: list[tuple[str, int, int, int]], lengths: list[int], widths: dict[str, float]) -> DataFrame:
-    """(name, layers, heads, head_dim) x lengths x widths with cache sizes."""
-    c = spark.createDataFrame(configs, "model string, layers int, heads int, head_dim int")
-    n = spark.createDataFrame([(x,) for x in lengths], "seq_len bigint")
-    w = spark.createDataFrame([(k, float(v)) for k, v in widths.items()], "dtype string, width double")
+def cache_grid(configs: DataFrame, lengths: list[int], widths: dict[str, float]) -> DataFrame:
+    """Models (model, layers, heads, head_dim) x lengths x widths with cache sizes."""
+    grid = configs.withColumn("seq_len", F.explode(F.array(*[F.lit(n).cast("bigint") for n in lengths])))
+    grid = grid.withColumn("w", F.explode(F.array(*[F.struct(F.lit(k).alias("dtype"), F.lit(float(v)).alias("width")) for k, v in widths.items()]))).select("*", "w.dtype", "w.width")
     size = S.kv_cache_bytes(F.col("layers"), F.col("heads"), F.col("head_dim"), F.col("seq_len"), 1, F.col("width"))
-    grid = c.crossJoin(n).crossJoin(w).withColumn("bytes", size)
+    grid = grid.withColumn("bytes", size)
     return grid.select("model", "seq_len", "dtype", "bytes", (F.col("bytes") / MB).alias("mb"), (F.col("bytes") / MB / 1024).alias("gb"), (F.col("bytes") / F.col("layers")).alias("bytes_per_layer"), (F.col("bytes") / F.col("seq_len")).alias("bytes_per_token"))
 
 
-def profile(spark: SparkSession, techniques: list[str], longest: int, step: int, layers: int, heads: int, head_dim: int) -> DataFrame:
-    """Cache size of each technique at each step of the sequence length."""
-    t = spark.createDataFrame([(k, x) for k, x in enumerate(techniques)], "ord int, technique string")
-    grid = t.crossJoin(spark.range(step, longest + 1, step).withColumnRenamed("id", "sequence_length"))
+def profile(sequences: DataFrame, techniques: list[str], layers: int, heads: int, head_dim: int) -> DataFrame:
+    """Sequences (sequence_length and more) x techniques with the cache size of each."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(x).alias("technique")) for k, x in enumerate(techniques)]))
+    grid = sequences.withColumn("_t", each).select("*", "_t.ord", "_t.technique").drop("_t")
     kept = S.technique_length(F.col("technique"), F.col("sequence_length"))
     size = S.kv_cache_bytes(F.lit(layers), F.lit(heads), F.lit(head_dim), kept, 1, S.technique_bytes(F.col("technique")))
     return grid.withColumn("kv_cache_mb", size / MB)

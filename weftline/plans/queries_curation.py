@@ -79,7 +79,6 @@ def f6_safety_first_match(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", filters.unsafe_pattern(F.col("text"), PATTERNS).alias("pattern"))
 
 
-_JUDGE = ["Helpfulness: 4\nCorrectness: 5/5\nCoherence: 3\nComplexity: 2\nVerbosity: 1", "helpfulness:5 COHERENCE:  2", "no scores", "Helpfulness: 10, correctness: 0, verbosity: 9", "Complexity: 3 Complexity: 5"]
 _DEFAULT_SAFETY = lambda c: "CASE " + " ".join("WHEN regexp_matches({0}, '{1}', 'i') THEN '{1}'".format(c, p.replace("'", "''")) for p in filters.UNSAFE_PATTERNS) + " END"
 
 
@@ -88,15 +87,21 @@ def f7_default_patterns(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", filters.unsafe_pattern(F.col("text")).alias("pattern"))
 
 
-_VALUES = ", ".join("({}, '{}')".format(k, t.replace("\n", "' || chr(10) || '")) for k, t in enumerate(_JUDGE))
+#: A judge's text of a document: marks from its numbers, some names in other case, some missing, some out of ten.
+_JUDGED = """j AS (SELECT doc_id, concat('Helpfulness: ', n_chars % 5 + 1, CASE WHEN doc_id % 4 = 0 THEN '/5' ELSE '' END, chr(10), CASE WHEN doc_id % 3 = 0 THEN 'CORRECTNESS:' ELSE 'correctness:   ' END, doc_id % 10,
+ CASE WHEN doc_id % 5 <> 0 THEN concat(chr(10), 'Coherence:', doc_id % 5 + 1, ' Coherence: 3') ELSE ' incoherent' END, CASE WHEN doc_id % 7 <> 0 THEN concat(', complexity : ', doc_id % 5) ELSE ', Complexity: 10' END, chr(10), 'verbosity: ', left(source, 4)) AS judge_text FROM documents)"""
 _SCORE = lambda n: f"coalesce((CAST(nullif(regexp_extract(judge_text, '(?i){n}:\\s*(\\d)', 1), '') AS DOUBLE) - 1) / 4, 0.5)"
 
 
-@query(f"""WITH j(id, judge_text) AS (VALUES {_VALUES}), s AS (SELECT CAST(id AS BIGINT) AS id, {", ".join(f"{_SCORE(n)} AS {n}" for n in S.WEIGHTS)} FROM j)
+@query(f"""WITH {_JUDGED}, s AS (SELECT doc_id, judge_text, {", ".join(f"{_SCORE(n)} AS {n}" for n in S.WEIGHTS)} FROM j)
 SELECT *, round(0.3 * helpfulness + 0.3 * correctness + 0.2 * coherence + 0.1 * complexity + 0.1 * verbosity, {R}) AS overall FROM s""")
 def f8_parse_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_JUDGE)), "id bigint, judge_text string").withColumn("s", S.parse_scores(F.col("judge_text")))
-    return rows.select("id", "s.*", F.round(S.overall(F.col("s")), R).alias("overall"))
+    i, n, lit = F.col("doc_id"), F.col("n_chars"), F.lit
+    parts = [lit("Helpfulness: "), n % 5 + 1, F.when(i % 4 == 0, "/5").otherwise(""), lit("\n"), F.when(i % 3 == 0, "CORRECTNESS:").otherwise("correctness:   "), i % 10]
+    parts.append(F.when(i % 5 != 0, F.concat(lit("\nCoherence:"), (i % 5 + 1).cast("string"), lit(" Coherence: 3"))).otherwise(" incoherent"))
+    parts += [F.when(i % 7 != 0, F.concat(lit(", complexity : "), (i % 5).cast("string"))).otherwise(", Complexity: 10"), lit("\nverbosity: "), F.substring("source", 1, 4)]
+    rows = _docs(spark, d).select("doc_id", F.concat(*[F.coalesce(p.cast("string"), lit("")) for p in parts]).alias("judge_text")).withColumn("s", S.parse_scores(F.col("judge_text")))
+    return rows.select("doc_id", "judge_text", "s.*", F.round(S.overall(F.col("s")), R).alias("overall"))
 
 
 _HEUR = f"""h AS (SELECT id, response, list_distinct({words_sql('lower(instruction)')}) AS asked, {words_sql('lower(response)')} AS w FROM pairs),

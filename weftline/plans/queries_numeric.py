@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.functions import scores as S
 from weftline.operators import benchmarks, cache, trie, vectors
@@ -12,7 +13,6 @@ from weftline.plans.support import Registry, table
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 R = 6
-CONFIGS = [("7b", 32, 32, 128), ("13b", 40, 40, 128), ("34b", 48, 64, 128), ("70b", 80, 64, 128)]
 LENGTHS = [4096, 8192, 16384, 32768]
 WIDTHS = {"fp16": 2.0, "int8": 1.0, "int4": 0.5}
 TECHNIQUES = ["fp16", "int8", "int4", "sliding_window"]
@@ -69,20 +69,27 @@ def f40_residual(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform(S.residual(t, F.reverse(t)), lambda x: F.round(x, R)).alias("residual"))
 
 
-@query(f"""WITH c(model, layers, heads, head_dim) AS (VALUES {", ".join(map(str, CONFIGS))}), n(seq_len) AS (VALUES {", ".join(f"({x})" for x in LENGTHS)}), w(dtype, width) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in WIDTHS.items())}),
-g AS (SELECT *, CAST(2::BIGINT * layers * heads * seq_len * head_dim * width AS DOUBLE) AS bytes FROM c, n, w)
-SELECT model, CAST(seq_len AS BIGINT) AS seq_len, dtype, bytes, bytes / 1048576 AS mb, bytes / 1048576 / 1024 AS gb, bytes / layers AS bytes_per_layer, bytes / seq_len AS bytes_per_token FROM g""")
+_GRID = f"""WITH n(seq_len) AS (VALUES {", ".join(f"({x})" for x in LENGTHS)}), w(dtype, width) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in WIDTHS.items())}), c AS (SELECT p_partkey AS model, p_size AS layers, p_partkey % 8 * 8 + 8 AS heads, 128 AS head_dim FROM part),
+g AS (SELECT *, CAST(2::BIGINT * layers * heads * seq_len * head_dim * width AS DOUBLE) AS bytes FROM c, n, w)"""
+
+
+@query(f"{_GRID} SELECT model, CAST(seq_len AS BIGINT) AS seq_len, dtype, bytes, bytes / 1048576 AS mb, bytes / 1048576 / 1024 AS gb, bytes / layers AS bytes_per_layer, bytes / seq_len AS bytes_per_token FROM g")
 def f41_kv_grid(spark: SparkSession, d: str) -> DataFrame:
-    return benchmarks.cache_grid(spark, CONFIGS, LENGTHS, WIDTHS)
+    """Parts as models: size as layers, heads by number."""
+    p = table(spark, d, "part")
+    models = p.select(F.col("p_partkey").alias("model"), F.col("p_size").alias("layers"), (F.col("p_partkey") % 8 * 8 + 8).alias("heads"), F.lit(128).alias("head_dim"))
+    return benchmarks.cache_grid(models, LENGTHS, WIDTHS)
 
 
-_PROF = """s AS (SELECT k AS ord, t AS technique, CAST(n AS BIGINT) AS n, CASE WHEN t = 'sliding_window' THEN least(n, 2048) ELSE n END AS kept, CASE t WHEN 'int8' THEN 1.0 WHEN 'int4' THEN 0.5 ELSE 2.0 END AS w FROM (VALUES (0, 'fp16'), (1, 'int8'), (2, 'int4'), (3, 'sliding_window')) v(k, t), (SELECT unnest(range(512, 8193, 512)) AS n)),
-p AS (SELECT ord, technique, n AS sequence_length, CAST(2::BIGINT * 32 * 32 * kept * 128 * w / 1048576 AS DOUBLE) AS kv_cache_mb FROM s)"""
+_PROF = """s AS (SELECT doc_id, k AS ord, t AS technique, n_chars AS n, CASE WHEN t = 'sliding_window' THEN least(n_chars, 2048) ELSE n_chars END AS kept, CASE t WHEN 'int8' THEN 1.0 WHEN 'int4' THEN 0.5 ELSE 2.0 END AS w FROM documents, (VALUES (0, 'fp16'), (1, 'int8'), (2, 'int4'), (3, 'sliding_window')) v(k, t)),
+p AS (SELECT doc_id, ord, technique, n AS sequence_length, CAST(2::BIGINT * 32 * 32 * kept * 128 * w / 1048576 AS DOUBLE) AS kv_cache_mb FROM s)"""
 
 
 @query(f"WITH {_PROF} SELECT * FROM p")
 def f42_profile(spark: SparkSession, d: str) -> DataFrame:
-    return benchmarks.profile(spark, TECHNIQUES, 8192, 512, 32, 32, 128)
+    """Documents as sequences of their characters."""
+    sequences = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("bigint").alias("sequence_length"))
+    return benchmarks.profile(sequences, TECHNIQUES, 32, 32, 128)
 
 
 @query(f"WITH {_PROF}, r AS (SELECT technique, CAST(min(ord) AS INT) AS ord, max(kv_cache_mb) AS peak_mb, arg_max(kv_cache_mb, sequence_length) AS final_mb FROM p GROUP BY 1) SELECT *, (1 - final_mb / (SELECT final_mb FROM r WHERE technique = 'fp16')) * 100 AS savings_pct, technique = (SELECT arg_min(technique, (final_mb, ord)) FROM r) AS is_best FROM r")
@@ -90,11 +97,15 @@ def a17_a18_profile(spark: SparkSession, d: str) -> DataFrame:
     return benchmarks.compare_techniques(benchmarks.profile_rollup(f42_profile(spark, d)))
 
 
-@query(f"WITH v AS (SELECT unnest([4, 8, 16, 32]) AS rank) SELECT CAST(rank AS INT) AS rank, round(CAST(1024 * 128 * 8 AS DOUBLE) / (1024 * rank + rank + rank * 128), {R}) AS low_rank, round(4 * CAST(1024 * 128 * 8 AS DOUBLE) / (1024 * rank + rank + rank * 128), {R}) AS combined, CAST(1024 // 2 + 2 * rank AS BIGINT) AS bytes FROM v")
+_RATIO = "CAST(CAST(n_chars AS BIGINT) * 128 * 8 AS DOUBLE) / (CAST(n_chars AS BIGINT) * 16 + 16 + 16 * 128)"
+
+
+@query(f"SELECT doc_id, round({_RATIO}, {R}) AS low_rank, round(4 * {_RATIO}, {R}) AS combined, CAST(n_chars // 2 + 32 AS BIGINT) AS bytes FROM documents")
 def f43_compression(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(r,) for r in (4, 8, 16, 32)], "rank int")
-    ratio = S.low_rank_ratio(F.lit(1024), F.lit(128), F.col("rank"), 8)
-    return rows.select("rank", F.round(ratio, R).alias("low_rank"), F.round(S.combined_ratio(F.lit(4), ratio), R).alias("combined"), S.quantized_bytes(F.lit(1024), F.lit(4), F.col("rank")).cast("bigint").alias("bytes"))
+    """Documents as matrices of a row per character, at rank 16."""
+    n = F.col("n_chars").cast("bigint")
+    ratio = S.low_rank_ratio(n, F.lit(128), F.lit(16), 8)
+    return table(spark, d, "documents").select("doc_id", F.round(ratio, R).alias("low_rank"), F.round(S.combined_ratio(F.lit(4), ratio), R).alias("combined"), S.quantized_bytes(n, F.lit(4), F.lit(16)).cast("bigint").alias("bytes"))
 
 
 _E = "CAST(embedding AS DOUBLE[])"
@@ -256,9 +267,13 @@ def j11_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return trie.ancestors(trie.trie(_candidates(spark, d))).groupBy(F.array_join(F.col("path").cast("array<string>"), ".").alias("path")).agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT p, r, p * 10 + r AS token FROM range(3) a(p), range(5) b(r)) SELECT [CAST(x.token AS INT), y.token, z.token] AS tokens FROM t x, t y, t z WHERE x.p = 0 AND y.p = 1 AND z.p = 2 ORDER BY x.r, y.r, z.r LIMIT 64")
+@query("""WITH c AS (SELECT l_linenumber - 1 AS p, CAST(l_suppkey % 40 AS INT) AS token, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), t AS (SELECT p, token, row_number() OVER (PARTITION BY p ORDER BY n DESC, token) - 1 AS r FROM c)
+SELECT [x.token, y.token, z.token] AS tokens FROM t x, t y, t z WHERE x.p = 0 AND y.p = 1 AND z.p = 2 ORDER BY x.r, y.r, z.r LIMIT 64""")
 def j10_candidate_product(spark: SparkSession, d: str) -> DataFrame:
-    top = spark.createDataFrame([(p, r, p * 10 + r) for p in range(3) for r in range(5)], "position int, rank int, token int")
+    """Suppliers (mod 40) as tokens, line numbers as positions, ranked by how often they occur there."""
+    counts = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy((F.col("l_linenumber") - 1).alias("position"), (F.col("l_suppkey") % 40).cast("int").alias("token")).agg(F.count("*").alias("n"))
+    # a row per position and token
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("n"), "token")) - 1)
     return trie.candidate_product(top, 3).select("tokens")
 
 

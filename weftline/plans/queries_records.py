@@ -91,14 +91,30 @@ def a4_month_week_pivot(spark: SparkSession, d: str) -> DataFrame:
     return logs.monthly_summary(_month_table(spark, d))
 
 
-@query("WITH v(s) AS (VALUES ('12'), ('week 1: 7'), ('x'), (''), ('3.0'), ('total: x'), (NULL)) SELECT s, CAST(CASE WHEN regexp_full_match(trim(s), '-?\\d+(\\.\\d*)?') THEN trunc(CAST(s AS DOUBLE)) WHEN contains(s, ':') THEN coalesce(TRY_CAST(trim(string_split(s, ':')[-1]) AS BIGINT), 0) ELSE 0 END AS BIGINT) AS n FROM v")
+_CELLS = """c AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type || ': ' || user_id WHEN 2 THEN event_type WHEN 3 THEN '' WHEN 4 THEN ' ' || CAST(user_id AS VARCHAR) || '.0' WHEN 5 THEN 'total: ' || event_type WHEN 6 THEN '-' || user_id END AS cell FROM events)"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Events as cells of a sheet: numbers, labelled numbers, words, blanks."""
+    u, kind, k = F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id") % 8
+    cell = F.when(k == 0, u).when(k == 1, F.concat(kind, F.lit(": "), u)).when(k == 2, kind).when(k == 3, F.lit("")).when(k == 4, F.concat(F.lit(" "), u, F.lit(".0"))).when(k == 5, F.concat(F.lit("total: "), kind)).when(k == 6, F.concat(F.lit("-"), u))
+    return _events(spark, d).select("event_id", cell.alias("cell"))
+
+
+@query(f"WITH {_CELLS} SELECT event_id, CAST(CASE WHEN regexp_full_match(trim(cell), '-?\\d+(\\.\\d*)?') THEN trunc(CAST(cell AS DOUBLE)) WHEN contains(cell, ':') THEN coalesce(TRY_CAST(trim(string_split(cell, ':')[-1]) AS BIGINT), 0) ELSE 0 END AS BIGINT) AS n FROM c")
 def f22_loose_int(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in ("12", "week 1: 7", "x", "", "3.0", "total: x", None)], "s string").withColumn("n", S.loose_int(F.col("s")))
+    return _cells(spark, d).select("event_id", S.loose_int(F.col("cell")).alias("n"))
+
 
+_TITLES = "t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%Y_%m') WHEN 2 THEN strftime(o_orderdate, '%y-%m-%d') ELSE o_orderpriority END AS title FROM orders)"
 
-@query("WITH v(t) AS (VALUES ('2024-01'), ('summary'), ('2024_01'), ('24-01-1')) SELECT t, length(t) = 7 AND substr(t, 5, 1) = '-' AS is_month FROM v")
+
+@query(f"WITH {_TITLES} SELECT o_orderkey, title, length(title) = 7 AND substr(title, 5, 1) = '-' AS is_month FROM t")
 def f23_month_titles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in ("2024-01", "summary", "2024_01", "24-01-1")], "t string").withColumn("is_month", logs.is_month_title(F.col("t")))
+    """Orders as sheets, named by month, by other dates or by priority."""
+    k, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    title = F.when(k == 0, F.date_format(day, "yyyy-MM")).when(k == 1, F.date_format(day, "yyyy_MM")).when(k == 2, F.date_format(day, "yy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", title.alias("title")).withColumn("is_month", logs.is_month_title(F.col("title")))
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
@@ -175,13 +191,19 @@ def f31_f36_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"), evals.assistant_label(F.col("m")).alias("assistant"), F.size("m").alias("n"))
 
 
-_ANSWERS = [("Yes", " yes "), ("1,234", "1234"), ("104", "100"), ("106", "100"), ("5%", "5"), ("0", "0"), ("0.01", "0"), ("nan", "nan"), ("1d", "1"), ("abc", "abd"), ("", ""), ("-95", "-100"), ("3.5e2", "350"), (None, "x")]
+_GUESSES = """g AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN printf('%.0f%%', l_quantity) WHEN 1 THEN '  ' || CAST(CAST(floor(l_quantity * 1.04) AS BIGINT) AS VARCHAR) WHEN 2 THEN CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || 'd' ELSE '1,' || printf('%03d', CAST(l_quantity AS BIGINT)) END AS output,
+ CASE WHEN l_linenumber % 4 = 3 THEN CAST(CAST(l_quantity + 1000 AS BIGINT) AS VARCHAR) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS expected FROM lineitem),
+n AS (SELECT *, CASE WHEN output LIKE '%d' THEN NULL ELSE CAST(translate(output, ',% ', '') AS DOUBLE) END AS a, CAST(expected AS DOUBLE) AS b FROM g)"""
 
 
-@query()
+@query(f"WITH {_GUESSES} SELECT l_orderkey, l_linenumber, output, lower(trim(output)) = expected OR coalesce(CASE WHEN b = 0 THEN a = 0 ELSE abs(a - b) / abs(b) <= 0.05 END, false) AS matches FROM n")
 def f33_relaxed_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(_ANSWERS)], "id int, output string, expected string")
-    return rows.select("id", S.relaxed_match(F.col("output"), F.col("expected")).alias("matches"))
+    """Quantities as answers: with a per cent sign, a little off, with a type suffix, with a comma."""
+    q, k, whole = F.col("l_quantity"), F.col("l_linenumber") % 4, lambda c: F.floor(c).cast("bigint").cast("string")
+    output = F.when(k == 0, F.concat(F.format_string("%.0f", q.cast("double")), F.lit("%"))).when(k == 1, F.concat(F.lit("  "), whole(q * 1.04))).when(k == 2, F.concat(whole(q), F.lit("d"))).otherwise(F.concat(F.lit("1,"), F.format_string("%03d", q.cast("bigint"))))
+    expected = F.when(k == 3, (q + 1000).cast("bigint")).otherwise(q.cast("bigint")).cast("string")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", output.alias("output"), expected.alias("expected"))
+    return rows.select("l_orderkey", "l_linenumber", "output", S.relaxed_match(F.col("output"), F.col("expected")).alias("matches"))
 
 
 @query("SELECT o_orderkey, lower(trim(o_orderpriority)) = '1-urgent' OR abs(o_totalprice - round(o_totalprice, -4)) / nullif(abs(round(o_totalprice, -4)), 0) <= 0.05 IS TRUE AS matches FROM orders")
@@ -240,11 +262,23 @@ def a16_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evals.accuracy(_events(spark, d), F.col("value") > 50, 1000, "event_id").withColumn("accuracy", F.round("accuracy", R))
 
 
-@query("SELECT i AS id, list_transform(range(10), lambda x: CASE WHEN x >= i AND x < i + 3 THEN x ELSE -100 END) AS labels FROM (SELECT CAST(unnest(range(5)) AS BIGINT) AS i)")
+_SPOKEN = "w AS (SELECT conv_id, turn, role, list_transform(range(1, len(text) + 1), lambda i: CAST(ascii(text[i:i]) AS BIGINT)) AS ids FROM conversations)"
+
+
+@query(f"""WITH {_SPOKEN}, p AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(len(ids)) OVER (PARTITION BY conv_id) AS n FROM w)
+SELECT conv_id, turn, list_transform(ids, lambda x: CASE WHEN role = 'assistant' THEN x ELSE -100 END) AS labels, CAST(b AS BIGINT) AS start, CAST(n AS BIGINT) AS n FROM p""")
 def f44_masked_labels(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(5).select("id", evals.masked_labels(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("bigint")), F.col("id"), F.col("id") + 3).alias("labels"))
+    """Code points of each turn's text as token ids; only the assistant's are labels. start, n: the turn's place in its conversation."""
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("bigint"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.when(F.length("text") > 0, ids).otherwise(F.array().cast("array<bigint>")).alias("ids"))
+    size = F.size("ids").cast("bigint")
+    own = F.when(F.col("role") == "assistant", F.size("ids")).otherwise(0)
+    by = Window.partitionBy("conv_id")
+    start = F.coalesce(F.sum(size).over(by.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("conv_id", "turn", evals.masked_labels(F.col("ids"), F.lit(0), own).alias("labels"), start.alias("start"), F.sum(size).over(by).alias("n"))
 
 
-@query("SELECT n, least(2 * pow(2, n), 60) AS seconds FROM (SELECT CAST(unnest(range(8)) AS BIGINT) AS n)")
+@query("SELECT event_id, event_id % 12 AS n, least(2 * pow(2, event_id % 12), 60) AS seconds FROM events")
 def f45_backoff(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(8).select(F.col("id").alias("n"), S.backoff_seconds(F.col("id")).alias("seconds"))
+    """Events as attempts."""
+    return _events(spark, d).select("event_id", (F.col("event_id") % 12).alias("n")).withColumn("seconds", S.backoff_seconds(F.col("n")))
