@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import collections
 import json
 import random
 
 import pytest
 from pyspark.sql import Row as spark_row
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from weftline.operators import scans
 from weftline.sources import articles, logs, samples
-from weftline.streaming import incremental
+from weftline.streaming import incremental, uploads
 
 LOG = """2024-01-05 10:00:00,123 INFO 💬 dropped
 2024-01-05 10:00:01,12 session_ab_1 start
@@ -171,19 +173,74 @@ def test_attempts_stop_at_the_limit():
         calls.append(row)
         raise OSError(row["error"])
 
-    assert incremental.attempt(send, {"error": "429 too many"}, 5, waits.append) == "failed"
+    assert uploads.attempt(send, {"error": "429 too many"}, 5, waits.append) == "failed"
     assert len(calls) == 6 and waits == [2.0, 4.0, 8.0, 16.0, 32.0]
-    assert incremental.attempt(send, {"error": "no such store"}, 5, waits.append) == "failed" and len(calls) == 7
-    assert incremental.attempt(lambda row: True, {}) == "uploaded" and incremental.attempt(lambda row: False, {}) == "failed"
+    assert uploads.attempt(send, {"error": "no such store"}, 5, waits.append) == "failed" and len(calls) == 7
+    assert uploads.attempt(lambda row: True, {}) == "uploaded" and uploads.attempt(lambda row: False, {}) == "failed"
+
+
+def uploading(spark, tmp_path, names, checkpoint="c0", die_at=None, **options):
+    """Uploads the names; sends are noted in a file each, and the sending process dies once after ``die_at``."""
+    sent = tmp_path / "sent"
+    sent.mkdir(exist_ok=True)
+    spark.createDataFrame([(n,) for n in names], "file string").coalesce(1).write.mode("ignore").parquet(str(tmp_path / f"in-{checkpoint}"))
+
+    def send(row, store, sent=str(sent), die_at=die_at):
+        import os
+        import uuid
+
+        if die_at and len(os.listdir(sent)) == die_at:
+            open(f"{sent}/died", "w").close()
+            os._exit(1)
+        with open(f"{sent}/{store}-{row['file']}-{uuid.uuid4().hex}.note", "w"):
+            return row["file"] != "bad"
+
+    stream = spark.readStream.schema("file string").parquet(str(tmp_path / f"in-{checkpoint}"))
+    return uploads.upload(stream, send, str(tmp_path / "ledger"), str(tmp_path / checkpoint), **options)
+
+
+def times_sent(tmp_path):
+    return collections.Counter(p.name.split("-")[1] for p in (tmp_path / "sent").glob("*.note"))
+
+
+def in_ledger(spark, tmp_path):
+    return sorted((r.file, r.status) for r in uploads.read_ledger(spark, str(tmp_path / "ledger")).collect())
 
 
 def test_upload_resumes_from_the_ledger(spark, tmp_path):
-    for k, names in enumerate((["a", "b"], ["a", "b", "c"])):
-        spark.createDataFrame([(n,) for n in names], "file string").write.parquet(str(tmp_path / f"in{k}"))
-        stream = spark.readStream.schema("file string").parquet(str(tmp_path / f"in{k}"))
-        incremental.upload(stream, lambda row: row["file"] != "b", str(tmp_path / "ledger"), str(tmp_path / f"c{k}")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "ledger")).collect()
-    assert sorted((r.file, r.status) for r in got) == [("a", "uploaded"), ("b", "failed"), ("c", "uploaded")]
+    assert in_ledger(spark, tmp_path) == []
+    uploading(spark, tmp_path, ["a", "bad", "a"], "c0", store="first").awaitTermination()
+    uploading(spark, tmp_path, ["a", "bad", "c"], "c1", store="second").awaitTermination()
+    uploading(spark, tmp_path, ["c", "d"], "c2", store="third", resume=False).awaitTermination()
+    assert in_ledger(spark, tmp_path) == [("a", "uploaded"), ("bad", "failed"), ("c", "uploaded"), ("d", "uploaded")]
+    assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "sent").glob("*.note")) == ["first-a", "first-bad", "first-c", "third-d"]
+
+
+def test_a_killed_task_goes_on_from_its_progress(spark, tmp_path):
+    names = [f"f{k:03d}" for k in range(35)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(StreamingQueryException):
+            uploading(spark, tmp_path, names, die_at=27, save_every=10).awaitTermination()
+        assert in_ledger(spark, tmp_path) == [] and len(times_sent(tmp_path)) == 27
+        uploading(spark, tmp_path, names, save_every=10).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert in_ledger(spark, tmp_path) == [(n, "uploaded") for n in names]
+    assert sorted(times_sent(tmp_path).values()) == [1] * 28 + [2] * 7  # only the 7 that weren't saved yet
+    assert not list((tmp_path / "ledger" / "progress").glob("*/*"))
+
+
+def test_a_repeated_epoch_changes_nothing(spark, tmp_path):
+    names = ["a", "b", "bad"]
+    uploading(spark, tmp_path, names).awaitTermination()
+    ledger, sent = in_ledger(spark, tmp_path), times_sent(tmp_path)
+    # the driver is lost between the sink's commit and the stream's own
+    for p in (tmp_path / "c0" / "commits").iterdir():
+        p.unlink()
+    uploading(spark, tmp_path, names).awaitTermination()
+    assert in_ledger(spark, tmp_path) == ledger and times_sent(tmp_path) == sent
 
 
 def test_attention_state_goes_on_between_batches(spark, tmp_path):

@@ -1,9 +1,8 @@
-"""Incremental forms: nightly append, texts seen before, upload ledger, attention state."""
+"""Incremental forms: nightly append, texts seen before, attention state."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,48 +38,6 @@ def unseen_texts(stream: DataFrame, text_col: str, event_time: str | None = None
     return hashed.dropDuplicates(["text_hash"])
 
 
-def upload(stream: DataFrame, send: Callable[[dict], bool], ledger: str, checkpoint: str, retries: int = 5, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
-    """Sends each row whose file the ledger doesn't know yet and records (file, status: uploaded or failed).
-
-    send: runs on executors, one row as a dict; false is a failure, and so is an error, which is tried again with
-    growing pauses if it speaks of a rate limit.  The ledger grows by a part per micro-batch (bound those at the source,
-    as with maxFilesPerTrigger) and is what a later run resumes from, whatever its checkpoint.  A batch is settled before
-    it is recorded, so a lost task may send its files again, never record them twice."""
-    from weftline.sources.articles import LEDGER
-
-    def each(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            rows = frame.to_dict("records")
-            yield pd.DataFrame({"file": [r["file"] for r in rows], "status": [attempt(send, r, retries, wait) for r in rows]})
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(LEDGER).parquet(ledger) if logs._exists(spark, ledger) else spark.createDataFrame([], LEDGER)
-        left = batch.join(known.select("file").distinct(), "file", "left_anti")
-        durable(left.mapInPandas(each, "file string, status string")).select("file", "status", F.current_timestamp().alias("updated_at")).write.mode("append").parquet(ledger)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def retryable(error: str) -> bool:
-    """Whether an error text speaks of a rate limit."""
-    return "429" in error or "rate" in error.lower()
-
-
-def attempt(send: Callable[[dict], bool], row: dict, retries: int = 5, wait: Callable[[float], None] = time.sleep) -> str:
-    """uploaded or failed, after at most ``retries`` more tries 2, 4, 8 .. 60 seconds apart if the rate is limited."""
-    for n in range(retries + 1):
-        try:
-            return "uploaded" if send(row) else "failed"
-        except Exception as error:  # whatever the store's client raises
-            if n == retries or not retryable(str(error)):
-                break
-            wait(min(2.0 * 2**n, 60.0))
-    return "failed"
-
-
 def attention_state(stream: DataFrame, decay: float = 0.99) -> DataFrame:
     """(layer, token_idx, score, total, updates) after each batch: decayed and plain attention per token, kept as state. stream: layer, step, token_idx, weight."""
     import numpy as np
