@@ -2,14 +2,17 @@
 
 The distinct pre-tokens of a batch lie in one flat numpy array of symbols with sequence bounds.  In every round each
 sequence finds its lowest-rank adjacent pair, and all its occurrences (left to right, not overlapping) merge at once;
-sequences without a pair are done, and what is left of them is their token count.
+sequences without a pair are done, and what is left of them is their token count.  Sequences of over ``LONG`` bytes merge
+one by one in the same way, with an index from rank to places, so a round looks only at what it merges.
 
 Nulls and edge cases: a null or empty text has 0 tokens; texts are never cut; a special token's string inside a text
-counts as that one token, as the library does by default; repeated rows are counted each.
+counts as that one token (the longest, where several begin), as the library does by default; repeated rows are counted
+each; other columns are ignored, whatever their names.  Tokenizers of other kinds are refused with a ValueError.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +28,8 @@ from weftline.llm.common import plain, slices
 #: Fixed value: the published split pattern of byte-level BPE; \s means Unicode's White_Space there.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CACHE = 400_000
+#: Longer pre-tokens merge one by one.
+LONG = 256
 _NONE = np.int64(1) << 40
 
 
@@ -67,16 +72,78 @@ def _byte_letters() -> list[str]:
 def load(path: str) -> Merges:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    own = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not own or spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        raise ValueError("only byte-level BPE with the published split pattern is supported")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
     vocab = spec["model"]["vocab"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
     keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
     results = np.array([vocab[a + b] for a, b in pairs], np.int64)
     by = np.argsort(keys)
-    return Merges(keys[by], by.astype(np.int64), results[by], np.array([vocab[c] for c in _byte_letters()], np.int64), [t["content"] for t in spec.get("added_tokens", [])])
+    return Merges(keys[by], by.astype(np.int64), results[by], np.array([vocab[c] for c in _byte_letters()], np.int64), sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True))
+
+
+def _merge_long(token: bytes, m: Merges) -> int:
+    """Tokens that remain of one long byte string."""
+    n = len(token)
+    symbol = np.append(m.bytes_[np.frombuffer(token, np.uint8)], 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # of the symbol at each place; n: none
+    merge = np.append(m.find(symbol[:-2], symbol[1:-1]), [-1, -1])  # of the pair that begins at each place
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def note(at: np.ndarray) -> None:
+        """The pairs at these places wait under their ranks."""
+        at = at[merge[at] >= 0]
+        rank = m.ranks[merge[at]]
+        by = np.argsort(rank, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(rank[by])) + 1):
+            if len(part):
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(at[part])
+
+    note(np.arange(n - 1))
+    left = n
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[merge[at] >= 0]
+        at = at[m.ranks[merge[at]] == r]  # the others have become part of something else
+        if not len(at):
+            continue
+        new_run = np.append(True, after[at[:-1]] != at[1:])
+        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+        symbol[at] = m.results[merge[at]]
+        gone = after[at]
+        merge[gone] = -1
+        after[at] = after[gone]
+        before[np.minimum(after[at], n)] = at
+        left -= len(at)
+        head = before[at]
+        touched = np.unique(np.concatenate([at, head[head >= 0]]))
+        inner = after[touched] < n
+        merge[touched[~inner]] = -1
+        touched = touched[inner]
+        merge[touched] = m.find(symbol[touched], symbol[after[touched]])
+        note(touched)
+    return left
 
 
 def merge_counts(tokens: list[bytes], m: Merges) -> np.ndarray:
     """Tokens that remain of each non-empty byte string."""
+    if long := {k: _merge_long(t, m) for k, t in enumerate(tokens) if len(t) > LONG}:
+        counts = np.zeros(len(tokens), np.int64)
+        counts[list(long)] = list(long.values())
+        short = [k for k in range(len(tokens)) if k not in long]
+        counts[short] = merge_counts([tokens[k] for k in short], m) if short else 0
+        return counts
     sizes = np.array([len(t) for t in tokens], np.int64)
     counts = sizes.copy()
     symbols = m.bytes_[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -134,17 +201,21 @@ class Counter:
 _COUNTERS: dict[int, Counter] = {}
 
 
+def _counter(m: Merges) -> Counter:
+    """The worker process's counter, which keeps what it has counted from task to task."""
+    if id(m) not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[id(m)] = Counter(m)
+    return _COUNTERS[id(m)]
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit). path: a byte-level BPE tokenizer's JSON file, read by the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent.value)
-        if key not in _COUNTERS:  # a worker process keeps what it has counted
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(sent.value)
-        counter = _COUNTERS[key]
+        counter = _counter(sent.value)
         for batch in batches:
             texts = plain(batch.column("text"))
             for lo, hi in slices(texts):
