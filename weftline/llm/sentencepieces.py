@@ -72,6 +72,8 @@ def load(path: str) -> Pieces:
             single[text] = i
         else:
             many.append(i)
+    if any(len(texts[i]) >= 64 for i in many):
+        raise ValueError("pieces of 64 characters or more are not supported")
     depth = 4
     while depth < max((len(texts[i]) for i in many), default=2):
         depth *= 2
@@ -316,6 +318,14 @@ class Decoder:
 _ENCODERS: dict[int, tuple[Encoder, Decoder]] = {}
 
 
+def _coders(p: Pieces) -> tuple[Encoder, Decoder]:
+    """The worker process's encoder and decoder, which keep what they have encoded from task to task."""
+    if id(p) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(p)] = Encoder(p), Decoder(p)
+    return _ENCODERS[id(p)]
+
+
 def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """The rows of ``docs`` with piece_ids (keep_ids), n_pieces, piece_sha256 (of the little-endian 32-bit ids), round_trip; where ``docs`` has such a column, the new one's name ends in an underscore."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
@@ -325,11 +335,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
     as_ = spare(names, *[n for n, _, _ in added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent.value)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = (Encoder(sent.value), Decoder(sent.value))
-        encoder, decoder = _ENCODERS[key]
+        encoder, decoder = _coders(sent.value)
         for batch in batches:
             texts = plain(batch.column(at))
             for lo, hi in slices(texts, 2 << 20):
