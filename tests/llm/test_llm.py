@@ -621,6 +621,34 @@ def test_token_counts(spark):
     assert got[9999].n_tokens == 0 and not got[9999].over_limit
 
 
+@needs_tokenizers
+@pytest.mark.parametrize("alphabet", ["a", "ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "日本é"])
+def test_long_unbroken_texts(alphabet):
+    """Pre-tokens beyond the bound of the array rounds merge like the others."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(len(alphabet))
+    m, library = token_counts.load(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["".join(r.choice(alphabet) for _ in range(n)) for n in (1, 90, 300, 4000)]
+    assert token_counts.merge_counts([t.encode() for t in texts], m).tolist() == [len(library.encode(t).ids) for t in texts]
+
+
+@needs_tokenizers
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.load(P.path("word_bpe_49k.json"))
+    spec = json.loads(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    odd = tmp_path / "odd.json"
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        odd.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            token_counts.load(str(odd))
+    odd.write_text(json.dumps(spec | {"added_tokens": [{**spec["added_tokens"][0], "content": c, "id": 50256 + k} for k, c in enumerate(["<x", "<x>y", "<x>"])]}))
+    assert token_counts.load(str(odd)).special == ["<x>y", "<x>", "<x"]
+
+
 @needs_tokenizers
 def test_counter_cache_turns_over():
     m = token_counts.load(P.path("byte_bpe_50k.json"))
@@ -727,6 +755,28 @@ def test_empty_benchmark(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)]
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["contract_op2", "contract_op4", "contract_op8", "contract_op13"])
+def test_columns_that_sql_can_say(spark, name):
+    import os
+
+    import duckdb
+
+    from weftline.llm.queries import ORACLE_SQL, QUERIES
+
+    if not os.path.isdir(SF) or (name == "contract_op8" and P is None):
+        pytest.skip("no test tables or tokenizer files")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[rel.columns.index(c)] for c in columns) for r in rel.fetchall())
+
+
 # pipeline
 
 

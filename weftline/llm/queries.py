@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.common import shared_dir, table
 
@@ -95,7 +96,27 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op4_language_model, op5_transcripts, op6_quality, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate, op11_token_files, op12_lexical_search, op13_whitening)}
+def contract_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: sizes and edited texts."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def contract_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: folds, tokens and base scores."""
+    return op4_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def contract_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: sizes."""
+    return op8_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def contract_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op13: rows, their number and exact deviations."""
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_phrases, op2_fingerprints, op3_jaccard, op4_language_model, op5_transcripts, op6_quality, op7_html_text, op8_token_counts, op9_sentencepieces, op10_decontaminate, op11_token_files, op12_lexical_search, op13_whitening, contract_op2, contract_op4, contract_op8, contract_op13)}
 
 _OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -147,4 +168,32 @@ r AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN b USING (item) WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard": _OP3_SQL, "op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL, "op12_lexical_search": _OP12_SQL}
+_CONTRACT2_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS later, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS first FROM documents)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(coalesce(later, first), length(text) // 2)) AS edited_sha256 FROM d
+"""
+
+#: crc32 of the document id's digits.
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+_CONTRACT4_SQL = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+z AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), z GROUP BY doc_id, held_out
+"""
+
+_CONTRACT8_SQL = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents"
+
+_CONTRACT13_SQL = """
+WITH e AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT k, vec_id, v FROM e WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT k, vec_id, unnest(range(len(v))) AS p, unnest(list_transform(v, lambda c: CAST(floor(1024 * c) AS BIGINT) + 100000)) AS x FROM g),
+s AS (SELECT p, sum(x) AS s, count(*) AS n FROM x GROUP BY p),
+d AS (SELECT k, vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation, count(*) AS dims FROM x JOIN s USING (p) GROUP BY k, vec_id)
+SELECT vec_id, CAST(component AS INT) AS component, n, deviation FROM d, unnest(range(1, least(dims, 8) + 1)) AS t(component)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": _OP3_SQL, "op1_phrases": _OP1_SQL, "op10_decontaminate": _OP10_SQL, "op12_lexical_search": _OP12_SQL, "contract_op2": _CONTRACT2_SQL, "contract_op4": _CONTRACT4_SQL, "contract_op8": _CONTRACT8_SQL, "contract_op13": _CONTRACT13_SQL}
