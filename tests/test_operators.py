@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scores as S
 from weftline.functions import text as X
+from weftline.functions.stemming import stem
 from weftline.operators import benchmarks, cache, dedup, evals, filters, metrics, sampling, trie, vectors
 from weftline.plans import queries_records
 
@@ -371,13 +372,34 @@ def test_trie_and_choices(spark):
 
 
 def test_rouge(spark):
-    assert one(spark, evals.rouge_n(F.col("a"), F.col("b"), 1), a="the cat the", b="the the dog") == pytest.approx(2 / 3)
-    assert one(spark, evals.rouge_l(F.col("a"), F.col("b")), a="a b c d", b="a c d") == pytest.approx(6 / 7)
-    assert one(spark, evals.rouge_l(F.col("a"), F.col("b")), a="", b="") == 0.0
-
-
-def brute_rouge(prediction, reference):
-    a, b = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (prediction, reference))
+    rows = [("the cat the", "the the dog", 2 / 3, 0.0), ("a b c d", "a c d", 6 / 7, 0.4), ("", "", 0.0, 0.0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, b string")
+    got = {(r.a, r.b): r for r in evals.rouge(df, "a", "b").collect()}
+    for a, b, one_, two in rows:
+        assert got[a, b].rouge1 == pytest.approx(one_) and got[a, b].rouge2 == pytest.approx(two)
+    assert got["a b c d", "a c d"].rougeL == pytest.approx(6 / 7)
+
+
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "ties": "tie", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
+    "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file",
+    "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "valenci": "valenc", "digitizer": "digit", "conformabli": "conform", "radicalli": "radic",
+    "differentli": "differ", "vileli": "vile", "analogousli": "analog", "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis",
+    "hopefulness": "hope", "callousness": "callous", "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic", "formative": "form", "formalize": "formal",
+    "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin", "gyroscopic": "gyroscop",
+    "adjustable": "adjust", "defensible": "defens", "irritant": "irrit", "replacement": "replac", "adjustment": "adjust", "dependent": "depend", "adoption": "adopt", "homologou": "homolog", "communism": "commun",
+    "activate": "activ", "angulariti": "angular", "homologous": "homolog", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll",
+    "dying": "die", "skies": "sky", "news": "news", "enjoy": "enjoy", "spied": "spi", "died": "die", "dies": "die", "flies": "fli", "by": "by", "generalizations": "gener", "oscillators": "oscil",
+}
+
+
+def test_stems():
+    """The published examples of each step, and the exceptions."""
+    assert {w: stem(w) for w in STEMS} == STEMS
+
+
+def brute_rouge(prediction, reference, stems=False):
+    a, b = ([stem(w) if stems and len(w) > 3 else w for w in re.findall("[a-z0-9]+", (t or "").lower())] for t in (prediction, reference))
     f1 = lambda shared, total: 2 * shared / total if total else 0.0
     grams = [[collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b)] for n in (1, 2)]
     row = [0] * (len(b) + 1)
@@ -388,22 +410,23 @@ def brute_rouge(prediction, reference):
     return *(f1((x & y).total(), x.total() + y.total()) for x, y in grams), f1(row[-1], len(a) + len(b))
 
 
-def test_rouge_query_scores_whole_texts(spark, tmp_path):
+@pytest.mark.parametrize("stems", [False, True])
+def test_rouge_query_scores_whole_texts(spark, tmp_path, stems):
     r = random.Random(0)
-    text = lambda n: " ".join(r.choice(["The", "cat", "sat", "on-a", "mat", "x1", "É"]) for _ in range(n))
+    text = lambda n: " ".join(r.choice(["The", "cat", "cats", "relating", "relational", "on-a", "mat", "x1", "É"]) for _ in range(n))
     head = text(80)
     items = [(0, f"{head} {text(200)}"), (1, f"{head} alpha beta"), (2, text(300)), (3, ""), (4, None), (5, "one"), (5, text(90)), (6, "a b c"), (9, "no partner")]
-    texts = [(0, f"{head} {text(150)}"), (1, f"{head} beta alpha"), (2, text(100)), (3, ""), (4, "a b"), (5, "one two"), (6, None), (7, "no partner")]
+    texts = [(0, f"{head} {text(150)}"), (1, f"{head} beta alpha"), (2, text(100)), (3, ""), (4, "a b"), (5, "one two"), (6, None), (7, "no partner"), (11, text(40)), (14, text(50))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((x.item_id, x.rouge1, x.rouge2, x.rougeL) for x in queries_records.f37_rouge(spark, str(tmp_path)).collect())
-    want = sorted((i, *brute_rouge(t, dict(texts)[i])) for i, t in items if i in dict(texts))
+    run = queries_records.f37_rouge_stemmed if stems else queries_records.f37_rouge
+    got = sorted((x.doc_id, x.item_id, x.rouge1, x.rouge2, x.rougeL) for x in run(spark, str(tmp_path)).collect())
+    want = sorted((i, k, *brute_rouge(t, s, stems)) for i, s in texts for k, t in items if i % len(items) == k)
     assert len(got) == len(want)
     for x, y in zip(got, want, strict=True):
         assert x == pytest.approx(y, abs=1e-6)
 
 
-
 ANSWERS = [("Yes", " yes ", True), ("1,234", "1234", True), ("104", "100", True), ("106", "100", False), ("5%", "5", True), ("0", "0", True), ("0.01", "0", False), ("nan", "nan", True), ("1d", "1", False), ("abc", "abd", False), ("", "", True), ("-95", "-100", True), ("3.5e2", "350", True), (None, "x", False)]
 
 

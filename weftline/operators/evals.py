@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import text as X
+from weftline.functions.stemming import stem
+from weftline.operators.scans import numbered
 
 
 def messages(user: Column, system: Column | None = None, assistant: Column | None = None) -> Column:
@@ -37,34 +41,10 @@ def prompt_grid(prompts: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.crossJoin(variants)
 
 
-def zip_by_position(left: DataFrame, right: DataFrame, position: str) -> DataFrame:
-    return left.join(right, position)
-
-
-def rouge_n(prediction: Column, reference: Column, n: int = 1) -> Column:
-    """F1 of shared n-grams, counted with repeats, over lower-cased letters and digits."""
-    tokens = lambda c: F.filter(F.split(F.lower(X.text(c)), "[^a-z0-9]+"), lambda w: w != "")
-    a, b = X.ngrams(tokens(prediction), n), X.ngrams(tokens(reference), n)
-    # the k-th repeat of a gram matches the k-th repeat on the other side
-    numbered = lambda g: F.transform(g, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    shared = F.size(F.array_intersect(numbered(a), numbered(b)))
-    total = F.size(a) + F.size(b)
-    return F.when(total > 0, 2 * shared / total).otherwise(F.lit(0.0))
-
-
-def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of words, one row of the table at a time."""
-    tokens = lambda c: F.filter(F.split(F.lower(X.text(c)), "[^a-z0-9]+"), lambda w: w != "")
-    a, b = tokens(prediction), tokens(reference)
-    zero = F.transform(F.array_repeat(F.lit(0), F.size(b) + 1), lambda x: x)
-    places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-
-    def row(prev, word):
-        return F.aggregate(places, F.array(F.lit(0)), lambda now, j: F.concat(now, F.array(F.when(F.element_at(b, j) == word, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(now, -1))))))
-
-    lcs = F.element_at(F.aggregate(a, zero, row), -1)
-    total = F.size(a) + F.size(b)
-    return F.when(total > 0, 2 * lcs / total).otherwise(F.lit(0.0))
+def zip_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str, position: str = "position") -> DataFrame:
+    """Rows of both sides that stand at the same place of their own order, with that place from 1 on; what is over on one side is left out."""
+    a, b = numbered(left, [], [left_order], position), numbered(right, [], [right_order], position)
+    return a.join(b, position)
 
 
 def _grams(codes: np.ndarray, rows: np.ndarray, n: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,32 +82,39 @@ def _lcs(a: list[int], b: list[int]) -> int:
     return len(b) - rest.bit_count()
 
 
-def _rouge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stemmed(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Codes of the words' stems (words of up to three letters stay), and how many there are."""
+    stems: dict[str, int] = {}
+    of = np.array([stems.setdefault(stem(w) if len(w) > 3 else w, len(stems)) for w in words], np.int64)
+    return of[codes] if len(words) else codes, len(stems)
+
+
+def _rouge(batches: Iterator[pa.RecordBatch], stems: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         m = batch.num_rows
         sides = batch.columns[-2:]
         flat = pa.concat_arrays([s.flatten().cast(pa.string()) for s in sides]).dictionary_encode()
-        codes = np.asarray(flat.indices).astype(np.int64)
-        sizes = [np.asarray(pa.compute.list_value_length(s)).astype(np.int64) for s in sides]
+        codes, vocabulary = np.asarray(flat.indices).astype(np.int64), len(flat.dictionary)
+        if stems:
+            codes, vocabulary = _stemmed(flat.dictionary.to_pylist(), codes)
+        sizes = [np.asarray(pc.list_value_length(s)).astype(np.int64) for s in sides]
         parts = np.split(codes, [int(sizes[0].sum())])
         rows = [np.repeat(np.arange(m), s) for s in sizes]
         f1 = lambda shared, total: np.where(total > 0, 2 * shared / np.maximum(total, 1), 0.0)
         out = []
         for n in (1, 2):
-            grams = [_grams(p, r, n, len(flat.dictionary)) for p, r in zip(parts, rows, strict=True)]
+            grams = [_grams(p, r, n, vocabulary) for p, r in zip(parts, rows, strict=True)]
             out.append(f1(_shared(*grams, m), sum(np.bincount(g[0], minlength=m) for g in grams)))
         a, b = (np.split(p, np.cumsum(s)[:-1]) for p, s in zip(parts, sizes, strict=True))
         out.append(f1(np.array([_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], float), sizes[0] + sizes[1]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(x) for x in out]], [*batch.schema.names[:-2], "rouge1", "rouge2", "rougeL"])
 
 
-def rouge(df: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """``df`` with ``rouge1``, ``rouge2`` and ``rougeL`` (F1) of whole texts, over lower-cased letters and digits.
-
-    As ``rouge_n`` and ``rouge_l``, whose lambdas take too long for texts of many words."""
+def rouge(df: DataFrame, prediction: str, reference: str, stems: bool = False) -> DataFrame:
+    """``df`` with ``rouge1``, ``rouge2`` and ``rougeL`` (F1) of whole texts, over lower-cased letters and digits; ``stems``: of words of over three letters the stems are compared."""
     tokens = lambda c: F.filter(F.split(F.lower(X.text(F.col(c))), "[^a-z0-9]+"), lambda w: w != "")
     out = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("rouge1", "rouge2", "rougeL")]])
-    return df.select("*", tokens(prediction).alias("_a"), tokens(reference).alias("_b")).mapInArrow(_rouge, out)
+    return df.select("*", tokens(prediction).alias("_a"), tokens(reference).alias("_b")).mapInArrow(partial(_rouge, stems=stems), out)
 
 
 def leaderboard(scores: DataFrame, prompt: str, score: str) -> DataFrame:

@@ -215,9 +215,17 @@ def f33_relaxed_match_orders(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", (same | (near & (rounded != 0))).alias("matches"))
 
 
-@query("SELECT p_partkey, '{\"name\":\"' || p_name || '\",\"brand\":\"' || p_brand || '\",\"type\":\"' || p_type || '\"}' AS label FROM part")
+#: Keys of a label, in order.
+LABEL = ["gender", "masterCategory", "subCategory", "season", "usage", "baseColour", "articleType"]
+_LABEL_SQL = ["p_brand", "split_part(p_type, ' ', 1)", "split_part(p_type, ' ', 2)", "'Größe ' || p_size", "left(p_name, 3)", "split_part(p_name, ' ', 1)", "p_type"]
+
+
+@query("SELECT p_partkey, '{' || " + " || ',' || ".join(f"""'"{k}":"' || {v} || '"'""" for k, v in zip(LABEL, _LABEL_SQL, strict=True)) + " || '}' AS label FROM part")
 def f34_label_json(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))).alias("label"))
+    kind = F.split("p_type", " ")
+    part = lambda k: F.coalesce(F.get(kind, F.lit(k)), F.lit(""))
+    own = [F.col("p_brand"), part(0), part(1), F.concat(F.lit("Größe "), F.col("p_size").cast("string")), F.substring("p_name", 1, 3), F.split("p_name", " ")[0], F.col("p_type")]
+    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(*[v.alias(k) for k, v in zip(LABEL, own, strict=True)])).alias("label"))
 
 
 @query("WITH j AS (SELECT conv_id, string_agg(text, '|||||' ORDER BY turn) AS t FROM conversations GROUP BY 1) SELECT conv_id, CAST(len(string_split(t, '|||||')) AS INT) AS n_documents, CAST(len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS INT) AS n_words FROM j")
@@ -226,12 +234,22 @@ def f35_document_count(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("conv_id", X.document_count(F.col("t")).alias("n_documents"), X.word_count(F.col("t")).alias("n_words"))
 
 
+def _scored_items(spark: SparkSession, d: str, stems: bool) -> DataFrame:
+    items = table(spark, d, "benchmark").withColumnRenamed("text", "prediction")
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("reference")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
+    pairs = rows.join(items, F.pmod("doc_id", F.greatest("n", F.lit(1))) == F.col("item_id")).select("doc_id", "item_id", "prediction", "reference")
+    return evals.rouge(pairs, "prediction", "reference", stems).select("doc_id", "item_id", *[F.round(c, R).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+
+
 @query()
 def f37_rouge(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item against the document of the same number."""
-    rows = table(spark, d, "benchmark").join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("reference")), "item_id")
-    scored = evals.rouge(rows, "text", "reference")
-    return scored.select("item_id", *[F.round(c, R).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+    """Every document as the reference of one benchmark item, dealt out by number."""
+    return _scored_items(spark, d, False)
+
+
+@query()
+def f37_rouge_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_items(spark, d, True)
 
 
 @query("SELECT vec_id, p.name, s AS with_system FROM embeddings, (VALUES ('a'), ('b'), ('c')) p(name), (VALUES (true), (false)) t(s)")
@@ -240,10 +258,11 @@ def j7_prompt_grid(spark: SparkSession, d: str) -> DataFrame:
     return evals.prompt_grid(prompts, table(spark, d, "embeddings").select("vec_id"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, b.o_totalprice FROM lineitem a JOIN orders b ON b.o_orderkey = a.l_orderkey WHERE a.l_linenumber = 1")
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position FROM documents), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders)
+SELECT position, doc_id, o_orderkey FROM a JOIN b USING (position)""")
 def j13_positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    left = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber")
-    return evals.zip_by_position(left, table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
+    """Documents and orders, each in order of their number."""
+    return evals.zip_by_position(table(spark, d, "documents").select("doc_id"), table(spark, d, "orders").select("o_orderkey"), "doc_id", "o_orderkey")
 
 
 @query(f"SELECT event_type, round(avg(value), {R}) AS mean_score, count(*) AS n FROM events GROUP BY 1")
