@@ -342,15 +342,33 @@ def test_low_rank_rebuild(spark):
         assert r.restored == pytest.approx(dict(rows)[r.id])
 
 
-def test_gram_matrix_of_many_tasks(spark):
+def test_factors_of_many_tasks(spark):
     rows = [(k, [None, [], [1.0, None], [float(k % 7), 2.0, -k / 9]][k % 4]) for k in range(41)]
     df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
     x = np.array([[*(e or 0.0 for e in v or []), 0.0, 0.0, 0.0][:3] for _, v in rows])
-    _, values, _ = vectors.low_rank(df, "id", "v", 1.1)
+    factors, values, _ = vectors.low_rank(df, "id", "v", 1.1)
     assert values == pytest.approx(np.linalg.svd(x)[1].tolist(), rel=1e-5)
+    assert {r.id: r.u is None for r in factors.collect()} == {k: v is None for k, v in rows}
     assert vectors.low_rank(df.where("size(v) = 0 or v is null"), "id", "v")[1:] == ([], [])
 
 
+def test_low_rank_keeps_small_singular_values(spark):
+    """Values down to 1e-9 of the largest, which a Gram matrix would lose; orthonormal right vectors; the rank by energy."""
+    r = np.random.default_rng(0)
+    u, v = np.linalg.qr(r.standard_normal((1500, 48)))[0], np.linalg.qr(r.standard_normal((48, 48)))[0]
+    s = np.geomspace(1, 1e-9, 48)
+    x = (u * s) @ v.T
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "id long, v array<double>").repartition(6)
+    factors, values, right = vectors.low_rank(df, "id", "v", 1.1)
+    assert np.array(values) == pytest.approx(s, rel=1e-5)
+    right = np.array(right)
+    assert np.abs(right @ right.T - np.eye(48)).max() < 1e-12
+    back = {r.id: r.restored for r in vectors.rebuild(factors, "id", right.tolist()).collect()}
+    assert np.abs(np.array([back[k] for k in range(1500)]) - x).max() < 1e-12
+    for share in (0.5, 0.99, 0.999999):
+        assert len(vectors.low_rank(df, "id", "v", share)[1]) == int((np.cumsum(s**2) / (s**2).sum() < share).sum()) + 1
+
+
 def test_cache_eviction(spark):
     log = spark.createDataFrame([(0, s, t, w) for s, (t, w) in enumerate([(63, 1.0), (64, 2.0), (65, 2.0), (64, 1.0), (66, 9.0)])], "layer int, step long, token_idx int, weight double")
     d = dict(values(cache.decayed_scores(log), "token_idx", "score"))

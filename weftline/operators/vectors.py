@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,50 +132,73 @@ def energy_rank(df: DataFrame, group: str, order: str, value: str, share: float
     return out.withColumn("rank", F.least(F.col("rank"), F.lit(most))) if most else out
 
 
-def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's share of the Gram matrix of its vectors, the half from the diagonal up; a shorter vector ends in zeros, nulls are zeros."""
-    total = np.zeros((0, 0))
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    """Vectors as rows of n values at least; a shorter vector ends in zeros, nulls are zeros."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(n, int(sizes.max(initial=0)))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _stacked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The triangular factor of two blocks of rows, one below the other."""
+    n = max(a.shape[1], b.shape[1])
+    wide = [np.pad(x, ((0, 0), (0, n - x.shape[1]))) for x in (a, b)]
+    return np.linalg.qr(np.concatenate(wide), mode="r")
+
+
+def _triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The triangular factor of a task's vectors, a slice of rows at a time."""
+    r = np.zeros((0, 0))
     for batch in batches:
-        column = batch.column(0).drop_null()
-        sizes = column.value_lengths().to_numpy()
-        n = int(sizes.max(initial=0))
-        if n > len(total):
-            total = np.pad(total, (0, n - len(total)))
-        step = max(1, (1 << 20) // max(n, 1))
+        column = batch.column(0)
+        step = max(64, (1 << 20) // max(1, int(pc.max(pc.list_value_length(column)).as_py() or 1)))
         for at in range(0, len(column), step):
-            values, size = column[at : at + step].flatten().fill_null(0.0).to_numpy(), sizes[at : at + step]
-            x = np.zeros((len(size), n))
-            x[np.arange(n) < size[:, None]] = values
-            total[:n, :n] += x.T @ x
-    i, j = np.triu_indices(len(total))
-    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
+            r = _stacked(r, _rows(column[at : at + step], r.shape[1]))
+    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()), pa.array([r.shape[1]], pa.int32())], ["r", "n"])
+
+
+def triangular(df: DataFrame, vector: str) -> np.ndarray:
+    """R of the QR factorisation of the matrix whose rows are the vectors (a tree of factors of factors; its signs are not fixed).
+
+    A factor is as large as a vector is long, squared, whatever the number of rows, and about 32 of them meet in the
+    driver.  Unlike the Gram matrix it keeps small singular values to full precision."""
+    factors = df.select(F.col(vector).cast("array<double>")).mapInArrow(_triangle, "r binary, n int").rdd.map(lambda row: np.frombuffer(row[0]).reshape(-1, row[1]) if row[1] else np.zeros((0, 0)))
+    many = factors.getNumPartitions()
+    return factors.treeReduce(_stacked, depth=max(2, int(np.ceil(np.log(many) / np.log(16))))) if many else np.zeros((0, 0))
+
+
+def _times(df: DataFrame, key: str, vector: str, matrix: np.ndarray, name: str) -> DataFrame:
+    """(key, name): each vector times the matrix; null vectors give null."""
+    sent = df.sparkSession.sparkContext.broadcast(matrix)
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            out = _rows(batch.column(1), len(m))[:, : len(m)] @ m
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * m.shape[1], pa.int32()), pa.array(out.ravel()), mask=pc.is_null(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["k", "p"])
+
+    return rows.mapInArrow(product, f"k {rows.schema['k'].dataType.simpleString()}, p array<double>").toDF(key, name)
 
 
 def low_rank(df: DataFrame, key: str, vector: str, share: float = 0.95, most: int | None = None) -> tuple[DataFrame, list[float], list[list[float]]]:
     """(rows with factor ``u`` * s, kept singular values, right vectors) of the matrix whose rows are the vectors."""
-    # the Gram matrix is as large as a vector is long, squared, whatever the number of rows
-    cells = df.select(F.col(vector).cast("array<double>")).mapInArrow(_gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
-    if not cells:
+    r = triangular(df, vector)
+    if not r.size:
         return df.select(key, F.array().cast("array<double>").alias("u")), [], []
-    n = max(r["j"] for r in cells) + 1
-    gram = np.zeros((n, n))
-    for r in cells:
-        gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["g"]
-    values, vectors = np.linalg.eigh(gram)
-    s, v = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1].T
+    _, s, v = np.linalg.svd(r, full_matrices=False)
     rank = int((np.cumsum(s**2) / max((s**2).sum(), 1e-300) < share).sum()) + 1
-    rank = min(rank, n, most or n)
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in v[k]]) for k in range(rank)])
-    dot = lambda a: F.aggregate(F.zip_with(F.col(vector), a, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)
-    return df.select(key, F.transform(rows, dot).alias("u")), s[:rank].tolist(), v[:rank].tolist()
+    rank = min(rank, len(s), most or len(s))
+    return _times(df, key, vector, np.ascontiguousarray(v[:rank].T), "u"), s[:rank].tolist(), v[:rank].tolist()
 
 
 def rebuild(factors: DataFrame, key: str, right: list[list[float]]) -> DataFrame:
     """(key, restored): factor rows (u * s) times the right vectors."""
-    n = len(right[0]) if right else 0
-    columns = F.array(*[F.array(*[F.lit(float(r[j])) for r in right]) for j in range(n)])
-    dot = lambda c: F.aggregate(F.zip_with(F.col("u"), c, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    return factors.select(key, F.transform(columns, dot).alias("restored") if n else F.array().cast("array<double>").alias("restored"))
+    if not right:
+        return factors.select(key, F.array().cast("array<double>").alias("restored"))
+    return _times(factors, key, "u", np.array(right), "restored")
 
 
 def compress(df: DataFrame, key: str, vector: str, bits: int = 8, share: float = 0.95, most: int | None = None) -> tuple[DataFrame, list[list[float]]]:
