@@ -369,6 +369,26 @@ def test_low_rank_keeps_small_singular_values(spark):
         assert len(vectors.low_rank(df, "id", "v", share)[1]) == int((np.cumsum(s**2) / (s**2).sum() < share).sum()) + 1
 
 
+def test_grouped_memory_and_prompt_parts(spark):
+    m = vectors.grouped_memory(32, 32, 8, 128, 4096)
+    assert (m["full_bytes"], m["ratio"]) == (2 << 30, 4.0) and vectors.grouped_memory(0, 32, 8, 128, 1)["ratio"] == 0.0
+    assert [one(spark, evals.prompt_part(F.col("s"), "<|assistant|>"), s=t) for t in ("ask<|assistant|>say<|assistant|>", "no header", None)] == ["ask", "no header", None]
+
+
+def test_outputs_are_split_by_reason(spark):
+    df = spark.createDataFrame([(1, None), (2, "short"), (3, "")], "id long, rejection_reason string")
+    kept, gone = filters.split_outputs(df)
+    assert values(kept, "id") == [(1,)] and values(gone, "id") == [(2,), (3,)]
+
+
+def test_turns_have_their_own_ids(spark):
+    from weftline.plans import curation
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t}") for c, t in ((0, 1000), (0, 1001), (1, 0), (1, 1))]
+    got = curation.turn_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert values(got, "id", "response") == [(1000, "0-1001"), (1 << 20, "1-1")]
+
+
 def test_cache_eviction(spark):
     log = spark.createDataFrame([(0, s, t, w) for s, (t, w) in enumerate([(63, 1.0), (64, 2.0), (65, 2.0), (64, 1.0), (66, 9.0)])], "layer int, step long, token_idx int, weight double")
     d = dict(values(cache.decayed_scores(log), "token_idx", "score"))

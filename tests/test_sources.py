@@ -117,6 +117,7 @@ def test_articles(spark, tmp_path):
     assert sorted((r.file, r.title, r.author) for r in got.collect()) == [("1.json", "t", ""), ("3.json", "", "")]
     assert [r.art_id for r in got.where(articles.is_valid()).collect()] == ["1"]
     assert articles.file_count(spark, str(folder)) == 3
+    assert [r.file for r in articles.list_files(spark, str(folder)).collect()] == ["1.json", "2.json", "3.json"]
     row = got.where("art_id = '1'").select(articles.metadata().alias("m"), articles.date_of(F.col("service_daytime")).alias("d")).first()
     assert row.m == {"year_month": "2024-02", "art_id": "1"} and row.d == "2024-02-03"
 
@@ -159,6 +160,51 @@ def test_samples_as_one_array(spark, tmp_path):
         assert sorted(r["id"] for r in json.loads(part.read_text())) == list(range(n))
 
 
+def test_a_large_array_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="too many"):
+        samples.save(spark.range(7), str(tmp_path / "a"), "json", most=6)
+
+
+def test_stage_tables_and_final_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ask", "say", None), (2, None, "", "x")], "id long, instruction string, response string, extra string")
+    back = samples.save_stage(df, str(tmp_path), "quality")
+    assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect())
+    stats = spark.createDataFrame([(2, 0.5)], "n long, share double")
+    samples.save_final(df, str(tmp_path), stats)
+    assert sorted(map(str, spark.read.schema("instruction string, response string").json(str(tmp_path / "samples")).collect())) == sorted(map(str, df.select("instruction", "response").collect()))
+    assert spark.read.json(str(tmp_path / "stats")).collect()[0].asDict() == {"n": 2, "share": 0.5}
+
+
+def test_splits_and_evaluation_lists(spark, tmp_path):
+    for name, n in (("train", 3), ("validation", 0), ("test", 2)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+    got = samples.load_splits(spark, str(tmp_path)).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 3, "test": 2}
+    (tmp_path / "eval.json").write_text(json.dumps([{"input": {"prompt": "p"}, "output": "o"}, {"input": {}, "output": None}, {}]))
+    assert [tuple(r) for r in samples.load_eval_list(spark, str(tmp_path / "eval.json")).collect()] == [("p", "o"), (None, None), (None, None)]
+
+
+def test_reports_and_snapshots(spark, tmp_path):
+    meta, summary = spark.createDataFrame([("m", 3)], "model string, n long"), spark.createDataFrame([(0.5,)], "accuracy double")
+    samples.eval_report(meta, summary, spark.createDataFrame([("a",), ("b",)], "output string"), str(tmp_path / "r"))
+    (row,) = spark.read.json(str(tmp_path / "r" / "report")).collect()
+    assert row.metadata.asDict() == {"model": "m", "n": 3} and row.summary.asDict() == {"accuracy": 0.5}
+    assert spark.read.json(str(tmp_path / "r" / "samples")).count() == 2
+    shots = spark.createDataFrame([("int8", 20, 2.0), ("int8", 10, 1.0), ("fp16", 5, None)], "technique string, sequence_length long, kv_cache_mb double")
+    nested = samples.nested_snapshots(shots)
+    assert {r.technique: [tuple(x) for x in r.snapshots] for r in nested.collect()} == {"int8": [(10, 1.0), (20, 2.0)], "fp16": [(5, None)]}
+    samples.save_json(nested, str(tmp_path / "n"))
+    assert sorted(map(str, samples.load_json(spark, str(tmp_path / "n"), nested.schema).collect())) == sorted(map(str, nested.collect()))
+
+
+def test_stores_are_tables(spark):
+    spark.sql("DROP TABLE IF EXISTS shop")
+    for _ in range(2):
+        articles.create_store(spark, "shop", "art_id string, title string")
+    assert spark.table("shop").columns == ["art_id", "title"] and "shop" in [t.name for t in spark.catalog.listTables()]
+    spark.sql("DROP TABLE shop")
+
+
 def test_broken_files_are_named(spark, tmp_path):
     (tmp_path / "good.json").write_text('{"item": {"title": "t"}}')
     (tmp_path / "bad.json").write_text("{nothing")

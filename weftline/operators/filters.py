@@ -64,20 +64,24 @@ def heuristics(instruction: Column, response: Column) -> Column:
     return F.struct(X.repetition_ratio(said).alias("repetition_ratio"), overlap.alias("instruction_overlap"), sentences.alias("sentence_count"), (F.size(said) / F.greatest(sentences, F.lit(1))).alias("avg_sentence_length"), F.size(said).alias("word_count"))
 
 
+#: An evaluator's reasons.
+NOT_ADDRESSED, REPEATED, SHORT, LONG, LOW, BELOW = "Response doesn't address instruction", "Too much repetition", "Response too short", "Response too long", "Low quality score", "Below minimum score threshold"
+
+
 def evaluation(h: Column, response: Column, overall: Column | None = None, response_length: tuple[int, int] = (50, 2000)) -> Column:
     """Struct passed, rejection_reason, length_valid, scored: of several failures the last counts; a score is looked at only if all else passes."""
     n = F.length(X.text(response))
     short, long_ = n < response_length[0], n > response_length[1]
-    rule = F.coalesce(F.when(h["instruction_overlap"] < 0.1, F.lit("Response doesn't address instruction")), F.when(h["repetition_ratio"] > 0.5, F.lit("Too much repetition")), F.when(short, F.lit("Response too short")), F.when(long_, F.lit("Response too long")))
+    rule = F.coalesce(F.when(h["instruction_overlap"] < 0.1, F.lit(NOT_ADDRESSED)), F.when(h["repetition_ratio"] > 0.5, F.lit(REPEATED)), F.when(short, F.lit(SHORT)), F.when(long_, F.lit(LONG)))
     scored = rule.isNull() & overall.isNotNull() if overall is not None else F.lit(False)
-    reason = F.coalesce(rule, F.when(scored & (overall < 0.3), F.lit("Low quality score"))) if overall is not None else rule
+    reason = F.coalesce(rule, F.when(scored & (overall < 0.3), F.lit(LOW))) if overall is not None else rule
     return F.struct(reason.isNull().alias("passed"), reason.alias("rejection_reason"), (~(short | long_)).alias("length_valid"), scored.alias("scored"))
 
 
 def threshold_reason(passed: Column, overall: Column | None, least: float) -> Column:
     """Null if evaluated as passed and, where there is an overall score, that is at least ``least``."""
     below = F.lit(False) if overall is None else F.coalesce(overall < least, F.lit(False))
-    return F.when(~passed | below, F.lit("Below minimum score threshold"))
+    return F.when(~passed | below, F.lit(BELOW))
 
 
 def split_outputs(df: DataFrame, reason: str = "rejection_reason") -> tuple[DataFrame, DataFrame]:

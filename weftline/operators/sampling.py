@@ -113,9 +113,17 @@ def stratified(df: DataFrame, n: int, key: str, strata: str, seed: int = 42, lea
     return _least_hashes(_first(df, sizes.crossJoin(F.broadcast(total)).withColumn("_n", take), strata, _hash_bucket(h), h, key), n, f"{seed}-trim", key)
 
 
+#: Seeds that may be drawn from.
+SEEDS = 100_000
+
+
 def seed_batches(seeds: DataFrame, n: int, ord_col: str, seed_col: str, size: int = 5, seed: int = 42) -> DataFrame:
-    """(batch, place, seed) of ceil(n / size) batches, each of ``size`` seeds at random, or of all if there are fewer. Seed lists are small by nature."""
+    """(batch, place, seed) of ceil(n / size) batches, each of ``size`` seeds at random, or of all if there are fewer.
+
+    The seeds travel as one array to all tasks; over ``SEEDS`` of them are refused."""
     spark = seeds.sparkSession
+    if (many := seeds.count()) > SEEDS:
+        raise ValueError(f"{many} seeds are too many to be drawn from in every batch")
     whole = seeds.agg(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(seed_col).alias("s"))).alias("l"))
     drawn = lambda b, x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), x["o"].cast("string"))).alias("h"), x["o"].alias("o"), x["s"].alias("s"))
     batches = spark.range(-(-n // size)).withColumnRenamed("id", "batch").crossJoin(F.broadcast(whole))

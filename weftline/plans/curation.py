@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from weftline.operators import dedup, filters, metrics, sampling
 
 
+#: Turns that a conversation may have.
+TURNS = 1 << 20
+
+
 def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """(id, instruction, response): user turns with the assistant turn right after."""
+    """(id, instruction, response): user turns with the assistant turn right after; the id is conv_id * TURNS + turn."""
     ask = conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("turn"), F.col("text").alias("instruction"))
     answer = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    return ask.join(answer, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "instruction", "response")
+    turn = F.when(F.col("turn").between(0, TURNS - 1), F.col("turn")).otherwise(F.raise_error(F.lit(f"a turn beyond {TURNS}")).cast("bigint"))
+    return ask.join(answer, ["conv_id", "turn"]).select((F.col("conv_id").cast("bigint") * TURNS + turn).alias("id"), "instruction", "response")
 
 
 def curate(samples: DataFrame, config: filters.FilterConfig | None = None, safety: bool = True, diversity: bool = True, threshold: float = 0.85, patterns: list[str] | None = None, strict: bool = False) -> DataFrame:

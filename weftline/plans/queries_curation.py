@@ -163,7 +163,7 @@ def f14_f15_strata(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f16_numbered_items(spark: SparkSession, d: str) -> DataFrame:
     """The instructions of each conversation as a numbered list, parsed back."""
-    listed = _pairs(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("id", "instruction"))).alias("l"))
+    listed = _pairs(spark, d).groupBy(F.floor(F.col("id") / curation.TURNS).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("id", "instruction"))).alias("l"))
     text = F.array_join(F.transform("l", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["instruction"])), "\n")
     return listed.select("conv_id", F.explode(X.numbered_items(text)).alias("instruction"))
 

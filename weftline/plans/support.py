@@ -29,7 +29,7 @@ class Registry:
 
 
 #: DuckDB: user turns with the assistant turn right after.
-PAIRS = """pairs AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text AS instruction, a.text AS response FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+PAIRS = """pairs AS (SELECT CAST(u.conv_id AS BIGINT) * 1048576 + u.turn AS id, u.text AS instruction, a.text AS response FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
 def words_sql(c: str) -> str:

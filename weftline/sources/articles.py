@@ -30,8 +30,8 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the folder's JSON files, broken ones too."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """Names of the folder's JSON files in order, broken ones too."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file")).orderBy("file")
 
 
 def file_count(spark: SparkSession, path: str) -> int:

@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from weftline.functions import text as X
+from weftline.operators.dedup import durable
 
 SAMPLE = T.StructType([T.StructField("ord", T.LongType()), T.StructField("instruction", T.StringType()), T.StructField("response", T.StringType()), T.StructField("seed_instruction", T.StringType()), T.StructField("evolution_history", T.ArrayType(T.StringType())), T.StructField("metadata", T.StructType([T.StructField("evolved", T.BooleanType()), T.StructField("generation_idx", T.IntegerType())]))])
 
@@ -44,14 +44,17 @@ def load_seeds(spark: SparkSession, path: str, yaml: bool = True) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_flat(value))), "ord bigint, seed string")
 
 
-def save(df: DataFrame, path: str, kind: str = "jsonl") -> None:
-    """Samples as JSON lines, or as one JSON array in one file, which a single task has to write, line by line."""
+def save(df: DataFrame, path: str, kind: str = "jsonl", most: int = 10_000_000) -> None:
+    """Samples as JSON lines, or as one JSON array in one file; a single task has to write that, line by line, so more than ``most`` rows are refused."""
     if kind == "jsonl":
         df.write.mode("overwrite").json(path)
     elif kind == "json":
         spark = df.sparkSession
-        rows = df.select(F.to_json(F.struct("*")).alias("value"), F.monotonically_increasing_id().alias("k"))
-        placed = rows.select("k", F.concat(F.when(F.row_number().over(Window.orderBy("k")) == 1, "  ").otherwise(", "), "value").alias("value"))
+        rows = durable(df.select(F.to_json(F.struct("*")).alias("value"), F.monotonically_increasing_id().alias("k")))
+        n, first = rows.agg(F.count("*"), F.min("k")).first()
+        if n > most:
+            raise ValueError(f"{n} rows are too many for one array; write JSON lines")
+        placed = rows.select("k", F.concat(F.when(F.col("k") == F.lit(first), "  ").otherwise(", "), "value").alias("value"))
         ends = spark.createDataFrame([(-1, "["), ((1 << 63) - 1, "]")], "k bigint, value string")
         placed.union(ends).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
     else:
