@@ -452,6 +452,29 @@ def test_segments_give_the_path_of_the_whole(spark, seed):
     assert sum(g.n_turns for g in got) == len(rows)
 
 
+def test_training_counts_go_over_segments(spark, monkeypatch):
+    """The counts of pieces and their seams are those of each conversation's lines as one transcript."""
+    r = random.Random(6)
+    said = ["what?", "", "a\n\n", "- a\n- b\n", "x" * 90, "no\nmore\n\nlast"]
+    rows = [(c, t, r.choice([*transcripts.ROLES, None]), r.choice(said)) for c in (7, None, 9, 11, 12, 13) for t in [*range(r.randint(1, 30)), None, -4, 900]]
+    parts = transcripts.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), 3)
+    held = {}
+    monkeypatch.setattr(transcripts, "Model", lambda *tables: held.update(got=tables))
+    transcripts.trained(parts, 0)
+    n, m = transcripts.N_STATES, transcripts.N_FEATURES
+    emit, move, first = np.zeros((n, m)), np.zeros((n, n)), np.zeros(n)
+    pieces = sorted(parts.collect(), key=lambda p: (p.segment is not None, p.segment or 0, p.part))
+    for c in {p.conv_id for p in pieces}:
+        if zlib.crc32(str(c).encode()) % 5:
+            mine = [p for p in pieces if p.conv_id == c]
+            states = [x for p in mine for x in np.frombuffer(p.truth, np.int8).tolist()]
+            seen = transcripts.features("\n".join(p.text for p in mine).split("\n"))
+            transcripts.counts(seen, states, emit, move)
+            if states[0] >= 0:
+                first[states[0]] += 1
+    assert all(np.array_equal(a, b) for a, b in zip(held["got"], (emit, move, first), strict=True))
+
+
 def test_no_conversations(spark):
     assert transcripts.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 

@@ -10,7 +10,8 @@ every document.  A block is a few flat arrays, about ten times its text; the dri
 worker holds one, in a chain of as many workers a task as there are blocks.
 
 Nulls and edge cases: a null or wordless text has no words and no hits; a null item id counts as the empty string; a
-repeated item id is reported once; repeated document rows are each judged; an empty benchmark hits nothing.
+repeated item id is reported once; repeated document rows are each judged; an empty benchmark hits nothing; ``contamination``
+ignores other columns, ``clean`` keeps them, whatever their names.
 """
 
 from __future__ import annotations

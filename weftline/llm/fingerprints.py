@@ -15,7 +15,7 @@ The next document in ascending id is found without one global window: ids give r
 sorted stream, and the first document of a range is also sent to the range before it.
 
 Nulls and edge cases: a null text counts as empty; null ids come first in the order; rows that share an id follow each
-other by text; a lone document is its own next; texts are never cut.
+other by text; a lone document is its own next; texts are never cut; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

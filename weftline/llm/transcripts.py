@@ -13,11 +13,12 @@ conversation with a share of all rows spreads over many tasks.  The path is the
 same: a segment is summed up as a matrix (best path from each state of its first line to each of its last line),
 matrices are multiplied in groups of ``FAN`` segments, level by level, and the states at the segments' ends are found
 from the top down.  A conversation's chat is its pieces by segment (null first) and part, one after another; most have
-one.  Training counts the moves inside segments, and the starts of those with turn 0.
+one.  Training counts inside segments and at their seams, so its tables are those of whole conversations.
 
 Nulls and edge cases: a null or empty text is a turn with one empty line; null turns sort first; unknown or null roles
 are written without a marker and count for no training; rows that share a turn follow each other by role and text; a
-null conversation id is a conversation of its own; empty tables give no rows; texts are never cut.
+null conversation id is a conversation of its own; empty tables give no rows; texts are never cut; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import staged
+from weftline.operators.scans import numbered
 
 ROLES = ("system", "user", "assistant")
 SEGMENT = 64
@@ -86,14 +88,12 @@ def features(lines: list[str]) -> list[int]:
     return [feature(line, lines[k - 1] if k else None) for k, line in enumerate(lines)]
 
 
-def counts(seen: list[int], states: list[int], start: bool, emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> None:
+def counts(seen: list[int], states: list[int], emit: np.ndarray, move: np.ndarray) -> None:
     before = -1
-    for k, (f, state) in enumerate(zip(seen, states, strict=True)):
+    for f, state in zip(seen, states, strict=True):
         if state >= 0:
             emit[state, f] += 1
-            if not k:
-                first[state] += start
-            elif before >= 0:
+            if before >= 0:
                 move[before, state] += 1
         before = state
 
@@ -243,22 +243,51 @@ def segments(conversations: DataFrame, size: int = SEGMENT) -> DataFrame:
 
 def _learner(fold: int):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit, move, first = np.zeros((N_STATES, N_FEATURES), np.int64), np.zeros((N_STATES, N_STATES), np.int64), np.zeros(N_STATES, np.int64)
+        emit, move = np.zeros((N_STATES, N_FEATURES), np.int64), np.zeros((N_STATES, N_STATES), np.int64)
         for batch in batches:
-            for conv, segment, part, truth, seen in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for conv, truth, seen in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if zlib.crc32(str(conv).encode()) % 5 != fold:
-                    counts(list(seen), np.frombuffer(truth, np.int8).tolist(), not segment and not part, emit, move, first)
-        flat = np.concatenate([emit.ravel(), move.ravel(), first])
+                    counts(list(seen), np.frombuffer(truth, np.int8).tolist(), emit, move)
+        flat = np.concatenate([emit.ravel(), move.ravel()])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())], ["at", "n"])
 
     return learn
 
 
+def _seams(parts: DataFrame, fold: int) -> DataFrame:
+    """(at, n): what counting pieces one by one misses: starts of conversations, moves from piece to piece, and first lines whose line before isn't blank."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [zlib.crc32(str(c).encode()) % 5 != fold for c in batch.column("conv_id").to_pylist()]
+            part = batch.filter(pa.array(keep))
+            truth, seen = part.column("truth").to_pylist(), part.column("seen").to_pylist()
+            states = [np.frombuffer(t, np.int8) for t in truth]
+            own = [pa.array([int(x[k]) for x in states], pa.int32()) for k in (0, -1)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "segment", "part")), *own, pa.array([x[0] for x in seen], pa.int32()), part.column("plain"), part.column("blank")], ["conv_id", "segment", "part", "opens", "closes", "after", "plain", "blank"])
+
+    schema = "conv_id bigint, segment bigint, part int, opens int, closes int, after int, plain int, blank boolean"
+    pieces = parts.select("conv_id", "segment", "part", "truth", "seen", "plain", "blank").mapInArrow(ends, schema)
+    placed = numbered(pieces, ["conv_id"], ["segment", "part"], "place")
+    before = placed.select(F.col("conv_id").alias("c"), (F.col("place") + 1).alias("next"), F.col("closes").alias("from"), F.col("blank").alias("parted"))
+    both = placed.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("next")), "left").where("opens >= 0")
+    emit = lambda f: F.col("opens") * N_FEATURES + F.col(f)
+    move, first = N_STATES * N_FEATURES, N_STATES * (N_FEATURES + N_STATES)
+    cell = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("bigint").alias("n"))
+    joined = (F.col("place") > 1) & ~F.col("parted")
+    cells = [
+        cell(first + F.col("opens"), (F.col("place") == 1).cast("int")), cell(move + F.col("from") * N_STATES + F.col("opens"), ((F.col("place") > 1) & (F.col("from") >= 0)).cast("int")),
+        cell(emit("plain"), joined.cast("int")), cell(emit("after"), -joined.cast("int")),
+    ]
+    return both.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("n != 0")
+
+
 def trained(parts: DataFrame, fold: int = 0) -> Model:
-    """The model of the ``segments`` of conversations whose crc32(conv_id as text) mod 5 is not ``fold``; what reaches the driver is one small count table."""
+    """The model of the ``segments`` of conversations whose crc32(conv_id as text) mod 5 is not ``fold``, as if each were one transcript; what reaches the driver is one small count table."""
     flat = np.zeros(N_STATES * (N_FEATURES + N_STATES + 1))
-    for r in parts.select("conv_id", "segment", "part", "truth", "seen").mapInArrow(_learner(fold), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    inside = parts.select("conv_id", "truth", "seen").mapInArrow(_learner(fold), "at int, n bigint")
+    for r in inside.union(_seams(parts, fold)).groupBy("at").agg(F.sum("n").alias("n")).collect():
         flat[r["at"]] = r["n"]
     a, b = N_STATES * N_FEATURES, N_STATES * (N_FEATURES + N_STATES)
     return Model(flat[:a].reshape(N_STATES, N_FEATURES), flat[a:b].reshape(N_STATES, N_STATES), flat[b:])
