@@ -323,10 +323,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same_id = of_twins.select(F.col("o").alias("a"), F.col("rep").alias("b")).where("a != b")
 
     posted = staged(source.mapInArrow(_poster(order, percent), "t bigint, o bigint, k bigint, np bigint"), "posted")
-    leads = posted.groupBy("t").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("o").alias("lo"), F.min_by("np", "o").alias("lnp")).where("k != k_last").select("t", "lo", "lnp")
-    leads = staged(leads, "leads")
-    postings = staged(posted.join(leads, "t").join(copies, ["o", "k"], "left_anti").select("t", "o", "np", "lo", "lnp"), "postings")
-    freed(posted, leads, copies)
+    # most tokens are of one set; only those of several are worth more than two hashes in a shuffle
+    recurring = staged(posted.groupBy("t").agg(F.min("k").alias("k"), F.max("k").alias("k_last")).where("k != k_last").select("t"), "recurring")
+    shared = staged(posted.join(recurring, "t").join(copies, ["o", "k"], "left_anti").select("t", "o", "np"), "shared")
+    freed(posted, recurring, copies)
+    leads = staged(shared.groupBy("t").agg(F.min("o").alias("lo"), F.min_by("np", "o").alias("lnp")), "leads")
+    postings = staged(shared.join(leads, "t").select("t", "o", "np", "lo", "lnp"), "postings")
+    freed(shared, leads)
     active = postings.select("o").distinct()
     packed = staged(source.mapInArrow(_pack, "o bigint, z binary").join(active, "o", "left_semi"), "texts")
     marks = staged(packed.mapInArrow(_marker(order, percent), _MARKS_SCHEMA), "marks")
