@@ -188,13 +188,19 @@ def test_whitening_refuses_what_has_no_covariance(spark):
             whitening.whitened(embeddings(spark, rows)).collect()
 
 
-def test_large_deviations_are_exact():
-    x = np.array([[10**14, -(10**14)], [3, 5]], np.int64)
-    with pytest.raises(OverflowError):
-        whitening.deviations(x, 2, x.sum(0).tolist())
+def test_large_deviations_are_exact_or_null():
+    root = math.isqrt((1 << 63) - 1)
+    x = np.array([[10**14, -(10**14)], [3, 5], [0, 0]], np.int64)
+    assert whitening.deviations(x, 3, x.sum(0).tolist())[2].tolist() == [False, False, False]
     x = np.array([[1 << 30, 0], [0, 0]], np.int64)
-    centred, squares = whitening.deviations(x, 2, x.sum(0).tolist())
-    assert squares.tolist() == [1 << 60, 1 << 60] and centred[:, 0].tolist() == [float(1 << 29), -float(1 << 29)]
+    centred, squares, fits = whitening.deviations(x, 2, x.sum(0).tolist())
+    assert squares.tolist() == [1 << 60, 1 << 60] and fits.all() and centred[:, 0].tolist() == [float(1 << 29), -float(1 << 29)]
+    edge = np.array([[root], [root + 1], [-root], [-root - 1], [7]], np.int64)
+    centred, squares, fits = whitening.deviations(edge, 1, [0])
+    assert fits.tolist() == [True, False, True, False, True] and squares[fits].tolist() == [root**2, root**2, 49]
+    huge = np.array([[(1 << 47)], [-(1 << 47)]], np.int64)
+    centred, squares, fits = whitening.deviations(huge, 1 << 20, [0])
+    assert not fits.any() and centred[:, 0].tolist() == [float(1 << 47), -float(1 << 47)]
 
 
 def test_registered_queries_read_whole_tables(spark):

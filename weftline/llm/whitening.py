@@ -12,7 +12,7 @@ Nulls and edge cases: rows whose vector is null, empty or holds null or non-fini
 several lengths, and entries of 2^38 or more, are refused with a ValueError; a component without variance (equal
 vectors, fewer vectors than dimensions, one vector) has a null ``whitened`` and an ``explained`` of 0; without any
 vector the result is empty; repeated and null ids are rows like others; other columns are ignored.  Squared deviations
-are exact 64-bit integers; a table so large that they don't fit fails with an OverflowError.
+are exact; one that doesn't fit into 64 bits (from about 3 million unit vectors on) is null.
 """
 
 from __future__ import annotations
@@ -90,21 +90,22 @@ def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return good, np.floor(SCALE * x).astype(np.int64) + SHIFT
 
 
-def deviations(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(x - mean as doubles, the exact sum of (n * x - S)^2 of each row)."""
-    most = max([1, *(abs(int(v)) for v in (x.max(), x.min()))])
+def deviations(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x - mean as doubles, the exact sum of (n * x - S)^2 of each row, whether it fits into 64 bits)."""
+    most = max(abs(int(x.max())), abs(int(x.min())))
     if n * most + max(map(abs, sums)) < 1 << 62:
         off = n * x - np.array(sums, np.int64)
-        bound = max(int(off.max()), -int(off.min()))
-        if bound * bound * x.shape[1] < 1 << 63:
-            return off / n, (off * off).sum(axis=1)
-        off = off.astype(object)
     else:
         off = n * x.astype(object) - np.array(sums, object)
-    squares = (off * off).sum(axis=1)
-    if max(squares) >= 1 << 63:
-        raise OverflowError("squared deviations need more than 64 bits")
-    return (off / n).astype(np.float64), squares.astype(np.int64)
+    doubles = off.astype(np.float64)
+    rough = (doubles * doubles).sum(axis=1) / float(1 << 63)
+    squares, fits = np.zeros(len(x), np.int64), rough < 1 - 1e-9
+    small = off[fits].astype(np.int64)
+    squares[fits] = (small * small).sum(axis=1)
+    for k in np.flatnonzero(~fits & (rough < 1 + 1e-9)).tolist():  # too near to tell in doubles
+        if (exact := sum(int(v) ** 2 for v in off[k])) < 1 << 63:
+            squares[k], fits[k] = exact, True
+    return doubles / n, squares, fits
 
 
 @dataclass
@@ -156,12 +157,12 @@ def whitened(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     sent = context.broadcast(model)
     alive = np.flatnonzero(np.isfinite(model.weights).all(axis=0))
 
-    def projected(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def projected(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         rows, x = integers(column)
         if not len(rows):
-            return rows, np.empty(0, np.int64), np.empty((0, 0))
-        centred, squares = deviations(x, sent.value.n, sent.value.sums)
-        return rows, squares, centred @ sent.value.weights
+            return rows, pa.array([], pa.int64()), np.empty((0, 0))
+        centred, squares, fits = deviations(x, sent.value.n, sent.value.sums)
+        return rows, pa.array(squares, pa.int64(), mask=~fits), centred @ sent.value.weights
 
     error = None
     if len(alive):
@@ -180,7 +181,7 @@ def whitened(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id").take(pa.array(np.repeat(rows, k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(rows))), pa.array(np.full(m, sent.value.n, np.int64)),
-                    pa.array(np.repeat(squares, k)), pa.array(flat, mask=~np.isfinite(flat)), pa.array(np.tile(explained, len(rows))), pa.array([error] * m, pa.float64()),
+                    squares.take(pa.array(np.repeat(np.arange(len(rows)), k))), pa.array(flat, mask=~np.isfinite(flat)), pa.array(np.tile(explained, len(rows))), pa.array([error] * m, pa.float64()),
                 ],
                 ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
             )
