@@ -16,7 +16,7 @@ from weftline.functions import scores as S
 from weftline.functions import text as X
 from weftline.functions.stemming import stem
 from weftline.operators import benchmarks, cache, dedup, evals, filters, metrics, sampling, trie, vectors
-from weftline.plans import queries_records
+from weftline.plans import queries_curation, queries_records
 
 
 def values(df, *columns):
@@ -69,6 +69,26 @@ def test_unsafe_pattern(spark, text, index):
     assert one(spark, filters.unsafe_pattern(F.col("s"), []), s=text) == (None if index is None else filters.UNSAFE_PATTERNS[index])
 
 
+ASCII_TEXTS = ["they kill time", "ékill killé", "dieö", "öthe", "le THE", "\u212aill", "k\u0131ll", "k\u0130ll", "expl\u017f hac\u212a", "call 743-555-3824é", "٧٤٣-555-3824", "kill_", "_kill", "", None]
+
+
+def test_ascii_patterns_agree_with_sql(spark):
+    import duckdb
+
+    patterns = [r"\b(die|the)\b", *filters.UNSAFE_PATTERNS, r"\bsku\b"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in ASCII_TEXTS], "s string").coalesce(1).select(filters.unsafe_pattern(F.col("s"), patterns, ascii=True)).collect()]
+    sql = "CASE " + " ".join(f"WHEN regexp_matches(?, '{p}', 'i') THEN '{p}'" for p in patterns) + " END"
+    assert got == [duckdb.execute(f"SELECT {sql}", [s] * len(patterns)).fetchone()[0] for s in ASCII_TEXTS]
+
+
+def test_stage_summary_query_has_ascii_word_bounds(spark, tmp_path):
+    answer = "Chie dieöst. " + " ".join(f"wört{k}" for k in range(40))  # 'die' stands at a bound for SQL, not for Python
+    turns = [(1, 0, "user", "q" * 70), (1, 1, "assistant", answer), (2, 0, "user", "q" * 70), (2, 1, "assistant", answer.replace("dieöst", "dienst"))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries_curation.a6_stage_summary(spark, str(tmp_path)).first()
+    assert (got.quality_rejected, got.safety_rejected, got.total_rejected, got.passed) == (0, 1, 1, 1)
+
+
 def test_evaluation_last_reason_wins(spark):
     def run(i, r, overall=0.9):
         return one(spark, filters.evaluation(filters.heuristics(F.col("i"), F.col("r")), F.col("r"), F.lit(overall))["rejection_reason"], i=i, r=r)
