@@ -232,6 +232,21 @@ def test_greedy_embedding_dedup_is_the_sequential_scan(spark):
     assert values(dedup.greedy_embedding_dedup(df, "id", "v", 0.6), "id", "keep") == want
 
 
+def test_greedy_embedding_dedup_lists_no_pairs(spark, monkeypatch):
+    """Rounds of the scan: kept vectors of two lengths, of several rounds, and ids that two vectors share; pairs aren't listed."""
+    monkeypatch.setattr(dedup, "cosine_pairs", None)
+    monkeypatch.setattr(dedup, "_ROUND_BYTES", 64 * 8 * 8)
+    r = np.random.default_rng(4)
+    rows = [(int(k) * 7 % 601, r.standard_normal(6 if k % 5 else 8).tolist()) for k in range(601)] + [(k, r.standard_normal(6).tolist()) for k in range(0, 600, 50)]
+    kept, want = [], {}
+    for i in sorted({i for i, _ in rows}):
+        own = [np.array(v) / np.linalg.norm(v) for j, v in rows if j == i]
+        want[i] = not any(len(u) == len(k) and u @ k > 0.6 for u in own for k in kept)
+        kept += own if want[i] else []
+    got = dedup.greedy_embedding_dedup(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), "id", "v", 0.6)
+    assert values(got.distinct(), "id", "keep") == sorted(want.items()) and got.count() == len(rows)
+
+
 def test_a_group_of_spun_copies_costs_a_row_each(spark, monkeypatch):
     """Leaders decide a large group of near copies: no pairs are listed."""
     r = random.Random(4)
