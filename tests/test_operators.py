@@ -205,6 +205,17 @@ def test_cosine_join_meets_few_blocks(spark):
     assert work.sent < 900 * 10  # of 40 blocks or so
 
 
+def test_cosine_join_sends_no_more_copies_of_a_vector_as_the_table_grows(spark):
+    r = np.random.default_rng(2)
+    copies = []
+    for n in (9_000, 36_000):
+        df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(r.standard_normal((n, 8)))], "id long, v array<double>")
+        work = dedup.cosine_work(df, "id", "v", 0.9).first()
+        assert work.met >= n * (n - 1) / 2 * 0.2 and work.pairs > 0
+        copies.append(work.sent / n)
+    assert copies[1] < 1.3 * copies[0] and copies[1] < 14
+
+
 @pytest.mark.parametrize("threshold", [-0.2, 0.0, 0.3, 0.8])
 def test_cosine_pairs_at_any_threshold(spark, threshold):
     r = np.random.default_rng(5)
