@@ -511,6 +511,25 @@ def test_rouge_query_scores_whole_texts(spark, tmp_path, stems):
         assert x == pytest.approx(y, abs=1e-6)
 
 
+@pytest.mark.parametrize("stems", [False, True])
+def test_rouge_scores_a_batch_in_bounded_pieces(monkeypatch, stems):
+    """Pieces of few words, rows longer than a piece and empty ones, as one whole batch gives them; arrays are as long as a piece."""
+    import pyarrow as pa
+
+    r = random.Random(1)
+    words = lambda n: [r.choice(["the", "cat", "cats", "relating", "relational", "mat"]) for _ in range(n)]
+    rows = [(words(r.choice([0, 3, 40])), words(r.choice([0, 5, 30, 120]))) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(200)), "_a": [a for a, _ in rows], "_b": [b for _, b in rows]}, pa.schema([("id", pa.int64()), ("_a", pa.list_(pa.string())), ("_b", pa.list_(pa.string()))]))
+    seen, score = [], evals._scores
+    monkeypatch.setattr(evals, "_WORDS", 100)
+    monkeypatch.setattr(evals, "_scores", lambda sides, m, stems: seen.append([sum(map(len, s.to_pylist())) for s in sides] + [m]) or score(sides, m, stems))
+    got = pa.Table.from_batches(evals._rouge(iter([batch.slice(0, 0), batch]), stems)).to_pydict()
+    assert got["id"] == list(range(200))
+    assert all(a + b <= 100 or m == 1 for a, b, m in seen) and len(seen) > 20
+    for k, (a, b) in enumerate(rows):
+        assert (got["rouge1"][k], got["rouge2"][k], got["rougeL"][k]) == pytest.approx(brute_rouge(" ".join(a), " ".join(b), stems), abs=1e-9)
+
+
 ANSWERS = [("Yes", " yes ", True), ("1,234", "1234", True), ("104", "100", True), ("106", "100", False), ("5%", "5", True), ("0", "0", True), ("0.01", "0", False), ("nan", "nan", True), ("1d", "1", False), ("abc", "abd", False), ("", "", True), ("-95", "-100", True), ("3.5e2", "350", True), (None, "x", False)]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +71,10 @@ def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 def _lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a word of ``a`` at a time on a bit for each word of ``b``."""
-    at: dict[int, int] = {}
+    at, seen = {}, set(a)
     for k, w in enumerate(b):
-        at[w] = at.get(w, 0) | 1 << k
+        if w in seen:
+            at[w] = at.get(w, 0) | 1 << k
     every = (1 << len(b)) - 1
     rest = every
     for w in a:
@@ -82,32 +83,56 @@ def _lcs(a: list[int], b: list[int]) -> int:
     return len(b) - rest.bit_count()
 
 
+#: The worker process's stems of words met lately.
+_stem = lru_cache(1 << 16)(stem)
+
+
 def _stemmed(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, int]:
     """Codes of the words' stems (words of up to three letters stay), and how many there are."""
     stems: dict[str, int] = {}
-    of = np.array([stems.setdefault(stem(w) if len(w) > 3 else w, len(stems)) for w in words], np.int64)
+    of = np.array([stems.setdefault(_stem(w) if len(w) > 3 else w, len(stems)) for w in words], np.int64)
     return of[codes] if len(words) else codes, len(stems)
 
 
+#: Words of both sides that are scored together; longer rows stand alone.
+_WORDS = 1 << 18
+
+
+def _spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose sizes sum up to ``most``, or of one longer row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
 def _rouge(batches: Iterator[pa.RecordBatch], stems: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        m = batch.num_rows
-        sides = batch.columns[-2:]
-        flat = pa.concat_arrays([s.flatten().cast(pa.string()) for s in sides]).dictionary_encode()
-        codes, vocabulary = np.asarray(flat.indices).astype(np.int64), len(flat.dictionary)
-        if stems:
-            codes, vocabulary = _stemmed(flat.dictionary.to_pylist(), codes)
-        sizes = [np.asarray(pc.list_value_length(s)).astype(np.int64) for s in sides]
-        parts = np.split(codes, [int(sizes[0].sum())])
-        rows = [np.repeat(np.arange(m), s) for s in sizes]
-        f1 = lambda shared, total: np.where(total > 0, 2 * shared / np.maximum(total, 1), 0.0)
-        out = []
-        for n in (1, 2):
-            grams = [_grams(p, r, n, vocabulary) for p, r in zip(parts, rows, strict=True)]
-            out.append(f1(_shared(*grams, m), sum(np.bincount(g[0], minlength=m) for g in grams)))
-        a, b = (np.split(p, np.cumsum(s)[:-1]) for p, s in zip(parts, sizes, strict=True))
-        out.append(f1(np.array([_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], float), sizes[0] + sizes[1]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(x) for x in out]], [*batch.schema.names[:-2], "rouge1", "rouge2", "rougeL"])
+        words = sum(np.asarray(pc.list_value_length(s)).astype(np.int64) for s in batch.columns[-2:])
+        for lo, hi in _spans(words, _WORDS):
+            piece = batch.slice(lo, hi - lo)
+            scores = [pa.array(x) for x in _scores(piece.columns[-2:], hi - lo, stems)]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-2], *scores], [*batch.schema.names[:-2], "rouge1", "rouge2", "rougeL"])
+
+
+def _scores(sides: list[pa.ListArray], m: int, stems: bool) -> list[np.ndarray]:
+    """The three scores of m rows."""
+    flat = pa.concat_arrays([s.flatten().cast(pa.string()) for s in sides]).dictionary_encode()
+    codes, vocabulary = np.asarray(flat.indices).astype(np.int64), len(flat.dictionary)
+    if stems:
+        codes, vocabulary = _stemmed(flat.dictionary.to_pylist(), codes)
+    sizes = [np.asarray(pc.list_value_length(s)).astype(np.int64) for s in sides]
+    parts = np.split(codes, [int(sizes[0].sum())])
+    rows = [np.repeat(np.arange(m), s) for s in sizes]
+    f1 = lambda shared, total: np.where(total > 0, 2 * shared / np.maximum(total, 1), 0.0)
+    out = []
+    for n in (1, 2):
+        grams = [_grams(p, r, n, vocabulary) for p, r in zip(parts, rows, strict=True)]
+        out.append(f1(_shared(*grams, m), sum(np.bincount(g[0], minlength=m) for g in grams)))
+    a, b = (np.split(p, np.cumsum(s)[:-1]) for p, s in zip(parts, sizes, strict=True))
+    out.append(f1(np.array([_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], float), sizes[0] + sizes[1]))
+    return out
 
 
 def rouge(df: DataFrame, prediction: str, reference: str, stems: bool = False) -> DataFrame:
