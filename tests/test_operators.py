@@ -273,6 +273,47 @@ def test_a_group_of_spun_copies_costs_a_row_each(spark, monkeypatch):
     assert sum(compared) < 3 * len(texts)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def long_texts(n, words, seed):
+    r = random.Random(seed)
+    return [[f"w{r.randrange(10**6)}" for _ in range(words)] for _ in range(n)]
+
+
+def test_overlap_with_few_references_sends_few_ngrams(spark, monkeypatch):
+    texts = long_texts(200, 400, 1)
+    items = [t[:300] for t in texts[:5]]
+    df, other = (spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(x)], "id long, text string") for x in (texts, items))
+    before = shuffled_bytes(spark)
+    assert values(dedup.similar_pairs(df, "id", "text", 0.1, other=other), "a", "b") == [(k, k) for k in range(5)]
+    assert shuffled_bytes(spark) - before < 4 * 200 * 400
+    monkeypatch.setattr(dedup, "_SENT_KEYS", 0)  # as for many references
+    assert values(dedup.similar_pairs(df, "id", "text", 0.1, other=other), "a", "b") == [(k, k) for k in range(5)]
+
+
+def test_rounds_of_leaders_send_only_sets_of_pairs(spark, monkeypatch):
+    """Some chains of near copies take several rounds; the many other sets aren't sent in any."""
+    texts = long_texts(400, 300, 2)
+    for k in range(0, 30):  # each is similar to the one before
+        texts.append([*texts[-1 if k % 5 else k][6:], *[f"n{k}x{i}" for i in range(6)]])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    grams = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    kept = []
+    for k, g in enumerate(grams):
+        if not any(len(g & grams[j]) / len(g | grams[j]) > 0.95 for j in kept):
+            kept.append(k)
+    before = shuffled_bytes(spark)
+    assert [k for k, keep in values(dedup.greedy_ngram_dedup(df, "id", "text", 0.95), "id", "keep") if keep] == kept
+    assert shuffled_bytes(spark) - before < 30 * sum(map(len, grams))
+    assert len(kept) < len(texts)
+    monkeypatch.setattr(dedup, "_SENT_KEYS", 0)
+    assert [k for k, keep in values(dedup.greedy_ngram_dedup(df, "id", "text", 0.95), "id", "keep") if keep] == kept
+
+
 def test_similar_pairs_are_all_pairs_above(spark):
     r = random.Random(8)
     texts = [None, "", "a b", *[" ".join(r.choice("abcde") for _ in range(r.randint(3, 14))) for _ in range(60)]]
