@@ -11,6 +11,9 @@ underscore where a name is taken).
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +21,22 @@ from pyspark.sql.window import Window
 from weftline.llm.common import quoted, spare, staged, table
 
 
+#: Bytes of a batch between Spark and its Python workers, which both hold it; by default 64 MB or 10,000 rows.
+BATCH_BYTES = 4_000_000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the session's Arrow batches bounded from then on: its result is computed after it returns."""
+
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@in_small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects (score below 0.3)."""
     from weftline.llm.quality import accepted, trained
@@ -25,6 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of 5-word shingle Jaccard 0.75 or more."""
     from weftline.llm.jaccard import similar_groups
@@ -43,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.where(~F.col(flag)).select(*map(quoted, here)).union(again.select(*map(quoted, here)))
 
 
+@in_small_batches
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of windows of 20 that also start earlier in the corpus; a document that loses all its words goes."""
     from weftline.llm.phrases import repeated_phrases
@@ -52,6 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*[(own[c] if c in own else F.col(f"carried.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
+@in_small_batches
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     from weftline.llm.decontaminate import clean
@@ -59,6 +81,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds SentencePiece ids, their number and digest, and whether decoding gives the text back."""
     from weftline.llm.queries import tokenizer_path

@@ -853,3 +853,39 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(r.round_trip for r in got)
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "extra"]
+
+
+def test_pipeline_batches_are_small(spark, tmp_path, monkeypatch):
+    """A batch is held by Spark and by its Python worker: no stage's result is made from 10,000 long rows at once."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 1000)").alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    monkeypatch.setattr("weftline.llm.decontaminate.clean", lambda docs, benchmark: docs.mapInArrow(sizes, "n long"))
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = [r.n for r in pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sum(found) > 15_000_000 and max(found) < pipeline.BATCH_BYTES + 100_000
+
+
+def test_sentencepieces_are_not_kept_by_workers(spark):
+    """Workers live on into other stages: what an encoder knows goes with its task."""
+    from weftline.llm.queries import tokenizer_path
+    from weftline.llm.sentencepieces import encoded
+
+    assert encoded(make(spark, [(k, f"some words {k}") for k in range(40)]).repartition(8), tokenizer_path("piece_bpe_32k.model")).where("round_trip").count() == 40
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        list(batches)
+        gc.collect()
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" and hasattr(x, "known") for x in gc.get_objects())])], ["n"])
+
+    assert sum(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()) == 0

@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from weftline.llm.common import mapped, plain, slices, spare
 
 MARK = "▁"
-CACHE = 500_000
+#: Chunks that an encoder keeps: some 200 bytes each.
+CACHE = 200_000
 #: Chunks up to so many characters merge in arrays; longer ones one by one with a heap.
 ARRAY_CHARS = 48
 _NONE = np.int64(1) << 40
@@ -315,17 +316,6 @@ class Decoder:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, tuple[Encoder, Decoder]] = {}
-
-
-def _coders(p: Pieces) -> tuple[Encoder, Decoder]:
-    """The worker process's encoder and decoder, which keep what they have encoded from task to task."""
-    if id(p) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[id(p)] = Encoder(p), Decoder(p)
-    return _ENCODERS[id(p)]
-
-
 def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """The rows of ``docs`` with piece_ids (keep_ids), n_pieces, piece_sha256 (of the little-endian 32-bit ids), round_trip; where ``docs`` has such a column, the new one's name ends in an underscore."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
@@ -335,7 +325,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
     as_ = spare(names, *[n for n, _, _ in added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _coders(sent.value)
+        # a task's own: a worker lives on into other stages, which need the memory of the kept chunks
+        encoder, decoder = Encoder(sent.value), Decoder(sent.value)
         for batch in batches:
             texts = plain(batch.column(at))
             for lo, hi in slices(texts, 2 << 20):
