@@ -73,6 +73,34 @@ def test_id_files_of_long_texts_and_of_nothing(spark, tmp_path, tokenizer_file,
         token_files.write_ids(spark.createDataFrame([("a", "b")], "doc_id string, text string"), tokenizer_file, str(tmp_path / "bad"))
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_chunks_are_told_apart_by_their_bytes(tokenizer_file, monkeypatch, alike):
+    from tokenizers import Tokenizer
+
+    if alike:  # all hashes are equal
+        monkeypatch.setattr(token_files, "_lane_hash", lambda lanes: np.zeros(len(lanes), np.uint64))
+    r = random.Random(5)
+    texts = [t or "" for t in ODD] + ["".join(r.choice("ab cdé\n \t\xa0\u2003\u3000\0ß的1,'") for _ in range(r.randint(0, 90))) for _ in range(300)]
+    library = Tokenizer.from_file(tokenizer_file)
+    with open(tokenizer_file) as f:
+        encoder = token_files.Encoder(f.read(), 2, cache=50)
+    for some in (texts[:100], texts[100:], texts[::-1]):
+        assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in encoder(some)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_chunks_in_use_stay_known(tokenizer_file):
+    """Where the bound is reached, only chunks that the call doesn't use are forgotten, and none is encoded again."""
+    with open(tokenizer_file) as f:
+        encoder = token_files.Encoder(f.read(), 2, cache=10)
+    given = []
+    ids = encoder._chunk_ids
+    encoder._chunk_ids = lambda chunks: given.append(len(chunks)) or ids(chunks)
+    encoder(["a b c d e f"])
+    encoder(["a b c d e f g h i j k"])
+    encoder(["g h i j k"])
+    assert sum(given) == 6 + 5 + 1  # the last text begins without a blank
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000, 65536])
 def test_planes_round_trip(n, bits):

@@ -8,8 +8,9 @@ Spark writes the table of files (``index``) with its own commit: a lost or repea
 and such files are removed after the write.
 
 Encoding goes through the library for every distinct chunk of a text (a run without white space with the space before
-it, or a run of white space), which a byte-level tokenizer without normaliser never merges across; a task keeps a
-bounded number of short chunks.  Texts that hold an added token, and other tokenizers, are encoded whole.
+it, or a run of white space), which a byte-level tokenizer without normaliser never merges across.  Chunks are found and
+told apart in arrays of a slice's bytes, without a Python string each, and a worker keeps a bounded number of short ones.
+Texts that hold an added token, and other tokenizers, are encoded whole.
 
 Nulls and edge cases: a null or empty text has no ids but the end id; null document ids come first; rows with one id
 follow each other, each with its own start; texts are never cut off (long ones are encoded piece by piece, parted where
@@ -27,27 +28,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.common import integral, plain, slices
+from weftline.llm.words import mix
 
 #: Ids in a block.
 BLOCK = 1 << 16
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 LEVEL = 3
-#: Chunks that an encoder keeps, and the longest of them.
-CACHE, CACHED_CHARS = 600_000, 96
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 2 << 20
+#: Chunks that an encoder keeps (a call's own may come on top), and 8-byte numbers that hold one of them.
+CACHE, LANES = 1_000_000, 4
+EXACT = 8 * LANES
 #: Longer texts are encoded in pieces of about so many characters.
 PIECE_CHARS = 1 << 20
 MAGIC = b"WFTPLANE"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _END = struct.Struct("<QQQQB7x8s")
 #: Unicode's White_Space, as the split pattern of byte-level tokenizers means it.
-_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+_WIDE = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACE = "\t-\r \x85\xa0" + _WIDE
+_SPACE_BYTE = np.zeros(256, bool)
+_SPACE_BYTE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that follow a lead byte in a longer white space character.
+_LONG_SPACES = {lead: [x[1:] for x in (c.encode() for c in "\x85\xa0" + _WIDE) if x[0] == lead] for lead in (0xC2, 0xE1, 0xE2, 0xE3)}
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?= [^{_SPACE}])")
 
 
@@ -190,6 +202,98 @@ class PlaneFile:
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
 
+def _lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each span's first ``EXACT`` bytes as ``LANES`` numbers, and its size."""
+    padded = np.concatenate([data, np.zeros(EXACT + 8, np.uint8)])
+    eight = np.ndarray((len(data) + EXACT,), "<u8", padded, strides=(1,))
+    out = np.zeros((len(starts), LANES + 1), np.uint64)
+    for j in range(LANES):
+        of = np.flatnonzero(sizes > 8 * j) if j else slice(None)
+        left = np.minimum(sizes[of] - 8 * j, 8)
+        out[of, j] = eight[starts[of] + 8 * j] & _MASK[left]
+    out[:, LANES] = sizes
+    return out
+
+
+def _lane_hash(lanes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lanes), np.uint64)
+    for j in range(lanes.shape[1]):
+        of = np.flatnonzero(lanes[:, j]) if 0 < j < lanes.shape[1] - 1 else slice(None)
+        out[of] = mix((out[of] + lanes[of, j]) * _ODD)
+    return out
+
+
+def chunk_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, chunk starts, ``rows``) of texts without nulls: the chunks tile the bytes, and row r has chunks ``rows[r]:rows[r+1]``."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    space = _SPACE_BYTE[data]
+    tail = np.zeros(len(data), np.uint8)  # at the last byte of a longer space: how many bytes come before it
+    for lead, rest in _LONG_SPACES.items():
+        n = len(rest[0])
+        at = np.flatnonzero(data[: max(len(data) - n, 0)] == lead)
+        at = at[np.any([np.all([data[at + j + 1] == b for j, b in enumerate(r)], axis=0) for r in rest], axis=0)]
+        for j in range(n + 1):
+            space[at + j] = True
+        tail[at + n] = n
+    head = np.zeros(len(data), bool)
+    head[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    after = np.zeros(len(data), bool)
+    after[1:] = space[:-1]
+    start = head | (space & ~after)
+    word = np.flatnonzero(~space & after & ~head)
+    last = word - 1 - tail[word - 1]  # the last of a run of spaces parts from it; a blank goes with the word
+    start[last] = True
+    start[word[data[last] != 0x20]] = True
+    starts = np.flatnonzero(start)
+    return data, starts, np.searchsorted(starts, offsets)
+
+
+def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``at[k]`` to ``at[k] + n[k]`` of all k, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - ends + n, n)
+
+
+class Known:
+    """Chunks of at most ``EXACT`` bytes as arrays: their bytes and size as ``LANES + 1`` numbers, found by a hash of these, and their ids in one pool."""
+
+    def __init__(self):
+        self.hashes, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.lanes, self.at, self.n, self.pool = np.empty((0, LANES + 1), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, -1 if there is none, -2 if another chunk has its hash."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = np.where(self.hashes[place] == hashes, self.entry[place], -1)
+        hit = np.flatnonzero(out >= 0)
+        out[hit[(self.lanes[out[hit]] != lanes[hit]).any(1)]] = -2
+        return out
+
+    def add(self, hashes: np.ndarray, lanes: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """New chunks, by ascending hash; returns their entries."""
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        entries = len(self.n) + np.arange(len(n))
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.entry = np.insert(self.hashes, place, hashes), np.insert(self.entry, place, entries)
+        self.lanes = np.concatenate([self.lanes, lanes])
+        self.at = np.append(self.at, len(self.pool) + np.cumsum(n) - n)
+        self.n = np.append(self.n, n)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        return entries
+
+    def keep(self, entries: np.ndarray) -> None:
+        """Drops all other chunks; ``entries`` by ascending hash."""
+        n = self.n[entries]
+        self.hashes = self.hashes[np.isin(self.entry, entries)]
+        self.pool = self.pool[_spread(self.at[entries], n)]
+        self.lanes, self.at, self.n, self.entry = self.lanes[entries], np.cumsum(n) - n, n, np.arange(len(n))
+
+
 class Encoder:
     """Ids of texts as bytes, by the tokenizers library."""
 
@@ -206,10 +310,9 @@ class Encoder:
         parsed = json.loads(spec)
         split = parsed.get("pre_tokenizer") or {}
         self.parted = parsed["model"]["type"] == "BPE" and not parsed.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        added = [re.escape(t["content"]) for t in parsed.get("added_tokens", [])]
-        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.added = [t["content"] for t in parsed.get("added_tokens", [])]
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.most, self.known = cache, {}
+        self.most, self.known = cache, Known()
         line = self._ids(["\n"])[0]
         self.line = int(np.frombuffer(line, "<u4")[0]) if self.parted and len(line) == 4 else None
 
@@ -244,36 +347,59 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def _chunked(self, texts: list[str]) -> list[bytes]:
-        found = [_CHUNKS.findall(t) for t in texts]
-        distinct = set().union(*found)
-        new = [c for c in distinct if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(distinct)
-        ids = dict(zip(new, self._chunk_ids(new), strict=True))
-        if len(new) <= self.most:
-            self.known.update((c, x) for c, x in ids.items() if len(c) <= CACHED_CHARS)
-        known = self.known
-        get = lambda c: x if (x := known.get(c)) is not None else ids[c]
-        plain_ = len(new) <= self.most and all(len(c) <= CACHED_CHARS for c in new)
-        return [b"".join(map(known.__getitem__ if plain_ else get, chunks)) for chunks in found]
-
-    def __call__(self, texts: list[str]) -> list[list[bytes]]:
+    def _chunked(self, texts: pa.Array) -> list[bytes]:
+        data, starts, rows = chunk_bounds(texts)
+        sizes = np.diff(np.append(starts, len(data)))
+        raw = data.tobytes()
+        text_of = lambda k: raw[starts[k] : starts[k] + sizes[k]].decode()
+        lanes = _lanes(data, starts, sizes)
+        hashes = _lane_hash(lanes)
+        by = np.argsort(hashes)
+        new = np.append(True, hashes[by][1:] != hashes[by][:-1])[: len(by)]
+        first = by[new]  # of each distinct hash, by ascending hash, a chunk
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        # longer chunks, and those whose hash another one has, are told apart as strings
+        odd = (sizes > EXACT) | (lanes != lanes[first][which]).any(1)
+        entry = self.known.find(hashes[first], lanes[first])
+        odd |= (entry == -2)[which]
+        entry[sizes[first] > EXACT] = -2
+        if len(self.known.n) + (entry == -1).sum() > self.most:
+            used = entry >= 0
+            self.known.keep(entry[used])
+            entry[used] = np.arange(used.sum())
+        if (fresh := entry == -1).any():
+            entry[fresh] = self.known.add(hashes[first[fresh]], lanes[first[fresh]], self._chunk_ids([text_of(k) for k in first[fresh].tolist()]))
+        pool, entry, at, n = self.known.pool, entry[which], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[~odd], n[~odd] = self.known.at[entry[~odd]], self.known.n[entry[~odd]]
+        if len(places := np.flatnonzero(odd)):
+            chunks = [text_of(k) for k in places.tolist()]
+            distinct = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+            ids = self._chunk_ids(list(distinct))
+            long = np.array([len(x) // 4 for x in ids], np.int64)
+            of = np.array([distinct[c] for c in chunks], np.int64)
+            at[places], n[places] = (len(pool) + np.cumsum(long) - long)[of], long[of]
+            pool = np.append(pool, np.frombuffer(b"".join(ids), "<u4"))
+        out = pool[_spread(at, n)]
+        cuts = np.append(0, np.cumsum(n))[rows].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[list[bytes]]:
         """For each text its ids and the end id, in parts."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        short = []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.parted or self.added(text):
-                out[k] = self._ids([text])
-            elif len(text) > PIECE_CHARS:
-                out[k] = [self._chunked([part])[0] for part in self._parts(text)]
-            else:
-                short.append(k)
-        for k, data in zip(short, self._chunked([texts[k] for k in short]), strict=True):
-            out[k] = [data]
+        texts = plain(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        whole = np.zeros(len(texts), bool) if self.parted else np.ones(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        size = pc.binary_length(texts).to_numpy()
+        alone = np.flatnonzero((whole | (size > PIECE_CHARS)) & (size > 0))
+        for k in alone.tolist():
+            text = texts[k].as_py()
+            out[k] = [self._ids([text])[0]] if whole[k] else [self._chunked(pa.array([part], pa.string()))[0] for part in self._parts(text)]
+        short = np.setdiff1d(np.flatnonzero(size > 0), alone)
+        if len(short):
+            for k, ids in zip(short.tolist(), self._chunked(texts if len(short) == len(texts) else texts.take(pa.array(short))), strict=True):
+                out[k] = [ids]
         for parts in out:
             parts.append(self.end)
         return out
@@ -329,8 +455,8 @@ def write_ids(docs: DataFrame, path: str, to: str, end_id: int | None = 2, id_co
             writer = PlaneWriter(out, block, bits)
             for batch in batches:
                 texts, ids = plain(batch.column("text")), batch.column("doc_id").to_pylist()
-                for lo, hi in slices(texts):
-                    for doc_id, data in zip(ids[lo:hi], encoder(texts.slice(lo, hi - lo).to_pylist()), strict=True):
+                for lo, hi in slices(texts, ENCODE_BYTES):
+                    for doc_id, data in zip(ids[lo:hi], encoder(texts.slice(lo, hi - lo)), strict=True):
                         writer.add(doc_id, data)
                 n_docs += len(ids)
             writer.close()
