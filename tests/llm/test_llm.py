@@ -886,6 +886,6 @@ def test_sentencepieces_are_not_kept_by_workers(spark):
 
         list(batches)
         gc.collect()
-        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" and hasattr(x, "known") for x in gc.get_objects())])], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([sum((type(x).__module__, type(x).__name__) == ("weftline.llm.sentencepieces", "Encoder") for x in gc.get_objects())])], ["n"])
 
     assert sum(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()) == 0
