@@ -216,6 +216,27 @@ def test_cosine_join_sends_no_more_copies_of_a_vector_as_the_table_grows(spark):
     assert copies[1] < 1.3 * copies[0] and copies[1] < 14
 
 
+def test_vectors_in_all_directions_are_compared_by_themselves_only_if_similar(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(r.standard_normal((2_000, 64)))], "id long, v array<double>")
+    work = dedup.cosine_work(df, "id", "v", 0.3).first()
+    assert work.met == 2_000 * 1_999 / 2 and 0 < work.pairs <= work.candidates < 1.01 * work.pairs
+
+
+def test_cosine_pairs_within_rounding_of_the_threshold(spark):
+    """32 bits can't tell these cosines from the threshold; vectors of 300 dimensions are bounded by the leading ones."""
+    cosines = [0.3 + k * 1e-9 for k in range(-40, 41) if k]
+    rows = [(0, [1.0, 0.0]), *[(k + 1, [c, (1 - c * c) ** 0.5]) for k, c in enumerate(cosines)]]
+    got = dedup.cosine_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.3)
+    assert [b for a, b in values(got, "a", "b") if a == 0] == list(range(41, 81))
+    r = np.random.default_rng(7)
+    v = r.standard_normal((400, 300)) * np.geomspace(1, 1e-4, 300)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert dedup._leading(u, 0.6) < 300
+    want = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T > 0.6, 1)), strict=True)]
+    assert values(dedup.cosine_pairs(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), "id", "v", 0.6), "a", "b") == want
+
+
 @pytest.mark.parametrize("threshold", [-0.2, 0.0, 0.3, 0.8])
 def test_cosine_pairs_at_any_threshold(spark, threshold):
     r = np.random.default_rng(5)
