@@ -335,6 +335,39 @@ def test_rounds_of_leaders_send_only_sets_of_pairs(spark, monkeypatch):
     assert [k for k, keep in values(dedup.greedy_ngram_dedup(df, "id", "text", 0.95), "id", "keep") if keep] == kept
 
 
+def test_pairs_of_a_cluster_are_found_without_sending_them(spark, monkeypatch):
+    """Clusters of near copies, one of them of several blocks, and chains across clusters: nearly no pair goes on to have its sets sent."""
+    r = random.Random(11)
+    texts = []
+    for k, size in enumerate([150, 40, 40, 1, 2]):
+        base = [f"w{k}x{i}" for i in range(80)]
+        texts += [" ".join(w if r.random() > 0.03 else f"z{r.randint(0, 10**6)}" for w in base) for _ in range(size)]
+    for k in range(1, 60):  # each is similar to the next few
+        texts.append(" ".join(f"c{i}" for i in range(4 * k, 4 * k + 40)))
+    r.shuffle(texts)
+    sets = [grams(t) for t in texts]
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = [(f"{a:03}", f"{b:03}", round(s, 9)) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (s := likeness(a, b)) > 0.5]
+    df = spark.createDataFrame([(f"{k:03}", t) for k, t in enumerate(texts)], "id string, text string").repartition(3)
+    compared = []
+    whole = dedup._similar
+    monkeypatch.setattr(dedup, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    for limits in ((8 << 20, 4096), (64_000, 4096), (8 << 20, 7)):
+        for name, limit in zip(("_HOME_BYTES", "_HOME_SETS"), limits, strict=True):
+            monkeypatch.setattr(dedup, name, limit)
+        got = dedup.similar_pairs(df, "id", "text", 0.5).withColumn("similarity", F.round("similarity", 9))
+        assert values(got, "a", "b", "similarity") == want
+    assert len(want) > 10_000 and max(compared) < len(texts)
+
+
+def test_first_rows_are_those_of_exact_first(spark, monkeypatch):
+    df = spark.createDataFrame([(5, "a"), (3, "a"), (4, "b"), (1, None), (2, ""), (9, "b")], "id long, text string")
+    want = values(dedup.exact_first(df, "text", "id").where("is_first"), "id")
+    assert values(dedup.first_rows(df, "text", "id"), "id") == want
+    monkeypatch.setattr(dedup, "_SENT_KEYS", 0)
+    assert values(dedup.first_rows(df, "text", "id"), "id") == want
+
+
 def test_similar_pairs_are_all_pairs_above(spark):
     r = random.Random(8)
     texts = [None, "", "a b", *[" ".join(r.choice("abcde") for _ in range(r.randint(3, 14))) for _ in range(60)]]
